@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ladle.llm import minhash
+from ladle.llm import minhash, mixing, sstable, suffix, tokens, warc
 
 #: Words of a text in DuckDB: runs of characters other than space and 0x09-0x0D.
 _SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -37,9 +39,60 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP
 """
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to shards and read back: a row per document."""
+    manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return sstable.read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes: a row per document."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of its lines: a row per document."""
+    return tokens.attribute_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("field_tokens", "section_bytes")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives, read back and assembled: a row per page."""
+    records = warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages")), with_payload=False)
+    captures = warc.with_referred(warc.assemble(records))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha),
+n AS (SELECT page_id, html, first, ('0x' || sha[1:10])::BIGINT AS a, ('0x' || sha[11:20])::BIGINT AS b, ('0x' || sha[21:30])::BIGINT AS c, ('0x' || sha[31:40])::BIGINT AS d FROM p JOIN f USING (sha))
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_aggregate(list_transform([a, b, c, d], lambda x: list_aggregate(list_transform(range(7, -1, -1), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> (5 * i)) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM n
+"""
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has: a row per document."""
+    return suffix.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+_OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM x),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (g) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]) END AS kept FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1_SQL}
+    return {"op1_minhash": _OP1_SQL, "op9_warc": _OP9_SQL, "op10_suffix": _OP10_SQL}
