@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.llm import minhash, mixing, sstable, suffix, tokens, warc
+from ladle.llm import language, minhash, mixing, sstable, suffix, tiling, tokens, warc
 
 #: Words of a text in DuckDB: runs of characters other than space and 0x09-0x0D.
 _SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -45,6 +45,11 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items: a row per document."""
+    return tiling.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes: a row per document."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
@@ -55,6 +60,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("field_tokens", "section_bytes")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out: a row per document."""
+    documents = _table(spark, sf_dir, "documents")
+    dictionaries = language.learn(documents.where(language.fold() != 1))
+    held_out = F.coalesce(language.fold() == 1, F.lit(False)).alias("held_out")
+    return language.identify(documents, dictionaries).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives, read back and assembled: a row per page."""
     records = warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages")), with_payload=False)
@@ -91,7 +104,7 @@ SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(kep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op3_tiling": op3_tiling, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op8_language": op8_language, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict[str, str]:

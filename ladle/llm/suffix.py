@@ -210,7 +210,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchor = given.mapInArrow(_anchors(window), "anchor long, id long")
     repeated = materialize(anchor.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchors")
     if repeated.count() <= broadcast_anchors:
-        anchors, source = _broadcast(docs, np.sort(repeated.toPandas()["anchor"].to_numpy(dtype=np.int64).view(words.U64))), given
+        anchors, source = _broadcast(docs, np.sort(repeated.toArrow()["anchor"].to_numpy().astype(np.int64).view(words.U64))), given
     else:
         mine = anchor.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
         anchors, source = None, given.join(mine, "id").select("id", "text", "anchors")

@@ -35,7 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hash base modulo 2 ** 64, n or more, and their inverses."""
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = max(n, CHUNK_BYTES + 1)
@@ -136,9 +137,9 @@ def _chunk(first: int, buf: np.ndarray, offsets: np.ndarray, separator: np.ndarr
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = np.empty(0, dtype=U64)
     if hashed:
-        powers, inverses = _powers(n + 1)
+        up, down = powers(n + 1)
         summed = np.empty(n + 1, dtype=U64)
         summed[0] = 0
-        np.cumsum(_BYTE_VALUE[to[buf]] * powers[:n], out=summed[1:])
-        hashes = mix((summed[end] - summed[start]) * inverses[start] + (end - start).astype(U64))
+        np.cumsum(_BYTE_VALUE[to[buf]] * up[:n], out=summed[1:])
+        hashes = mix((summed[end] - summed[start]) * down[start] + (end - start).astype(U64))
     return Chunk(first, buf, start, end, np.searchsorted(start, offsets), hashes)
