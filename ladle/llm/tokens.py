@@ -9,6 +9,8 @@ joins these spans with the spans of the document's parts.
 from __future__ import annotations
 
 import base64
+import functools
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -16,31 +18,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers; a full memory starts anew.
+#: Words whose ids a worker remembers: as many that it met of late, and as many from before.
 CACHE_WORDS = 300_000
+#: New words that are encoded in one call.
+WORDS_PER_CALL = 2_000
 
 #: Who gets a token that covers characters of several parts.
 RULES = ("first", "last", "largest")
 
 
+@functools.lru_cache(maxsize=4)
 def word_ids(tokenizer_path: str, width: int = 2) -> Callable[[list[bytes]], dict[bytes, bytes]]:
     """A function from words to a dict that has, for each, its ids as little-endian integers of width bytes.
 
     The tokenizer must drop white space, as word_bpe_49k does: its pieces lie within words, so that
-    encoding the words gives what encoding the text gives."""
+    encoding the words gives what encoding the text gives. A worker process keeps tokenizer and
+    memory from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     kind = f"<u{width}"
-    cache: dict[bytes, bytes] = {}
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    # a special token between words keeps their ids apart in the encoding of many
+    between = next((c for c, i in added.items() if tokenizer.get_added_tokens_decoder()[i].special), None)
+    recent: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
+
+    def encode(words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        odd = [between is None or any(c in t for c in added) for t in texts]
+        plain = [w for w, o in zip(words, odd) if not o]
+        for at in range(0, len(plain), WORDS_PER_CALL):
+            some = plain[at : at + WORDS_PER_CALL]
+            ids = np.array(tokenizer.encode_batch_fast([between.join(w.decode() for w in some)], add_special_tokens=False)[0].ids)
+            ends = np.append(np.flatnonzero(ids == added[between]), len(ids)).tolist()
+            data = ids.astype(kind).tobytes()
+            recent.update((w, data[width * (a + 1) : width * b]) for w, a, b in zip(some, [-1, *ends], ends))
+        for w, t in ((w, t) for w, t, o in zip(words, texts, odd) if o):
+            recent[w] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype=kind).tobytes()
 
     def ids(words: list[bytes]) -> dict[bytes, bytes]:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if new := list(set(words).difference(cache)):
-            found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, dtype=kind).tobytes()) for w, e in zip(new, found))
-        return cache
+        nonlocal recent, older
+        if len(recent) > CACHE_WORDS:
+            recent, older = {}, recent
+        new = set(words).difference(recent)
+        if known := new.intersection(older):
+            recent.update((w, older[w]) for w in known)
+        if missing := list(new.difference(known)):
+            encode(missing)
+        return recent
 
     return ids
 
@@ -51,6 +78,7 @@ def vocabulary_size(tokenizer_path: str) -> int:
     return Tokenizer.from_file(tokenizer_path).get_vocab_size()
 
 
+@functools.lru_cache(maxsize=4)
 def _byte_encoder(ranks_path: str, pattern: str):
     """(encode a text to ids, length in bytes of each id) for a file of byte-pair ranks."""
     import tiktoken
