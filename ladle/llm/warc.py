@@ -26,6 +26,8 @@ NAMESPACE = uuid.UUID("6f1d7c1e-6a3e-5b0f-9f3c-2a4d0c8f7b11")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload digests that occur more than once are broadcast up to this number (about 100 bytes each).
 BROADCAST_DIGESTS = 100_000
+#: gzip level of a record.
+LEVEL = 3
 #: Uncompressed bytes of records handed to Spark at a time.
 BATCH_BYTES = 1 << 20
 
@@ -80,7 +82,7 @@ def _write(directory: str, date: str):
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                 for data in transaction(page_id, url, (html or "").encode(), first, date):
-                    out.write(gzip.compress(data, 6, mtime=0))
+                    out.write(gzip.compress(data, LEVEL, mtime=0))
                     n += 1
         if out is not None:
             out.close()
@@ -194,14 +196,17 @@ def assemble(records: DataFrame) -> DataFrame:
     A request and metadata belong to the response or revisit that their WARC-Concurrent-To names, or that
     names them by its own. A capture without them has null there; requests without a capture make no row.
     Where records share ids, as those of repeated pages do, they are paired in order, each one once.
+    The records are written out first, as several joins read them.
     """
+    records = materialize(records, "records")
     captures = _numbered(records.where("type in ('response', 'revisit')"), "record_id").withColumnRenamed("record_id", "id")
     named = captures.where("concurrent_to is not null").groupBy("concurrent_to").agg(F.min("id").alias("by_capture")).withColumnRenamed("concurrent_to", "named_id")
     out = captures
     for kind in ("request", "metadata"):
-        own = records.where(F.col("type") == kind).join(named, F.col("record_id") == F.col("named_id"), "left").withColumn("of", F.coalesce("by_capture", "concurrent_to")).where("of is not null")
+        own = records.where(F.col("type") == kind).join(named.hint("merge"), F.col("record_id") == F.col("named_id"), "left").withColumn("of", F.coalesce("by_capture", "concurrent_to")).where("of is not null")
         own = _numbered(own, "of").select("of", "nth", *[F.col(c).alias(f"{kind}_{c}") for c in ("record_id", "target_uri", "fields")])
-        out = out.join(own, (out["id"] == own["of"]) & (out["nth"] == own["nth"]), "left").drop(own["of"], own["nth"])
+        # archives compress well: a join must not go by the size of their files and broadcast the records
+        out = out.join(own.hint("merge"), (out["id"] == own["of"]) & (out["nth"] == own["nth"]), "left").drop(own["of"], own["nth"])
     return out.select(F.col("id").alias("record_id"), F.col("type").alias("record_type"), "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload", _nested("request", "record_id", "target_uri"), _nested("metadata", "record_id", "fields"))
 
 
@@ -210,5 +215,5 @@ def with_referred(captures: DataFrame, field: str = "page-id") -> DataFrame:
     paged = captures.withColumn("page_id", F.col("metadata.fields")[field].cast("long"))
     responses = paged.where("record_type = 'response'")
     pages = responses.groupBy("record_id").agg(F.min("page_id").alias("refers_to_page")).withColumnRenamed("record_id", "response_id")
-    revisits = paged.where("record_type = 'revisit'").join(pages, F.col("refers_to") == F.col("response_id"), "left").drop("response_id")
+    revisits = paged.where("record_type = 'revisit'").join(pages.hint("merge"), F.col("refers_to") == F.col("response_id"), "left").drop("response_id")
     return responses.withColumn("refers_to_page", F.lit(None).cast("long")).unionByName(revisits)
