@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.llm import language, minhash, mixing, sstable, suffix, tiling, tokens, warc
+from ladle.llm import language, licences, minhash, mixing, quality, sstable, suffix, tiling, tokens, warc
 
 #: Words of a text in DuckDB: runs of characters other than space and 0x09-0x0D.
 _SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -60,6 +60,57 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("field_tokens", "section_bytes")
 
 
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, distances and verdict: a row per document."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
+
+
+def _op6_sql() -> str:
+    common = quality.vocabulary()
+    classes = ", ".join(f"len(regexp_extract_all(t, '{c}'))" for c in quality.CLASSES.values())
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{c}' OR x = '{c.capitalize()}'))" for c in common)
+    n, m = len(quality.CLASSES) + 1, len(common) + 1
+
+    def sums(column: str, size: int) -> str:
+        return f"[{', '.join(f'sum({column}[{i + 1}]) + {quality.SMOOTHING}' for i in range(size))}]"
+
+    def shares(column: str) -> str:
+        return f"list_transform({column}, lambda x: x / greatest(list_sum({column}), 1e-9))"
+
+    def distance(p: str, q: str) -> str:
+        half = "CASE WHEN z[{0}] > 0 THEN z[{0}] * log2(2 * z[{0}] / (z[1] + z[2])) ELSE 0 END"
+        return f"sqrt(greatest(list_sum(list_transform(list_transform(range(1, len({p}) + 1), lambda i: [{p}[i], {q}[i]]), lambda z: {half.format(1)} + {half.format(2)})) / 2, 0))"
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_SQL_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+4], ' ')) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM s WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+f AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, [{classes}] AS c5, length(t) AS n_chars, [{counts}] AS k44
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+h AS (SELECT *, list_append(c5, n_chars - list_sum(c5)::BIGINT)::DOUBLE[] AS classes, list_append(k44, n_words - list_sum(k44)::BIGINT)::DOUBLE[] AS common, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+o AS (SELECT * FROM h WHERE NOT base_failed AND n_words >= {quality.MIN_WORDS}),
+ref AS (SELECT lang, {sums("classes", n)} AS rc, {sums("common", m)} AS rk FROM o WHERE lang IS NOT NULL GROUP BY lang
+  UNION ALL SELECT NULL, {sums("classes", n)}, {sums("common", m)} FROM o),
+j AS (SELECT h.*, {shares("classes")} AS pc, {shares("common")} AS pk, {shares("ref.rc")} AS qc, {shares("ref.rk")} AS qk
+  FROM h JOIN ref ON (CASE WHEN h.lang IN (SELECT lang FROM ref WHERE lang IS NOT NULL) THEN h.lang END) IS NOT DISTINCT FROM ref.lang),
+x AS (SELECT *, CASE WHEN NOT base_failed AND n_words >= {quality.MIN_WORDS} THEN {distance("pc", "qc")} END AS cd,
+  CASE WHEN NOT base_failed AND n_words >= {quality.MIN_WORDS} THEN {distance("pk", "qk")} END AS wd FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 4) AS class_distance, round(wd, 4) AS word_distance, base_failed,
+  NOT base_failed AND NOT coalesce(cd > {quality.FAR_CLASSES} OR (cd > {quality.NEAR_CLASSES} AND wd > {quality.NEAR_WORDS}), false) AS kept
+FROM x
+"""
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the paragraphs of each document name: a row per document."""
+    documents = _table(spark, sf_dir, "documents")
+    return licences.scan(documents, licences.train(documents))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that aren't held out: a row per document."""
     documents = _table(spark, sf_dir, "documents")
@@ -104,8 +155,8 @@ SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(kep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op3_tiling": op3_tiling, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op8_language": op8_language, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op3_tiling": op3_tiling, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_divergence": op6_divergence, "op7_licences": op7_licences, "op8_language": op8_language, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": _OP1_SQL, "op9_warc": _OP9_SQL, "op10_suffix": _OP10_SQL}
+    return {"op1_minhash": _OP1_SQL, "op6_divergence": _op6_sql(), "op9_warc": _OP9_SQL, "op10_suffix": _OP10_SQL}
