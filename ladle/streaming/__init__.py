@@ -1,0 +1 @@
+"""Empty: no operator of this library works on streams (see README)."""
