@@ -150,7 +150,8 @@ def clean_restaurant_tables(raw: dict[str, DataFrame], valid_days: dict[str, tup
 
     def run(df: DataFrame, step: Step, *extra_logs: DataFrame) -> None:
         done = clean(df, step)
-        out[step.table] = Cleaned(done.clean, done.quarantined, reduce(DataFrame.unionByName, extra_logs, done.log))
+        columns = raw[step.table].columns
+        out[step.table] = Cleaned(done.clean.select(columns), done.quarantined.select(*columns, REASON), reduce(DataFrame.unionByName, extra_logs, done.log))
 
     place = ("_no_place", "location_id", places, "location_id")
     items = corrected_base_price(raw["Menu_Items"], raw["Pricing_History"])
@@ -178,6 +179,4 @@ def clean_restaurant_tables(raw: dict[str, DataFrame], valid_days: dict[str, tup
     waste = with_excess(raw["Wastage"], out["Inventory"].clean, ["item_id", "location_id", "date"], "quantity_wasted", "prepared_quantity", "consumed_stock")
     waste_rules = [("missing_value", F.col("item_id").isNull()), ("wastage_exceeds_prepared", F.col("_exceeds")), day_rule("Wastage"), bad_place, orphan_item]
     run(waste, Step("Wastage", "wastage_id", waste_rules, [place, menu], unit_col="unit", units=units))
-    done = out["Wastage"]
-    out["Wastage"] = Cleaned(done.clean.drop("_exceeds"), done.quarantined.drop("_exceeds"), done.log)
     return out

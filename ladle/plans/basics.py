@@ -97,8 +97,7 @@ def _checks() -> list:
         *quality.missing(["item_id", "day"]), *quality.not_positive(["price"]), *quality.negative(["quantity"]), *quality.outside("day", date(1990, 1, 1), date(2010, 1, 1), "invalid_date"),
     *quality.outside("rating", 1, 5, "invalid_rating"), *quality.exceeds("discount", "price", "incorrect_discount"), *quality.not_among("unit", ("pcs", "kg", "liters"), "inconsistent_unit"),
 ]
-_SQLdef _checks() -> list:
-    return [
+_SQL_CHECKS = [
     ("item_id", "missing_value", "item_id IS NULL"), ("day", "missing_value", "day IS NULL"), ("price", "invalid_price", "price <= 0"), ("quantity", "negative_quantity", "quantity < 0"), ("day", "invalid_date", "day < DATE '1990-01-01' OR day > DATE '2010-01-01'"),
     ("rating", "invalid_rating", "rating < 1 OR rating > 5"), ("discount", "incorrect_discount", "discount > price"), ("unit", "inconsistent_unit", "unit NOT IN ('pcs', 'kg', 'liters')"),
 ]

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ladle.plans import basics
+from ladle.plans import aggregates, analytics, basics, entities
 
-QUERIES = {**basics.QUERIES}
+QUERIES = {**basics.QUERIES, **aggregates.QUERIES, **entities.QUERIES, **analytics.QUERIES}
