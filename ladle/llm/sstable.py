@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import materialize, new_path
-from ladle.llm.tokens import vocabulary_size, word_ids
+from ladle.llm.storage import bound_batches, materialize, new_path
+from ladle.llm.tokens import vocabulary_size, word_encoder
 
 MAGIC = b"LADLESST"
 HEADER = struct.Struct("<8sHH")
@@ -180,7 +180,7 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
     def run(batches):
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        ids_of, end = word_ids(tokenizer_path, width), int(end_id).to_bytes(width, "little")
+        encoder, end = word_encoder(tokenizer_path, width), int(end_id).to_bytes(width, "little")
         uri = f"{directory}/shard-{shard:06d}-{attempt}.sst"
         writer = out = None
         first = last = None
@@ -191,8 +191,8 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
             while row < len(ids):
                 # some texts at a time: their words share a look into the cache
                 to = max(row + 1, int(np.searchsorted(at, at[row] + words.CHUNK_BYTES, side="right")) - 1)
-                texts = [data[at[i] : at[i + 1]].tobytes().split() for i in range(row, to)]
-                known = ids_of([w for t in texts for w in t])
+                texts = [encoder.words(data[at[i] : at[i + 1]].tobytes()) for i in range(row, to)]
+                known = encoder.ids([w for t in texts for w in t])
                 for id_, t in zip(ids[row:to], texts):
                     if writer is None:
                         fs, path = _open(uri)
@@ -219,6 +219,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, directory: str | None = N
     follow each other by text. An empty table has no shards. A task writes under a name of its own, and only the names
     in the manifest count, so that a repeated task does no harm. Other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     directory = directory or new_path(spark, "shards")
     width = 2 if max(vocabulary_size(tokenizer_path), end_id + 1) <= 1 << 16 else 4

@@ -1,6 +1,6 @@
 """Token ids of texts, and the tokens of each part of a document.
 
-``word_ids`` encodes with the tokenizers library, word by word through a cache: a vocabulary whose
+``WordEncoder`` encodes with the tokenizers library, word by word through a cache: a vocabulary whose
 pieces never cross white space gives a text the concatenation of its words' ids.
 ``attribute_tokens`` encodes a whole document once, maps each token to the characters it covers, and
 joins these spans with the spans of the document's parts.
@@ -11,15 +11,18 @@ from __future__ import annotations
 import base64
 import functools
 import os
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladle.llm.storage import bound_batches
+
 #: Words whose ids a worker remembers: as many that it met of late, and as many from before.
 CACHE_WORDS = 300_000
+#: Punctuation that may close a word; an apostrophe may belong to it.
+_CLOSING = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
 #: New words that are encoded in one call.
 WORDS_PER_CALL = 2_000
 
@@ -27,49 +30,79 @@ WORDS_PER_CALL = 2_000
 RULES = ("first", "last", "largest")
 
 
-@functools.lru_cache(maxsize=4)
-def word_ids(tokenizer_path: str, width: int = 2) -> Callable[[list[bytes]], dict[bytes, bytes]]:
-    """A function from words to a dict that has, for each, its ids as little-endian integers of width bytes.
+class WordEncoder:
+    """Ids of words, as little-endian integers of width bytes, from a cache of words met before.
 
     The tokenizer must drop white space, as word_bpe_49k does: its pieces lie within words, so that
-    encoding the words gives what encoding the text gives. A worker process keeps tokenizer and
-    memory from task to task."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    kind = f"<u{width}"
-    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    # a special token between words keeps their ids apart in the encoding of many
-    between = next((c for c, i in added.items() if tokenizer.get_added_tokens_decoder()[i].special), None)
-    recent: dict[bytes, bytes] = {}
-    older: dict[bytes, bytes] = {}
-
-    def encode(words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        odd = [between is None or any(c in t for c in added) for t in texts]
-        plain = [w for w, o in zip(words, odd) if not o]
-        for at in range(0, len(plain), WORDS_PER_CALL):
-            some = plain[at : at + WORDS_PER_CALL]
-            ids = np.array(tokenizer.encode_batch_fast([between.join(w.decode() for w in some)], add_special_tokens=False)[0].ids)
-            ends = np.append(np.flatnonzero(ids == added[between]), len(ids)).tolist()
-            data = ids.astype(kind).tobytes()
-            recent.update((w, data[width * (a + 1) : width * b]) for w, a, b in zip(some, [-1, *ends], ends))
-        for w, t in ((w, t) for w, t, o in zip(words, texts, odd) if o):
-            recent[w] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype=kind).tobytes()
-
-    def ids(words: list[bytes]) -> dict[bytes, bytes]:
-        nonlocal recent, older
-        if len(recent) > CACHE_WORDS:
-            recent, older = {}, recent
-        new = set(words).difference(recent)
-        if known := new.intersection(older):
-            recent.update((w, older[w]) for w in known)
-        if missing := list(new.difference(known)):
-            encode(missing)
+    encoding the words gives what encoding the text gives."""
+
+    def __init__(self, tokenizer_path: str, width: int = 2):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.width, self.kind = width, f"<u{width}"
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.marks = [c.lower().encode() for c in self.added]
+        # a special token between words keeps their ids apart in the encoding of many
+        self.between = next((t.content for t in added.values() if t.special), None)
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text; in lower case if that makes no difference."""
+        if self.lowers and not any(m in text.lower() for m in self.marks):
+            text = text.lower()
+        return text.split()
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A dict that has the ids of all these words, and of others."""
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        missing = []
+        for w in set(words).difference(recent):
+            if w in older:
+                recent[w] = older[w]
+            else:
+                missing.append(w)
+        if missing:
+            self._resolve(missing)
         return recent
 
-    return ids
+    def _resolve(self, missing: list[bytes]) -> None:
+        """Words of letters with closing punctuation have the ids of both: pieces end between them."""
+        recent, split, new = self.recent, [], set()
+        for w in missing:
+            p = w.rstrip(_CLOSING)
+            if p and len(p) < len(w) and (p.isalpha() or p.decode("utf-8", "replace").isalpha()):
+                split.append((w, p, w[len(p) :]))
+                new.update(split[-1][1:])
+            else:
+                new.add(w)
+        self._encode(list(new.difference(recent)))
+        recent.update((w, recent[p] + recent[q]) for w, p, q in split)
+
+    def _encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), WORDS_PER_CALL):
+            some = words[at : at + WORDS_PER_CALL]
+            texts = b"\n".join(some).decode().split("\n")
+            if self.between is None or any(c in t for c in self.added for t in texts):
+                self.recent.update((w, np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes()) for w, t in zip(some, texts))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(texts)], add_special_tokens=False)[0].ids)
+            ends = np.append(np.flatnonzero(ids == self.added[self.between]), len(ids)) * self.width
+            data, starts = ids.astype(self.kind).tobytes(), [0, *(ends[:-1] + self.width).tolist()]
+            self.recent.update((w, data[a:b]) for w, a, b in zip(some, starts, ends.tolist()))
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(tokenizer_path: str, width: int = 2) -> WordEncoder:
+    """The encoder of a worker process, which keeps it from task to task."""
+    return WordEncoder(tokenizer_path, width)
 
 
 def vocabulary_size(tokenizer_path: str) -> int:
@@ -156,6 +189,7 @@ def attribute_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bound_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("string").alias(f"field_{k}") for k, f in enumerate(fields)))
     kind = dict(given.dtypes)["id"]
     out = given.mapInArrow(_attributed(ranks_path, pattern, rule, len(fields)), f"id {kind}, n_tokens long, n_crossing long, field_tokens array<long>, section_tokens array<long>, section_bytes array<long>")
