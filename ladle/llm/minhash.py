@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm import text as words
 from ladle.llm.graph import components
-from ladle.llm.storage import materialize
+from ladle.llm.storage import bound_batches, materialize
 
 #: Shingles in a block of a cluster, on average; two blocks are compared in one task's memory.
 BLOCK_SHINGLES = 40_000
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id are one document with several sets: a link of any of them counts. A null id
     stands alone: its component_id is null, and it is kept. Other columns of docs are not looked at.
     """
+    bound_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = materialize(given.mapInArrow(_sketches(bands, rows, shingle), "id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     sized = sketch.where("n_shingles > 0 and id is not null")

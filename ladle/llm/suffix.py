@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import materialize
+from ladle.llm.storage import bound_batches, materialize
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
@@ -206,6 +206,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     do rows without an id, which also take nothing from others. Rows that share an id are one document: none loses a passage to another.
     Other columns of docs are not looked at.
     """
+    bound_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     anchor = given.mapInArrow(_anchors(window), "anchor long, id long")
     repeated = materialize(anchor.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchors")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import materialize
+from ladle.llm.storage import bound_batches, materialize
 
 #: The items' seeds are broadcast up to this number (8 bytes each); beyond it all seeds of the documents are joined.
 BROADCAST_SEEDS = 2_000_000
@@ -148,6 +148,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     separate texts under one name. A null or empty text leaks nothing. Each row of docs is judged by itself, also
     where ids repeat or are null. An empty table of items leaves all documents clean. Other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_col]
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
     tests = materialize(tests.mapInArrow(_item_seeds(least), f"item_id {item_kind}, n long, tokens array<long>, seeds array<long>, times array<long>").withColumn("item", F.monotonically_increasing_id()), "items")

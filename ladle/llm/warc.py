@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import materialize, new_path
+from ladle.llm.storage import bound_batches, materialize, new_path
 
 #: Record ids are name-based UUIDs below this one.
 NAMESPACE = uuid.UUID("6f1d7c1e-6a3e-5b0f-9f3c-2a4d0c8f7b11")
@@ -100,6 +100,7 @@ def write_warc(pages: DataFrame, directory: str | None = None, id_col: str = "pa
     a url is percent-encoded. Rows are written where they are read: only digests are shuffled. A task writes under a name
     of its own, and only the names in the manifest count. Other columns are not looked at.
     """
+    bound_batches(pages.sparkSession)
     directory = directory or new_path(pages.sparkSession, "warc")
     given = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
