@@ -192,7 +192,7 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
                 # some texts at a time: their words share a look into the cache
                 to = max(row + 1, int(np.searchsorted(at, at[row] + words.CHUNK_BYTES, side="right")) - 1)
                 texts = [encoder.words(data[at[i] : at[i + 1]].tobytes()) for i in range(row, to)]
-                known = encoder.ids([w for t in texts for w in t])
+                known = encoder.ids(texts)
                 for id_, t in zip(ids[row:to], texts):
                     if writer is None:
                         fs, path = _open(uri)

@@ -54,17 +54,16 @@ class WordEncoder:
 
     def words(self, text: bytes) -> list[bytes]:
         """The words of a text; in lower case if that makes no difference."""
-        if self.lowers and not any(m in text.lower() for m in self.marks):
-            text = text.lower()
-        return text.split()
+        lower = text.lower() if self.lowers else text
+        return (text if any(m in lower for m in self.marks) else lower).split()
 
-    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """A dict that has the ids of all these words, and of others."""
+    def ids(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A dict that has the ids of all words of these texts, and of others."""
         if len(self.recent) > CACHE_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
         missing = []
-        for w in set(words).difference(recent):
+        for w in set().union(*texts).difference(recent):
             if w in older:
                 recent[w] = older[w]
             else:
