@@ -29,6 +29,9 @@ BLOCK_DOCS = 256
 #: A table of this many ids may be broadcast (8 bytes each, some 30 MB once hashed).
 BROADCAST_IDS = 500_000
 
+#: Repeated sets may be broadcast up to this number (some 50 bytes each).
+BROADCAST_SETS = 200_000
+
 
 def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For chunks of texts: the index of the first, and each text's distinct shingle hashes, sorted."""
@@ -164,16 +167,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = materialize(given.mapInArrow(_sketches(bands, rows, shingle), "id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     sized = sketch.where("n_shingles > 0 and id is not null")
-    same = sized.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
+    keys = ["h1", "h2", "n_shingles"]
+    repeated = materialize(sized.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    # sets that occur once have no entry: with the others at hand, nothing is dealt out by a set that thousands share
+    marked = sized.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_SETS else repeated, keys, "left")
     # one representative of each distinct set: only those are banded and compared
-    reps = sized.join(same, ["h1", "h2", "n_shingles"]).where("id = rep")
+    reps = marked.where("rep is null or id = rep")
     band = reps.select("id", F.explode("bands").alias("key"))
     least = band.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last")
     candidates = band.join(least.select("key", "center"), "key").where("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     clusters = materialize(components(candidates).select(F.col("node").alias("id"), F.col("component").alias("cluster")).distinct(), "clusters")
     found = _confirmed(given, clusters, per_cent, shingle)
-    # rows of one id, and equal sets, are links as well
-    equal = sized.join(same, ["h1", "h2", "n_shingles"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # equal sets are links as well
+    equal = marked.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reached = components(found.union(equal))
     return (
         sketch.select("id", "n_shingles")
