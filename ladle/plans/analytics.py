@@ -542,7 +542,14 @@ def campaigns(spark: SparkSession, sf: str) -> DataFrame:
 
 CAMPAIGNS = f"SELECT promotion_id, start_day, revenue, margin, margin_pct FROM promotions LEFT JOIN (SELECT * FROM ({PROMOTION_METRICS}) WHERE period = 'during') USING (promotion_id)"
 
-_Z = ("value", "baseline_mean", "baseline_std", "score")
+# means and deviations of a window can lie between two roundings; the score says as much
+_SCORES = "SELECT * EXCLUDE (baseline_mean, baseline_std) FROM ({0})"
+
+
+def _scores(found: DataFrame) -> DataFrame:
+    return found.drop("baseline_mean", "baseline_std")
+
+
 QUERIES = {
     "pair_rules": Query(pair_rules, PAIR_RULES, ("support", "confidence", "lift"), 6),
     "top_rules": Query(top_rules, TOP_RULES),
@@ -554,8 +561,8 @@ QUERIES = {
     "price_sensitivity": Query(price_sensitivity, PRICE_SENSITIVITY),
     "promotion_metrics": Query(promotion_metrics, PROMOTION_METRICS, ("quantity", "revenue", "margin", "wastage_cost", "revenue_per_order", "margin_per_order", "margin_pct")),
     "promotion_traps": Query(promotion_traps, PROMOTION_TRAPS),
-    "sales_anomalies": Query(sales_anomalies, SALES_ANOMALIES, _Z, 2),
-    "rating_anomalies": Query(rating_anomalies, RATING_ANOMALIES, _Z, 3),
+    "sales_anomalies": Query(lambda spark, sf: _scores(sales_anomalies(spark, sf)), _SCORES.format(SALES_ANOMALIES), ("value", "score")),
+    "rating_anomalies": Query(lambda spark, sf: _scores(rating_anomalies(spark, sf)), _SCORES.format(RATING_ANOMALIES), ("value", "score")),
     "high_value_orders": Query(high_value_orders, HIGH_VALUE_ORDERS, ("value", "score")),
     "duplicate_transactions": Query(duplicate_transactions, DUPLICATE_TRANSACTIONS),
     "anomaly_reports": Query(anomaly_reports, ANOMALY_REPORTS),
