@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ladle.llm import language, minhash, mixing, sstable, tiling
 from ladle.llm.storage import materialize
 
+#: Near copies share 80 % of their shingles of five words; in 54 bands of 7 a pair at 80 % is missed with a chance of 3e-6.
+NEAR = {"per_cent": 80, "shingle": 5, "bands": 54, "rows": 7}
 #: Decisions on so many documents may be broadcast (16 bytes each); more of them are joined by shuffles.
 BROADCAST_DECISIONS = 1_000_000
 
@@ -35,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    return _without(docs, minhash.near_duplicates(docs, **NEAR).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -460,3 +460,19 @@ def test_queries_return_one_row_per_document(spark):
         assert rows.count() == n and "doc_id" in rows.columns
     r = queries()["op8_language"](spark, SF).first()
     assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_near_dedup_stage_links_at_80_per_cent(spark):
+    import corpus_pipeline as p
+
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(base), *(" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(60))]
+    texts += [" ".join("z" if k == 20 else f"u{n}_{k}" for k in range(n)) for n in (44, 45, 46, 50, 62)] + [" ".join(f"u{n}_{k}" for k in range(n)) for n in (44, 45, 46, 50, 62)]
+    texts += [t for _, t in documents(spark)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()} for w in (t.encode().lower().split() for t in texts)]
+    near = [[b for b in range(len(texts)) if a == b or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0] for a in range(len(texts))]
+    root = list(range(len(texts)))
+    while (least := [min(root[b] for b in bs) for bs in near]) != root:
+        root = least
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in p.drop_near_duplicates(spark, df, SF).collect()} == set(root)
