@@ -10,7 +10,7 @@ from ladle.llm.storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: The rank axis of a source is cut into so many bins; only the bin in which the sample ends is ranked row by row.
 BINS = 65_536
-#: So many of the next documents in rank are tried to fill what the boundary document leaves open.
+#: So many of the next documents in rank are tried in a round to fill what the boundary document leaves open.
 FILL = 1_000
 #: A table with a row per source is broadcast up to so many sources.
 BROADCAST_SOURCES = 50_000
@@ -49,14 +49,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document's size is its number of words. With ratio = target / source_size, every document of a source
     gets floor(ratio) certain copies. The rest of the ratio is its inclusion probability p for one copy more:
     documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn from the id, and taken in this order
-    until their sizes reach the rest of the target; those next in rank that still fit fill the gap which the
+    until their sizes reach the rest of the target; all those later in rank that still fit fill the gap which the
     boundary document leaves. taken = size * copies. Reruns agree, as u follows from seed, id and size.
 
     A null source is a source; a null or empty text has size 0 and takes nothing; a source without words
     has target 0. Equal rows are told apart by no more than which of them gets the copy. Other columns are not looked at.
 
     A source's rows are never gathered or ranked as a whole: sums over bins of the rank find the bin in
-    which its sample ends, and only that bin and the next FILL documents are ordered.
+    which its sample ends, and only that bin and the next FILL documents that fit the gap are ordered. Rounds
+    repeat this behind the last document tried, until no waiting document of a source fits its gap.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     base = materialize(base.withColumn("u", _uniform(seed, F.col("id"), F.col("size"))).withColumn("row", F.monotonically_increasing_id()), "sizes")
@@ -75,25 +76,42 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = rated.withColumn("order", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("order") * BINS), F.lit(BINS - 1)))
 
     sampled = rated.where("p > 0 and size > 0")
-    bins = sampled.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size"), F.any_value("rest").alias("rest"))
-    upto = F.sum("bin_size").over(Window.partitionBy("rank").orderBy("bin"))
-    ends = bins.withColumn("upto", upto).where("upto > rest").groupBy("rank").agg(F.min("bin").alias("end_bin"), F.min_by(F.col("upto") - F.col("bin_size"), "bin").alias("before"))
-    ends = materialize(ends, "ends")
-    # the bin in which a source's sample ends, row by row
-    placed = sampled.join(per_source(ends), "rank")
-    exact = Window.partitionBy("rank").orderBy("order", "id", "row")
-    within = placed.where("bin = end_bin").withColumn("upto", F.col("before") + F.sum("size").over(exact))
-    inside = materialize(within.where("upto <= rest").select("rank", "row", "upto"), "inside")
-    reached = per_source(ends).join(inside.groupBy("rank").agg(F.max("upto").alias("upto")), "rank", "left").select("rank", F.coalesce("upto", "before").alias("reached"))
-    waiting = placed.where("bin >= end_bin").join(inside, ["rank", "row"], "left_anti").withColumn("n", F.row_number().over(exact)).where(f"n <= {FILL}")
-    queue = waiting.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("n", "size", "row"))).alias("queue"), F.any_value("rest").alias("rest")).join(reached, "rank")
-    start = F.struct((F.col("rest") - F.col("reached")).alias("open"), F.array().cast("array<bigint>").alias("rows"))
-    filled = F.aggregate(
-        "queue", start, lambda acc, x: F.when(x["size"] <= acc["open"], F.struct((acc["open"] - x["size"]).alias("open"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc), lambda acc: acc["rows"]
-    )
-    extra = inside.select("row").union(queue.select(F.explode(filled))).withColumn("extra", F.lit(1))
-    out = rated.join(per_source(ends), "rank", "left").join(extra, "row", "left")
-    # before the last bin all are taken; where no bin is the last, the whole source is
-    prefix = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))
+    place = F.struct("order", "id", "row")
+    gaps, first_ends, extra, rounds = targets.select("rank", F.col("rest").alias("open")), None, None, 0
+    while True:
+        # what doesn't fit the gap now won't fit later
+        waiting = sampled.join(per_source(gaps), "rank").where("size <= open")
+        if rounds:
+            waiting = waiting.where(place > F.col("last"))
+        bins = waiting.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size"), F.any_value("open").alias("open"))
+        upto = F.sum("bin_size").over(Window.partitionBy("rank").orderBy("bin"))
+        # the bin in which a source's sample ends: null where all of its documents fit
+        summed = bins.withColumn("upto", upto).withColumn("over", F.col("upto") > F.col("open"))
+        ends = summed.groupBy("rank").agg(F.min(F.when(F.col("over"), F.col("bin"))).alias("end_bin"), F.min(F.when(F.col("over"), F.col("upto") - F.col("bin_size"))).alias("before"))
+        ends = materialize(ends, "ends")
+        placed = waiting.join(per_source(ends), "rank")
+        # that bin row by row
+        exact = Window.partitionBy("rank").orderBy("order", "id", "row")
+        inside = placed.where("bin = end_bin").withColumn("upto", F.col("before") + F.sum("size").over(exact)).where("upto <= open")
+        inside = materialize(inside.select("rank", "row", "upto"), "inside")
+        reached = per_source(ends.where("end_bin is not null")).join(inside.groupBy("rank").agg(F.max("upto").alias("upto")), "rank", "left").select("rank", F.coalesce("upto", "before").alias("reached"))
+        behind = placed.where("bin >= end_bin").join(inside, ["rank", "row"], "left_anti").withColumn("n", F.row_number().over(exact)).where(f"n <= {FILL}")
+        queue = behind.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("n", "size", "row"))).alias("queue"), F.max_by(place, "n").alias("last"), F.max("n").alias("n"), F.any_value("open").alias("open")).join(reached, "rank")
+        start = F.struct((F.col("open") - F.col("reached")).alias("open"), F.array().cast("array<bigint>").alias("rows"))
+        filled = F.aggregate("queue", start, lambda acc, x: F.when(x["size"] <= acc["open"], F.struct((acc["open"] - x["size"]).alias("open"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc))
+        tried = materialize(queue.select("rank", "n", "last", filled.alias("filled")), "tried")
+        # before the last bin all are taken: in the first round a condition on each row says so
+        found = inside.select("row").union(tried.select(F.explode("filled.rows")))
+        if rounds:
+            found = found.union(placed.where("end_bin is null or bin < end_bin").select("row"))
+        first_ends, extra, rounds = ends if first_ends is None else first_ends, found if extra is None else extra.union(found), rounds + 1
+        gaps = tried.where(f"n = {FILL} and filled.open >= 1").select("rank", F.col("filled.open").alias("open"), "last")
+        if gaps.isEmpty():
+            break
+        if rounds > 1:
+            extra = materialize(extra, "extra")
+    out = rated.join(per_source(first_ends), "rank", "left").join(extra.withColumn("extra", F.lit(1)), "row", "left")
+    # before the last bin all that fit the whole target are taken; where no bin is the last, that is the whole source
+    prefix = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))
     copies = (F.col("certain") + F.when(prefix | F.col("extra").isNotNull(), 1).otherwise(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -476,3 +476,12 @@ def test_near_dedup_stage_links_at_80_per_cent(spark):
         root = least
     df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
     assert {r["doc_id"] for r in p.drop_near_duplicates(spark, df, SF).collect()} == set(root)
+
+
+def test_mix_fills_the_gap_beyond_one_round(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FILL", 3)
+    # a long document early in rank, which doesn't fit once the first tenth is taken
+    long_id = next(i for i in range(1000, 2000) if 0.12 < int(hashlib.md5(f"mix|{i}|3000".encode()).hexdigest()[:13], 16) / (1 << 52) < 0.2)
+    docs = [(i, "a b c d e f g", "en", "s") for i in range(500)] + [(long_id, "w " * 3000, "en", "s")]
+    rows = mixing.mix_sources(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert len(rows) == 501 and 0 <= rows[0]["target"] - sum(r["taken"] for r in rows) < 7
