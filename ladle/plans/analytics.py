@@ -334,9 +334,7 @@ def item_classifier(spark: SparkSession, sf: str) -> DataFrame:
     chain = entities._classified(spark, sf)[0]
     inputs = ["profit_percentage", "total_quantity_sold", "average_rating", "repeat_purchase_rate", "wastage_percentage"]
     rows = models.prepare(chain, inputs, ["wastage_percentage"])
-    chosen = models.candidates()
-    small = {name: (algorithm, grid[:1]) for name, (algorithm, grid) in chosen.items() if name != "random_forest"}
-    return models.select_best(rows, inputs, "category", "item_id", small, 3)[2]
+    return models.select_best(rows, inputs, "category", "item_id", models.candidates())[2]
 
 
 # Recommendations and scenarios

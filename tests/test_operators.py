@@ -183,3 +183,14 @@ def test_folds_hold_every_class(spark):
     df = spark.range(60).select("id", F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("y"))
     folds = models.with_folds(df, "y", "id", 5).groupBy("fold", "y").count().collect()
     assert len(folds) == 10 and {r["count"] for r in folds} == {3, 9}
+
+
+def test_item_classifier_searches_three_whole_grids(spark, monkeypatch):
+    from ladle.operators import models
+    from ladle.plans import analytics
+    from tests.conftest import SF
+
+    seen = []
+    monkeypatch.setattr(models, "select_best", lambda df, inputs, label, key, chosen, folds=5: seen.append(({name: len(grid) for name, (_, grid) in chosen.items()}, folds)) or (None, None, df))
+    analytics.item_classifier(spark, SF)
+    assert seen == [({"logistic_regression": 3, "decision_tree": 3, "random_forest": 4}, 5)]
