@@ -53,9 +53,12 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
 
     def words(self, text: bytes) -> list[bytes]:
-        """The words of a text; in lower case if that makes no difference."""
-        lower = text.lower() if self.lowers else text
-        return (text if any(m in lower for m in self.marks) else lower).split()
+        """The words of a text; in lower case if that makes no difference.
+
+        A-Z compose with combining marks from U+0300 to U+037F only, whose first byte is CC or CD, and not
+        always as a-z do: W and U+030A stay two characters, w and U+030A become one."""
+        lower = text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text
+        return (text if any(m in lower.lower() for m in self.marks) else lower).split()
 
     def ids(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """A dict that has the ids of all words of these texts, and of others."""
@@ -73,11 +76,14 @@ class WordEncoder:
         return recent
 
     def _resolve(self, missing: list[bytes]) -> None:
-        """Words of letters with closing punctuation have the ids of both: pieces end between them."""
+        """Words of letters with closing punctuation have the ids of both: pieces end between them.
+
+        That holds for the letters of Latin-1, which normalisation maps to one letter each; others may
+        become a letter with a mark, which makes one piece with the punctuation."""
         recent, split, new = self.recent, [], set()
         for w in missing:
             p = w.rstrip(_CLOSING)
-            if p and len(p) < len(w) and (p.isalpha() or p.decode("utf-8", "replace").isalpha()):
+            if p and len(p) < len(w) and (p.isalpha() or ((t := p.decode()).isalpha() and max(t) < "\u0100")):
                 split.append((w, p, w[len(p) :]))
                 new.update(split[-1][1:])
             else:
