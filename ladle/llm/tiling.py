@@ -16,8 +16,8 @@ from ladle.llm.storage import bound_batches, materialize
 
 #: The items' seeds are broadcast up to this number (8 bytes each); beyond it all seeds of the documents are joined.
 BROADCAST_SEEDS = 2_000_000
-#: Runs are first sought at this length, which then doubles or shrinks as they turn up.
-FIRST_LENGTH = 20
+#: Where seeds are joined, each is repeated so often, and the documents' seeds are dealt over the repetitions.
+SALTS = 16
 
 
 def _rolling(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -38,45 +38,49 @@ def _free_windows(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:-length])
 
 
-def _matches(item: np.ndarray, text: np.ndarray, item_marked: np.ndarray, text_marked: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(length, place in item, place in text) of unmarked matches of at least length, extended as far as they go."""
-    at_text: dict[int, list[int]] = {}
-    hashes = _rolling(text, length).tolist()
-    for j in _free_windows(text_marked, length).tolist():
-        at_text.setdefault(hashes[j], []).append(j)
-    found = []
-    hashes = _rolling(item, length).tolist()
-    for i in _free_windows(item_marked, length).tolist():
-        for j in at_text.get(hashes[i], ()):
-            k = 0
-            while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not item_marked[i + k] and not text_marked[j + k]:
-                k += 1
-            if k >= length:
-                found.append((k, i, j))
-    return found
+def _shared_windows(item: np.ndarray, text: np.ndarray, item_marked: np.ndarray, text_marked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The unmarked windows of length that both have: places and hashes in the item and in the text."""
+    i, j = _free_windows(item_marked, length), _free_windows(text_marked, length)
+    hash_i, hash_j = _rolling(item, length)[i], _rolling(text, length)[j]
+    in_i, in_j = np.isin(hash_i, hash_j), np.isin(hash_j, hash_i)
+    return i[in_i], hash_i[in_i], j[in_j], hash_j[in_j]
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, place in item, place in text): the longest unmarked match is marked first, then the next, down to least tokens.
 
-    Matches of a length are sought by hashing windows of it, as in running Karp-Rabin greedy string
-    tiling (Wise, 1993); ties go to the earlier place."""
+    Each round looks for the greatest length at which item and text share an unmarked window, by
+    bisection over the lengths with a Karp-Rabin scan of both for each, and marks all matches of this
+    length that don't overlap; ties go to the earlier place in the item, then in the text. Lengths only
+    shrink, so a match that was partly marked comes back as what is left of it. A window of the text that
+    meets a mark is passed over for good: a round is linear in the two lengths, also where one word repeats."""
     item_marked, text_marked = np.zeros(len(item), dtype=bool), np.zeros(len(text), dtype=bool)
-    out, length = [], max(least, FIRST_LENGTH)
-    while True:
-        found = _matches(item, text, item_marked, text_marked, length)
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * length:
-            length = longest
-            continue
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not item_marked[i : i + k].any() and not text_marked[j : j + k].any():
-                item_marked[i : i + k] = text_marked[j : j + k] = True
-                out.append((k, i, j))
-        if length > least:
-            length = max(least, length // 2)
-        elif not found:
-            return out
+    out, most = [], min(len(item), len(text))
+    while most >= least:
+        low, high, found = least - 1, most, None
+        while low < high:
+            middle = (low + high + 1) // 2
+            shared = _shared_windows(item, text, item_marked, text_marked, middle)
+            low, high, found = (middle, high, shared) if len(shared[0]) else (low, middle - 1, found)
+        if found is None:
+            break
+        waiting: dict[int, list[int]] = {}
+        for j, h in zip(found[2][::-1].tolist(), found[3][::-1].tolist()):
+            waiting.setdefault(h, []).append(j)
+        free = 0
+        for i, h in zip(found[0].tolist(), found[1].tolist()):
+            if i < free:
+                continue
+            places = waiting[h]
+            while places and (text_marked[places[-1]] or text_marked[places[-1] + low - 1]):
+                places.pop()
+            if places:
+                j = places.pop()
+                item_marked[i : i + low] = text_marked[j : j + low] = True
+                free = i + low
+                out.append((low, i, j))
+        most = low - 1
+    return out
 
 
 def _item_seeds(least: int):
@@ -159,8 +163,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         filter_ = docs.sparkSession.sparkContext.broadcast(np.sort(found.view(words.U64)))
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = materialize(given.mapInArrow(_shared(least, filter_), f"row long, id {kind}, seeds array<long>, tokens array<long>"), "shared")
-    by_seed = F.broadcast(seeds) if filter_ is not None else seeds
-    pairs = shared.select("row", F.explode("seeds").alias("seed")).join(by_seed, "seed").groupBy("row", "item", "n").agg(F.sum("times").alias("seeds"))
+    own = shared.select("row", F.explode("seeds").alias("seed"))
+    if filter_ is not None:
+        met = own.join(F.broadcast(seeds), "seed")
+    else:
+        # a seed that a third of the documents have is spread over tasks
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["seed", "salt"])
+    pairs = met.groupBy("row", "item", "n").agg(F.sum("times").alias("seeds"))
     # a seed's place in the item covers least words at most: pairs that can't reach the threshold need no tiling
     pairs = pairs.where(F.col("seeds") * least >= coverage * F.col("n"))
     texts = tests.select("item", "item_id", F.col("tokens").alias("item_tokens"))
