@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import materialize
+from ladle.llm.storage import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The rank axis of a source is cut into so many bins; only the bin in which the sample ends is ranked row by row.
 BINS = 65_536
-#: So many of the next documents in rank are tried in a round to fill what the boundary document leaves open.
-FILL = 1_000
+#: Inclusion odds fall with size: the probability of one copy more is in proportion to size ** -TILT, so that long texts are repeated less.
+TILT = 0.25
+#: Rounds fill what is left open of a target until it is no more than this share of it, or nothing that waits fits.
+CLOSE = 0.001
 #: A table with a row per source is broadcast up to so many sources.
 BROADCAST_SOURCES = 50_000
+#: A table with a row per source and size is broadcast up to so many rows (32 bytes each).
+BROADCAST_SIZES = 1_000_000
 
 
 def _uniform(seed: str, *columns: Column) -> Column:
@@ -43,27 +47,41 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return leveled.withColumn("fixed", fixed).select("source", "source_size", "rank", F.when(F.col("fixed").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("fixed"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def inclusion(sizes: DataFrame, tilt: float = TILT) -> DataFrame:
+    """Adds p to (rank, size, n, rest), a row per source and size: n documents of that size, rest words to draw.
+
+    p = least(1, c * size ** -tilt), with c such that the expected words, the sum of n * p * size, equal rest. The
+    sizes with p = 1 are the smallest ones: going up, the first size at which c leaves p below 1 fixes it."""
+    order = Window.partitionBy("rank").orderBy("size")
+    share = F.col("n") * F.pow(F.col("size").cast("double"), F.lit(1.0 - tilt))
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    c = (F.col("rest") - before) / F.sum(share).over(order.rowsBetween(0, Window.unboundedFollowing))
+    full = F.pow(F.col("size").cast("double"), F.lit(tilt))
+    leveled = sizes.withColumn("c", c).withColumn("fixed", F.min_by(F.when(c <= full, c), F.when(c <= full, F.col("size"))).over(Window.partitionBy("rank")))
+    return leveled.select("rank", "size", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("fixed") / full, F.lit(1.0)))).alias("p"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, tilt: float = TILT, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: (id_col, size, source_size, target, copies, taken), a row per row of docs.
 
     A document's size is its number of words. With ratio = target / source_size, every document of a source
-    gets floor(ratio) certain copies. The rest of the ratio is its inclusion probability p for one copy more:
-    documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn from the id, and taken in this order
-    until their sizes reach the rest of the target; all those later in rank that still fit fill the gap which the
-    boundary document leaves. taken = size * copies. Reruns agree, as u follows from seed, id and size.
+    gets floor(ratio) certain copies. One copy more has the inclusion probability p of ``inclusion``, which falls with the
+    size; documents with p = 1 are certain of it. The others are ranked by (u / (1 - u)) / (p / (1 - p)), u drawn from id and size, and taken in this
+    order, each if it still fits the rest of the target, until CLOSE of the target is left open at most or nothing that waits fits;
+    then the smallest of the others is taken if the target is nearer with it. taken = size * copies. Reruns agree, as u follows from seed, id and size.
 
     A null source is a source; a null or empty text has size 0 and takes nothing; a source without words
     has target 0. Equal rows are told apart by no more than which of them gets the copy. Other columns are not looked at.
 
     A source's rows are never gathered or ranked as a whole: sums over bins of the rank find the bin in
-    which its sample ends, and only that bin and the next FILL documents that fit the gap are ordered. Rounds
-    repeat this behind the last document tried, until no waiting document of a source fits its gap.
+    which its sample ends, and only that bin is ordered. A document that doesn't fit ends a round;
+    the next one goes on behind it, with the documents that fit what is open.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     base = materialize(base.withColumn("u", _uniform(seed, F.col("id"), F.col("size"))).withColumn("row", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    targets = targets.withColumn("certain", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("certain"), F.lit(0.0))).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    targets = targets.withColumn("certain", F.floor(ratio + 1e-12)).withColumn("rest", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
     targets = materialize(targets, "targets")
     few = targets.count() <= BROADCAST_SOURCES
 
@@ -72,46 +90,57 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     by_source = targets.withColumnRenamed("source", "of")
     rated = base.join(per_source(by_source), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
+    # a row per source and size: no more than there are different sizes
+    sizes = rated.where("size > 0 and rest > 0").groupBy("rank", "size").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
+    chances = materialize(inclusion(sizes, tilt).withColumnsRenamed({"rank": "of", "size": "sized"}), "chances")
+    few_sizes = chances.count() <= BROADCAST_SIZES
+    rated = rated.join(F.broadcast(chances) if few_sizes else chances, (F.col("rank") == F.col("of")) & (F.col("size") == F.col("sized")), "left").drop("of", "sized")
+    odds = F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("u") * (1 - F.col("p")) / ((1 - F.col("u")) * F.col("p")))
     rated = rated.withColumn("order", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("order") * BINS), F.lit(BINS - 1)))
 
-    sampled = rated.where("p > 0 and size > 0")
+    sampled = rated.where("p > 0 and p < 1")
+    drawn = rated.where("p = 1").groupBy("rank").agg(F.sum("size").alias("drawn"))
     place = F.struct("order", "id", "row")
-    gaps, first_ends, extra, rounds = targets.select("rank", F.col("rest").alias("open")), None, None, 0
-    while True:
+    taken = F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")) | F.coalesce(place < F.col("stop"), F.lit(False))
+    # what certain copies leave of the rest; a rounding error may leave less than nothing
+    gaps = targets.join(drawn, "rank", "left").select("rank", (F.col("rest") - F.coalesce("drawn", F.lit(0))).alias("open"), F.lit(None).cast(sampled.select(place.alias("x")).schema["x"].dataType).alias("last"))
+    gaps, first, extra, still, past = materialize(gaps.where("open >= 1"), "gaps"), None, None, None, []
+    while not gaps.isEmpty():
         # what doesn't fit the gap now won't fit later
-        waiting = sampled.join(per_source(gaps), "rank").where("size <= open")
-        if rounds:
-            waiting = waiting.where(place > F.col("last"))
+        waiting = sampled.join(per_source(gaps), "rank").where((F.col("size") <= F.col("open")) & (F.col("last").isNull() | (place > F.col("last"))))
         bins = waiting.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size"), F.any_value("open").alias("open"))
-        upto = F.sum("bin_size").over(Window.partitionBy("rank").orderBy("bin"))
         # the bin in which a source's sample ends: null where all of its documents fit
-        summed = bins.withColumn("upto", upto).withColumn("over", F.col("upto") > F.col("open"))
-        ends = summed.groupBy("rank").agg(F.min(F.when(F.col("over"), F.col("bin"))).alias("end_bin"), F.min(F.when(F.col("over"), F.col("upto") - F.col("bin_size"))).alias("before"))
+        summed = bins.withColumn("upto", F.sum("bin_size").over(Window.partitionBy("rank").orderBy("bin"))).withColumn("over", F.col("upto") > F.col("open"))
+        ends = summed.groupBy("rank").agg(F.min(F.when(F.col("over"), F.col("bin"))).alias("end_bin"), F.min(F.when(F.col("over"), F.col("upto") - F.col("bin_size"))).alias("before"), F.sum("bin_size").alias("total"), F.first("open").alias("was"))
         ends = materialize(ends, "ends")
-        placed = waiting.join(per_source(ends), "rank")
-        # that bin row by row
+        # that bin row by row, up to the first document that doesn't fit
         exact = Window.partitionBy("rank").orderBy("order", "id", "row")
-        inside = placed.where("bin = end_bin").withColumn("upto", F.col("before") + F.sum("size").over(exact)).where("upto <= open")
-        inside = materialize(inside.select("rank", "row", "upto"), "inside")
-        reached = per_source(ends.where("end_bin is not null")).join(inside.groupBy("rank").agg(F.max("upto").alias("upto")), "rank", "left").select("rank", F.coalesce("upto", "before").alias("reached"))
-        behind = placed.where("bin >= end_bin").join(inside, ["rank", "row"], "left_anti").withColumn("n", F.row_number().over(exact)).where(f"n <= {FILL}")
-        queue = behind.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("n", "size", "row"))).alias("queue"), F.max_by(place, "n").alias("last"), F.max("n").alias("n"), F.any_value("open").alias("open")).join(reached, "rank")
-        start = F.struct((F.col("open") - F.col("reached")).alias("open"), F.array().cast("array<bigint>").alias("rows"))
-        filled = F.aggregate("queue", start, lambda acc, x: F.when(x["size"] <= acc["open"], F.struct((acc["open"] - x["size"]).alias("open"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc))
-        tried = materialize(queue.select("rank", "n", "last", filled.alias("filled")), "tried")
-        # before the last bin all are taken: in the first round a condition on each row says so
-        found = inside.select("row").union(tried.select(F.explode("filled.rows")))
-        if rounds:
-            found = found.union(placed.where("end_bin is null or bin < end_bin").select("row"))
-        first_ends, extra, rounds = ends if first_ends is None else first_ends, found if extra is None else extra.union(found), rounds + 1
-        gaps = tried.where(f"n = {FILL} and filled.open >= 1").select("rank", F.col("filled.open").alias("open"), "last")
-        if gaps.isEmpty():
-            break
-        if rounds > 1:
-            extra = materialize(extra, "extra")
-    out = rated.join(per_source(first_ends), "rank", "left").join(extra.withColumn("extra", F.lit(1)), "row", "left")
-    # before the last bin all that fit the whole target are taken; where no bin is the last, that is the whole source
-    prefix = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))
-    copies = (F.col("certain") + F.when(prefix | F.col("extra").isNotNull(), 1).otherwise(0)).cast("long")
+        inside = waiting.join(per_source(ends.where("end_bin is not null").drop("total", "was")), "rank").where("bin = end_bin").withColumn("upto", F.col("before") + F.sum("size").over(exact)).withColumn("fits", F.col("upto") <= F.col("open"))
+        stops = inside.groupBy("rank").agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("upto"), F.min(F.when(~F.col("fits"), place)).alias("stop"))
+        stops = materialize(stops, "stops")
+        reached = ends.join(stops, "rank", "left")
+        if first is None:
+            # the first round takes the bulk: a condition on each row says so; those after it are few rows, written down
+            first = materialize(gaps.join(reached, "rank").select("rank", F.col("open").alias("first_open"), "end_bin", "stop"), "first")
+        else:
+            now = waiting.join(per_source(reached.select("rank", "end_bin", "stop")), "rank").where(taken).select("row")
+            extra = materialize(now if extra is None else extra.union(now), "extra")
+        left = reached.select("rank", (F.col("was") - F.coalesce("upto", "before", "total")).alias("open"), F.col("stop").alias("last")).join(per_source(targets.select("rank", "target")), "rank")
+        left = materialize(left.select("rank", "open", "last", ((F.col("open") >= 1) & (F.col("open") > CLOSE * F.col("target"))).alias("far")), "left")
+        past += [gaps, ends, stops]
+        still = left if still is None else still.union(left)
+        gaps = left.where("far and last is not null").drop("far")
+    discard(*past)
+    out = rated.withColumn("copy", F.col("p") == 1)
+    if first is not None:
+        out = out.join(per_source(first), "rank", "left").withColumn("copy", F.col("copy") | ((F.col("p") < 1) & (F.col("size") <= F.col("first_open")) & taken))
+    if extra is not None:
+        out = out.join(extra.withColumn("extra", F.lit(True)), "row", "left").withColumn("copy", F.col("copy") | F.coalesce("extra", F.lit(False)))
+    if still is not None:
+        # the smallest of those left, if the target is nearer with it than without
+        still = still.groupBy("rank").agg(F.min("open").alias("still"), F.every("far").alias("far")).where("far")
+        passed = out.where("p < 1 and not copy").join(per_source(still), "rank").where("size < 2 * still").groupBy("rank").agg(F.min(F.struct("size", "order", "id", "row")).alias("x"))
+        passed = materialize(passed.select(F.col("x.row").alias("row"), F.lit(True).alias("passed")), "passed")
+        out = out.join(per_source(passed), "row", "left").withColumn("copy", F.col("copy") | F.coalesce("passed", F.lit(False)))
+    copies = (F.col("certain") + F.when(F.col("copy"), 1).otherwise(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
