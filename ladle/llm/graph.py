@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import materialize
+from ladle.llm.storage import discard, join_hot, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,14 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each one aggregate and one
     join, written out after each pair of steps. The number of rounds grows with the logarithm of the
-    graph; a hub's edges are pre-aggregated by min() and never gathered. Edges with a null end and
+    graph. A hub's least neighbour is found by partial aggregates and broadcast to where its edges lie. Edges with a null end and
     loops are passed over; an empty table gives an empty result.
     """
     now = materialize(_oriented(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), "edges")
     before = _digest(now)
     while before[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now, before[0]), before[0]), "edges")
         after = _digest(now)
+        discard(last)
         if after == before:
             break
         before = after
@@ -36,14 +37,14 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
     # every larger neighbour of a node points to the least of its neighbourhood
-    return _oriented(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _oriented(join_hot(both.where("b > a"), least, ["a"], "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    linked = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = join_hot(edges, least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _oriented(linked.union(least.select("a", F.col("m").alias("b"))))

@@ -11,12 +11,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import bound_batches
+from ladle.llm.storage import bound_batches, materialize
 
 #: Bytes of a language's dictionary.
 DICTIONARY_BYTES = 32_768
 #: The dictionaries are filled from so many distinct texts of a language at most, and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 256, 1_000
+#: The languages learned: so many with the most distinct texts, the first in order in a tie.
+MAX_LANGUAGES = 128
 #: Bytes compressed at a time. In a longer block a document's own beginning would take the dictionary's place.
 BLOCK_BYTES = 1_024
 LEVEL = 12
@@ -38,12 +40,17 @@ def letters(text: str | None) -> bytes:
 def _sampled(labelled: DataFrame) -> DataFrame:
     """(lang, text): the beginnings of some distinct texts of each language, those with the smallest hashes."""
     hashed = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    first = hashed.select("lang", "hash").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(f"n <= {SAMPLE_TEXTS}")
-    return hashed.join(F.broadcast(first.drop("n")), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text")).orderBy("lang", "hash")
+    counts = hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    common = materialize(counts.orderBy(F.desc("texts"), "lang").limit(MAX_LANGUAGES), "languages")
+    # of a language with many texts, a bound on the hashes leaves some three times the sample before rows are dealt out by language
+    place = F.pmod("hash", F.lit(1 << 31))
+    few = hashed.join(F.broadcast(common), "lang").where((F.col("texts") <= 8 * SAMPLE_TEXTS) | (place < 3 * SAMPLE_TEXTS / F.col("texts") * (1 << 31)))
+    first = few.select("lang", "hash").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "hash"))).where(f"n <= {SAMPLE_TEXTS}")
+    return few.join(F.broadcast(first.drop("n")), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text")).orderBy("lang", "hash")
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
-    """A dictionary for each language of the labelled rows, from a sample bounded by SAMPLE_TEXTS and SAMPLE_CHARS.
+    """A dictionary for each language of the labelled rows, from a sample bounded by MAX_LANGUAGES, SAMPLE_TEXTS and SAMPLE_CHARS.
 
     Rows without language or text, and texts without letters, teach nothing. A language is learned from its texts only."""
     rows = _sampled(labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))).collect()

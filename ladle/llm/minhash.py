@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm import text as words
 from ladle.llm.graph import components
-from ladle.llm.storage import bound_batches, materialize
+from ladle.llm.storage import bound_batches, discard, join_hot, materialize
 
 #: Shingles in a block of a cluster, on average; two blocks are compared in one task's memory.
 BLOCK_SHINGLES = 40_000
@@ -174,13 +174,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one representative of each distinct set: only those are banded and compared
     reps = marked.where("rep is null or id = rep")
     band = reps.select("id", F.explode("bands").alias("key"))
-    least = band.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last")
-    candidates = band.join(least.select("key", "center"), "key").where("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    least = materialize(band.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count("*").alias("n")).where("center < last").drop("last"), "buckets")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    candidates = join_hot(band, least, ["key"], "n", total, F.col("id") != F.col("center")).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     clusters = materialize(components(candidates).select(F.col("node").alias("id"), F.col("component").alias("cluster")).distinct(), "clusters")
+    discard(least)
     found = _confirmed(given, clusters, per_cent, shingle)
     # equal sets are links as well
     equal = marked.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reached = components(found.union(equal))
+    discard(found, clusters, repeated)
     return (
         sketch.select("id", "n_shingles")
         .join(reached, F.col("id") == F.col("node"), "left")
@@ -193,8 +196,8 @@ def _confirmed(given: DataFrame, clusters: DataFrame, per_cent: int, shingle: in
     small = clusters.count() <= BROADCAST_IDS
     texts = given.where("id is not null").join(F.broadcast(clusters) if small else clusters, "id").select("cluster", "id", "text")
     sets = materialize(texts.mapInArrow(_sets(shingle), "cluster long, id long, n long, shingles binary").where("n > 0"), "sets")
-    blocks = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    dealt = join_hot(sets, blocks, ["cluster"], "members", sets.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # the block size is bounded by the deal, however large the cluster
     packed = materialize(dealt.groupBy("cluster", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("id", "shingles"))).alias("docs")), "blocks")
     pairs = (
@@ -202,4 +205,6 @@ def _confirmed(given: DataFrame, clusters: DataFrame, per_cent: int, shingle: in
         .join(packed.select("cluster", F.col("block").alias("right_block"), F.col("docs").alias("right_docs")), ["cluster", "right_block"])
         .where((F.col("left_block") != F.col("right_block")) | (F.size("left_docs") > 1))
     )
-    return materialize(pairs.select("left_docs", "right_docs").mapInArrow(_forest(per_cent), "a long, b long"), "links")
+    links = materialize(pairs.select("left_docs", "right_docs").mapInArrow(_forest(per_cent), "a long, b long"), "links")
+    discard(sets, packed)
+    return links

@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of rows in an Arrow batch; a longer row makes a batch of its own.
 BATCH_BYTES = 8 << 20
+#: A key with over 1 / HOT_SHARE of a table's rows is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a new local folder."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset: a new folder if the session runs on this machine alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ladle-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -22,8 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that go to Python tasks by bytes: rows with long texts or packed blocks come a few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bounds the Arrow batches that go to Python tasks by bytes: rows with long texts or packed blocks come a few at a time.
+
+    Results are lazy, so the session keeps the option; a bound that it has already, if smaller, stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key, None)
+    if not given or not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -31,7 +41,38 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back. It cuts lineage, and outlives a lost executor."""
+    """Writes df to the shared folder and reads it back. It cuts lineage, and outlives a lost executor.
+
+    The table stays until ``discard``, or until the application clears the folder: results are lazy and may need it."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once all that was made of them has been written itself."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, where: Column | None = None) -> DataFrame:
+    """Inner join of rows with keyed, which has a row per key and in ``count`` its number of rows, of ``total`` in all.
+
+    Keys with over 1 / HOT_SHARE of all rows, fewer than HOT_SHARE by that, are broadcast, so that their rows
+    stay where they are; the others' rows are shuffled. where: a condition on the joined rows."""
+    hot = F.col(count) > max(1, total // HOT_SHARE)
+    names = [c for c in keyed.columns if c not in keys and c != count]
+    if hasattr(keyed, "written_to") and keyed.where(hot).isEmpty():
+        out = rows.join(keyed.drop(count).hint("merge"), keys).select(*rows.columns, *names)
+        return out if where is None else out.where(where)
+    few = F.broadcast(keyed.where(hot).select(*keys, *names, F.lit(True).alias("is_hot")))
+    met = rows.join(few, keys, "left")
+    first = met.where("is_hot").drop("is_hot")
+    rest = met.where("is_hot is null").select(*rows.columns).join(keyed.where(~hot).drop(count).hint("merge"), keys)
+    out = first.select(*rows.columns, *names).union(rest.select(*rows.columns, *names))
+    return out if where is None else out.where(where)
