@@ -61,6 +61,18 @@ def inclusion(sizes: DataFrame, tilt: float = TILT) -> DataFrame:
     return leveled.select("rank", "size", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("fixed") / full, F.lit(1.0)))).alias("p"))
 
 
+def _exchanged(out: DataFrame, still: DataFrame, per_source) -> DataFrame:
+    """(row, becomes) for sources that are still words short of their target: the smallest document without the copy gets it, and
+    that with the copy whose size makes up for it best loses it, or none does; two rows of a source at most, and none where the target gets no nearer."""
+    least = out.where("size > 0 and not copy").join(per_source(still), "rank").groupBy("rank", "still").agg(F.min(F.struct("size", "order", "id", "row")).alias("x"))
+    least = materialize(least.select("rank", "still", F.col("x.size").alias("wide"), F.col("x.row").alias("taken")), "least")
+    off = F.abs(F.col("wide") - F.col("size") - F.col("still"))
+    given = out.where("copy").join(per_source(least), "rank").groupBy("rank").agg(F.min(F.struct(off.alias("off"), F.col("size"), F.col("order"), F.col("id"), F.col("row"))).alias("y"))
+    alone = F.abs(F.col("wide") - F.col("still"))
+    both = least.join(given, "rank", "left").withColumn("swap", F.coalesce(F.col("y.off") < alone, F.lit(False))).where(F.when(F.col("swap"), F.col("y.off")).otherwise(alone) < F.col("still"))
+    return materialize(both.select(F.col("taken").alias("row"), F.lit(True).alias("becomes")).union(both.where("swap").select("y.row", F.lit(False))), "exchanged")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, tilt: float = TILT, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: (id_col, size, source_size, target, copies, taken), a row per row of docs.
 
@@ -68,7 +80,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gets floor(ratio) certain copies. One copy more has the inclusion probability p of ``inclusion``, which falls with the
     size; documents with p = 1 are certain of it. The others are ranked by (u / (1 - u)) / (p / (1 - p)), u drawn from id and size, and taken in this
     order, each if it still fits the rest of the target, until CLOSE of the target is left open at most or nothing that waits fits;
-    then the smallest of the others is taken if the target is nearer with it. taken = size * copies. Reruns agree, as u follows from seed, id and size.
+    then the smallest of the others is taken, alone or for one that was taken, if the target is nearer with it. taken = size * copies. Reruns agree, as u follows from seed, id and size.
 
     A null source is a source; a null or empty text has size 0 and takes nothing; a source without words
     has target 0. Equal rows are told apart by no more than which of them gets the copy. Other columns are not looked at.
@@ -104,7 +116,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")) | F.coalesce(place < F.col("stop"), F.lit(False))
     # what certain copies leave of the rest; a rounding error may leave less than nothing
     gaps = targets.join(drawn, "rank", "left").select("rank", (F.col("rest") - F.coalesce("drawn", F.lit(0))).alias("open"), F.lit(None).cast(sampled.select(place.alias("x")).schema["x"].dataType).alias("last"))
-    gaps, first, extra, still, past = materialize(gaps.where("open >= 1"), "gaps"), None, None, None, []
+    gaps, first, extra, past = materialize(gaps.where("open >= 1"), "gaps"), None, None, []
+    still = gaps.join(per_source(targets.select("rank", "target")), "rank").select("rank", "open", "last", (F.col("open") > CLOSE * F.col("target")).alias("far"))
     while not gaps.isEmpty():
         # what doesn't fit the gap now won't fit later
         waiting = sampled.join(per_source(gaps), "rank").where((F.col("size") <= F.col("open")) & (F.col("last").isNull() | (place > F.col("last"))))
@@ -127,20 +140,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             extra = materialize(now if extra is None else extra.union(now), "extra")
         left = reached.select("rank", (F.col("was") - F.coalesce("upto", "before", "total")).alias("open"), F.col("stop").alias("last")).join(per_source(targets.select("rank", "target")), "rank")
         left = materialize(left.select("rank", "open", "last", ((F.col("open") >= 1) & (F.col("open") > CLOSE * F.col("target"))).alias("far")), "left")
-        past += [gaps, ends, stops]
-        still = left if still is None else still.union(left)
+        past += [ends, stops]
+        still = still.union(left)
         gaps = left.where("far and last is not null").drop("far")
-    discard(*past)
-    out = rated.withColumn("copy", F.col("p") == 1)
+    out = rated.withColumn("copy", F.coalesce(F.col("p") == 1, F.lit(False)))
     if first is not None:
-        out = out.join(per_source(first), "rank", "left").withColumn("copy", F.col("copy") | ((F.col("p") < 1) & (F.col("size") <= F.col("first_open")) & taken))
+        out = out.join(per_source(first), "rank", "left").withColumn("copy", F.col("copy") | F.coalesce((F.col("p") < 1) & (F.col("size") <= F.col("first_open")) & taken, F.lit(False)))
     if extra is not None:
         out = out.join(extra.withColumn("extra", F.lit(True)), "row", "left").withColumn("copy", F.col("copy") | F.coalesce("extra", F.lit(False)))
-    if still is not None:
-        # the smallest of those left, if the target is nearer with it than without
-        still = still.groupBy("rank").agg(F.min("open").alias("still"), F.every("far").alias("far")).where("far")
-        passed = out.where("p < 1 and not copy").join(per_source(still), "rank").where("size < 2 * still").groupBy("rank").agg(F.min(F.struct("size", "order", "id", "row")).alias("x"))
-        passed = materialize(passed.select(F.col("x.row").alias("row"), F.lit(True).alias("passed")), "passed")
-        out = out.join(per_source(passed), "row", "left").withColumn("copy", F.col("copy") | F.coalesce("passed", F.lit(False)))
+    still = materialize(still.groupBy("rank").agg(F.min("open").alias("still"), F.every("far").alias("far")).where("far").drop("far"), "still")
+    if not still.isEmpty():
+        out = out.join(per_source(_exchanged(out, still, per_source)), "row", "left").withColumn("copy", F.coalesce("becomes", "copy"))
+    discard(*past)
     copies = (F.col("certain") + F.when(F.col("copy"), 1).otherwise(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -65,7 +65,7 @@ def test_components(spark):
 # 1
 
 
-def brute_components(docs):
+def brute_components(docs, per_cent=85):
     sets = {}
     for i, t in docs:
         w = t.encode().lower().split()
@@ -80,7 +80,7 @@ def brute_components(docs):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if any(x and y and 100 * len(x & y) >= per_cent * len(x | y) for x in sets[a] for y in sets[b]):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: find(i) for i in ids}
@@ -411,11 +411,11 @@ def brute_removal(docs, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("anchors", "marks"), [(suffix.BROADCAST_ANCHORS, suffix.BROADCAST_MARKS), (0, 0)])
-def test_repeats_equal_brute_force(spark, anchors, marks):
+@pytest.mark.parametrize(("anchors", "marks", "leaves"), [(suffix.BROADCAST_ANCHORS, suffix.BROADCAST_MARKS, suffix.GROUP_LEAVES), (0, 0, suffix.GROUP_LEAVES), (0, 0, 3)])
+def test_repeats_equal_brute_force(spark, anchors, marks, leaves):
     passage = " ".join(f"p{i}" for i in range(40))
     docs = documents(spark) + [(5000 + k, f"{'y' * k} {passage} z{k}") for k in range(6)] + [(6000, passage), (6000, passage + " tail"), (None, passage)]
-    out = suffix.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), broadcast_anchors=anchors, broadcast_marks=marks).collect()
+    out = suffix.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), broadcast_anchors=anchors, broadcast_marks=marks, group_leaves=leaves).collect()
     assert sorted(map(tuple, out), key=repr) == brute_removal(docs)
 
 
@@ -438,7 +438,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     verdict = language.identify(docs, language.learn(docs.where(language.fold() != 1)))
     assert {r[0] for r in named.select("doc_id").collect()} == {r["doc_id"] for r in verdict.where("not rejected").collect()} and named.columns == docs.columns
     unique = p.drop_near_duplicates(spark, named, SF)
-    roots = brute_components([(r["doc_id"], r["text"] or "") for r in named.collect()])
+    roots = brute_components([(r["doc_id"], r["text"] or "") for r in named.collect()], 80)
     assert {r["doc_id"] for r in unique.collect()} == set(roots.values())
     clean = p.decontaminate(spark, unique, SF)
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -478,10 +478,125 @@ def test_near_dedup_stage_links_at_80_per_cent(spark):
     assert {r["doc_id"] for r in p.drop_near_duplicates(spark, df, SF).collect()} == set(root)
 
 
-def test_mix_fills_the_gap_beyond_one_round(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "FILL", 3)
-    # a long document early in rank, which doesn't fit once the first tenth is taken
-    long_id = next(i for i in range(1000, 2000) if 0.12 < int(hashlib.md5(f"mix|{i}|3000".encode()).hexdigest()[:13], 16) / (1 << 52) < 0.2)
-    docs = [(i, "a b c d e f g", "en", "s") for i in range(500)] + [(long_id, "w " * 3000, "en", "s")]
+def test_mix_fills_the_gap_behind_a_long_document(spark):
+    docs = [(i, "a b c d e f g", "en", "s") for i in range(500)] + [(1000, "w " * 3000, "en", "s")]
     rows = mixing.mix_sources(spark.createDataFrame(docs, SCHEMA)).collect()
     assert len(rows) == 501 and 0 <= rows[0]["target"] - sum(r["taken"] for r in rows) < 7
+    # all short ones are certain of a copy, and the target is nearer with a long one than without
+    docs += [(1001, "w " * 3000, "en", "s"), (1002, "w " * 3000, "en", "s")]
+    out = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert out == {docs[i][0]: n for i, n in brute_mix([(i, x, s) for i, x, _, s in docs]).items()} and abs(sum(out.values()) - 18_750) <= 250
+
+
+def brute_mix(docs, tilt=mixing.TILT, close=mixing.CLOSE):
+    """{row: words taken} of (id, text, source) rows, by the docstring of mix_sources."""
+    size = [len(word_list(t)) for _, t, _ in docs]
+    whole = {s: sum(z for z, d in zip(size, docs) if d[2] == s) for *_, s in docs}
+    targets, copies = brute_targets(whole), {}
+    for s in whole:
+        mine = [i for i, d in enumerate(docs) if d[2] == s]
+        certain = int(targets[s] / whole[s] + 1e-12) if whole[s] else 0
+        open_ = targets[s] - certain * whole[s]
+        copies |= dict.fromkeys(mine, certain)
+        pool = sorted((size[i], i) for i in mine if size[i] and open_ > 0)
+        c, rest = None, open_
+        for z in sorted({z for z, _ in pool}):
+            c = rest / sum(y ** (1 - tilt) for y, _ in pool if y >= z)
+            if c <= z**tilt:
+                break
+            rest, c = rest - sum(y for y, _ in pool if y == z), None
+        waiting = []
+        for z, i in pool:
+            p = 1.0 if c is None else min(1.0, c / z**tilt)
+            u = (int(hashlib.md5(f"mix|{'null' if docs[i][0] is None else docs[i][0]}|{z}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            if p == 1:
+                copies[i], open_ = certain + 1, open_ - z
+            else:
+                waiting.append((u * (1 - p) / ((1 - u) * p), z, i))
+        waiting.sort()
+        while open_ >= 1 and open_ > close * targets[s]:
+            waiting = [w for w in waiting if w[1] <= open_]
+            stop = None
+            for k, (_, z, i) in enumerate(waiting):
+                if z > open_:
+                    stop = k
+                    break
+                copies[i], open_ = certain + 1, open_ - z
+            if stop is None:
+                break
+            waiting = waiting[stop + 1 :]
+        left = sorted((size[i], i) for i in mine if size[i] and copies[i] == certain)
+        if open_ >= 1 and open_ > close * targets[s] and left and pool:
+            wide, taken = left[0]
+            off, _, given = min(((abs(wide - size[i] - open_), size[i], i) for i in mine if copies[i] > certain), default=(math.inf, 0, None))
+            if min(off, abs(wide - open_)) < open_:
+                copies[taken] += 1
+                if off < abs(wide - open_):
+                    copies[given] -= 1
+    return {i: copies[i] * size[i] for i in copies}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mix_equals_brute_force(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 11 != 0, F.col("source"))).select("doc_id", "text", "source")
+    docs = sorted(map(tuple, df.collect()))
+    expected = brute_mix(docs)
+    out = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(df).collect()}
+    assert out == {docs[i][0]: n for i, n in expected.items()}
+
+
+def test_word_ids_are_those_of_whole_texts():
+    """Every letter that normalisation changes and every mark, next to closing punctuation and to letters in upper case."""
+    import unicodedata
+
+    encoder = tokens.WordEncoder(WORDS)
+    normal = encoder.tokenizer.normalizer.normalize_str
+    odd_letters = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if unicodedata.category(c)[0] in "LM" and (normal(c) != c or unicodedata.category(c)[0] == "M")]
+    assert len(odd_letters) > 10_000
+    texts = [" ".join(f"a{c}{p} {c}{p} W{c}{p}" for c, p in zip(odd_letters[at : at + 40], ".,!?)" * 8)) for at in range(0, len(odd_letters), 40)]
+    for t in texts:
+        w = encoder.words(t.encode())
+        known = encoder.ids([w])
+        assert np.frombuffer(b"".join(known[x] for x in w), "<u2").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_tiles_equal_brute_force_on_random_texts():
+    rng = np.random.default_rng(7)
+    for _ in range(2_000):
+        letters = "abcdefghij"[: rng.integers(2, 10)]
+        item = list(rng.choice(list(letters), rng.integers(5, 25)))
+        text_ = sum((item[a : a + n] + list(rng.choice(list(letters), k)) for a, n, k in zip(rng.integers(0, len(item), 4), rng.integers(1, 14, 4), rng.integers(0, 4, 4))), [])
+        codes = {c: np.uint64(ord(c) * 0x9E3779B97F4A7C15 % (1 << 64)) for c in letters}
+        found = tiling.tiles(*(np.array([codes[c] for c in x], dtype=np.uint64) for x in (item, text_)), 5)
+        assert sum(k for k, _, _ in found) / len(item) == pytest.approx(brute_coverage(" ".join(item), " ".join(text_)))
+
+
+def test_near_pairs_share_a_band():
+    """Misses among pairs just above the link: the formula gives 2e-7 of them."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(1_500):
+        n = int(rng.integers(60, 400))
+        shared, own = rng.integers(0, 1 << 62, n, dtype=np.uint64), rng.integers(0, 1 << 62, 2 * max(1, round(n * 0.085)), dtype=np.uint64)
+        pairs += [np.unique(np.concatenate([shared, own[::2]])), np.unique(np.concatenate([shared, own[1::2]]))]
+    keys = minhash.band_keys(pairs, 48, 8)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, repeated ids, extra columns with names that stages use, empty tables."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, None), (None, "one two three four five six"), (2, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.withColumns({"copy": F.lit("c"), "copies": F.lit("d"), "mixed": F.lit("e"), "document": F.lit(3), "col": F.lit(4)})
+    for table, same in ((docs, docs.columns), (empty, empty.columns)):
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == same and out.schema == table.schema
+            rows = out.collect()
+            assert all(r["copy"] == "c" and r["copies"] == "d" and r["document"] == 3 for r in rows if "copy" in same)
+            assert bool(rows) == (table is docs)
+        assert p.write_tokens(spark, table, str(tmp_path)).count() == table.count()
+    kept = {r["doc_id"] for r in p.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert 4 in kept and 5 not in kept and None in kept
+    assert None in {r["doc_id"] for r in p.decontaminate(spark, docs, str(tmp_path)).collect()}
