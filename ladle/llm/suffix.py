@@ -1,12 +1,14 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-The suffixes of all documents, cut at ``window`` words, are the leaves of a tree. Range partitioning
-deals them out by prefixes of as many words as it takes to make parts of even size; a part, sorted,
-is a subtree, whose internal nodes at full depth are the passages that occur in several documents.
-
-Before that, an exact filter drops most suffixes: of the short word sequences inside a window the one
-with the smallest hash is its anchor, equal windows have equal anchors, and so a window whose anchor
-occurs in one document only is no repeat.
+Of the short word sequences inside a window of 13 words the one with the smallest hash is its anchor: equal
+windows have equal anchors in equal places. So it is enough to keep the suffixes that begin at anchors, with
+the words before them, a fifth of all. An anchor that occurs in one document only begins no repeat.
+
+Suffixes are dealt out by the prefix that they share, the anchor, and sorted by their words. From the longest common
+prefixes of neighbours follow the internal nodes of a group's subtree; a node of depth d, extended to the left by the
+words that its leaves share there, is a repeat of all windows that it spans. Prefixes differ in length: where an
+anchor has more leaves than a group may hold, its windows are told apart by all their words, which leaves one node
+for each, found by partial aggregates.
 """
 
 from __future__ import annotations
@@ -19,31 +21,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import bound_batches, materialize
+from ladle.llm.storage import bound_batches, discard, join_hot, materialize
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
 #: Repeated anchors are broadcast up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_ANCHORS = 4_000_000
-#: Marks are broadcast up to this number of removed windows (8 bytes each); beyond it they are joined.
+#: Marks are broadcast up to this number (some 12 bytes each); beyond it they are joined.
 BROADCAST_MARKS = 2_000_000
-#: Words of a suffix that are spelt out in its sort key; the rest of its path is in its fingerprint.
-PREFIX_WORDS = 4
+#: Leaves of a group, some 150 bytes each. An anchor with more of them, and with over a millionth of all, has its windows told apart by all their words.
+GROUP_LEAVES = 200_000
+MOST_SPLIT = 1_000_000
 
 
-def _windows(chunk: words.Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows inside documents: first word, document within the chunk, anchor."""
+def _windows(chunk: words.Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows inside documents: first word, document within the chunk, anchor, first word of the anchor."""
     grams = chunk.grams(ANCHOR_WORDS)
     size = len(chunk.hash) - window + 1
     if size <= 0:
         none = np.empty(0, dtype=np.int64)
-        return none, none, np.empty(0, dtype=words.U64)
-    anchor = grams[:size].copy()
+        return none, none, np.empty(0, dtype=words.U64), none
+    anchor, place = grams[:size].copy(), np.zeros(size, dtype=np.int64)
     for k in range(1, window - ANCHOR_WORDS + 1):
+        less = grams[k : k + size] < anchor
+        place[less] = k
         np.minimum(anchor, grams[k : k + size], out=anchor)
     doc = np.repeat(np.arange(len(chunk.word_from) - 1), np.diff(chunk.word_from))
     at = np.flatnonzero(doc[:size] == doc[window - 1 :])
-    return at, doc[at], anchor[at]
+    return at, doc[at], anchor[at], at + place[at]
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -55,19 +60,19 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return differs
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The first column, and which of it is not null."""
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids, which of them are not null, and the hashes of the texts."""
     column = batch.column(0)
-    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
 
 
 def _anchors(window: int):
     def run(batches):
         for batch in batches:
-            ids, valid = _ids(batch)
+            ids, valid, _ = _ids(batch)
             for chunk in words.chunks(batch.column(1)):
-                _, doc, anchor = _windows(chunk, window)
-                new = _changes(doc, anchor) & valid[chunk.first + doc]
+                _, doc, anchor, place = _windows(chunk, window)
+                new = _changes(doc, place) & valid[chunk.first + doc]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[chunk.first + doc[new]])], ["anchor", "id"])
 
     return run
@@ -80,123 +85,179 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(at, len(ordered) - 1)] == values
 
 
-def _candidates(batch: pa.RecordBatch, window: int, anchors):
-    """For each chunk of a batch: the chunk, and first word and document of the windows that may be repeats."""
-    ids, valid = _ids(batch)
-    own = None if anchors is not None else batch.column(2)
-    for chunk in words.chunks(batch.column(1)):
-        at, doc, anchor = _windows(chunk, window)
-        runs = np.flatnonzero(_changes(doc, anchor))
-        if own is None:
-            among = _among(anchor[runs], anchors.value)
-        else:
-            among = np.zeros(len(runs), dtype=bool)
-            for d in np.unique(doc[runs]):
-                if (mine := own[int(chunk.first + d)]).is_valid:
-                    here = doc[runs] == d
-                    among[here] = np.isin(anchor[runs[here]], mine.values.to_numpy(zero_copy_only=False).view(words.U64))
-        chosen = np.repeat(among, np.diff(np.append(runs, len(at)))) & valid[chunk.first + doc]
-        yield chunk, at[chosen], ids[chunk.first + doc[chosen]]
-
-
-def _suffixes(window: int, anchors):
-    """(p1, p2, fingerprint, low, high): a batch's suffixes, equal ones once with their smallest and largest id."""
+def _of_documents(anchor: np.ndarray, doc: np.ndarray, own: pa.Array, first: int) -> np.ndarray:
+    """Whether an anchor is in the list of its document."""
+    among = np.zeros(len(anchor), dtype=bool)
+    for d in np.unique(doc):
+        if (mine := own[int(first + d)]).is_valid:
+            here = doc == d
+            among[here] = np.isin(anchor[here], mine.values.to_numpy(zero_copy_only=False).view(words.U64))
+    return among
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix of words' codes."""
+    size = rows.shape[1] * 4
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * size).tobytes()), pa.py_buffer(np.ascontiguousarray(rows, dtype="<u4").tobytes())])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(column.buffers()[2], dtype="<u4", count=(column.offset + len(column)) * width).reshape(-1, width)[column.offset :]
+
+
+def _leaves(window: int, anchors, split):
+    """(anchor, right, left, id, hash, at): suffixes at repeated anchors. right: codes of window words from the anchor on,
+    left: of the words before it, the nearest first; 0 beyond the document's ends."""
+    back = window - ANCHOR_WORDS
+
+    def run(batches):
+        for batch in batches:
+            ids, valid, hashes = _ids(batch)
+            for chunk in words.chunks(batch.column(1)):
+                _, doc, anchor, place = _windows(chunk, window)
+                new = np.flatnonzero(_changes(doc, place) & valid[chunk.first + doc])
+                doc, anchor, place = doc[new], anchor[new], place[new]
+                among = _among(anchor, anchors.value) if anchors is not None else _of_documents(anchor, doc, batch.column(3), chunk.first)
+                chosen = np.flatnonzero(among & ~_among(anchor, split.value))
+                doc, anchor, place = doc[chosen], anchor[chosen], place[chosen]
+                code = np.concatenate([np.maximum(chunk.hash >> words.U64(32), words.U64(1)).astype(np.uint32), np.zeros(1, np.uint32)])
+                ahead, behind = place[:, None] + np.arange(window), place[:, None] - np.arange(1, back + 1)
+                right = code[np.where(ahead < chunk.word_from[doc + 1][:, None], ahead, len(code) - 1)]
+                left = code[np.where(behind >= chunk.word_from[doc][:, None], behind, len(code) - 1)]
+                row = chunk.first + doc
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), _fixed(right), _fixed(left), pa.array(ids[row]), pa.array(hashes[row]), pa.array(place - chunk.word_from[doc])],
+                    ["anchor", "right", "left", "id", "hash", "at"],
+                )
+
+    return run
+
+
+def repeated_offsets(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each leaf of whole groups, sorted by anchor and right: bit o says that the window which begins o words before it is also in a document with a smaller id.
+
+    Neighbours' common prefixes cut the sorted leaves into the nodes of each depth. A window with o words to the left
+    of the anchor is a node of depth window - o, told apart by those o words."""
+    window, back = right.shape[1], left.shape[1]
+    common = np.zeros(len(ids), dtype=np.int64)
+    common[1:] = np.where(anchor[1:] == anchor[:-1], np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1), 0)
+    mask, before = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=words.U64)
+    for o in range(back + 1):
+        if o:
+            before = words.mix(before + left[:, o - 1].astype(words.U64) * words._GRAM_FACTORS[o])
+        whole = right[:, window - o - 1] != 0
+        if o:
+            whole &= left[:, o - 1] != 0
+        at = np.flatnonzero(whole)
+        if not len(at):
+            continue
+        node = np.cumsum(common < window - o)[at]
+        if o:
+            order = np.lexsort((before[at], node))
+            at, node = at[order], node[order]
+        starts = np.flatnonzero(_changes(node, before[at]))
+        least = np.repeat(np.minimum.reduceat(ids[at], starts), np.diff(np.append(starts, len(at))))
+        mask[at[ids[at] > least]] |= 1 << o
+    return mask
+
+
+def _subtrees(window: int):
+    """Sorted leaves in; (id, hash, at, mask) of those with a repeat out. The group that is still open is carried from batch to batch."""
+
+    def marked(parts: list[pa.RecordBatch], to: int | None = None) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        batch = (table if to is None else table.slice(0, to).combine_chunks()).to_batches()[0]
+        anchor, ids = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        mask = repeated_offsets(anchor, _matrix(batch.column(1), window), _matrix(batch.column(2), window - ANCHOR_WORDS), ids)
+        some = np.flatnonzero(mask)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(batch.column(4).to_numpy()[some]), pa.array(batch.column(5).to_numpy()[some]), pa.array(mask[some])], ["id", "hash", "at", "mask"])
 
     def run(batches):
+        parts: list[pa.RecordBatch] = []
         for batch in batches:
-            parts = []
-            for chunk, at, id_ in _candidates(batch, window, anchors):
-                if len(at):
-                    code = [chunk.hash[at + k] >> words.U64(32) for k in range(PREFIX_WORDS)]
-                    parts.append(np.stack([(code[0] << words.U64(32)) | code[1], (code[2] << words.U64(32)) | code[3], chunk.grams(window)[at], id_.astype(np.int64).view(words.U64)]))
-            if not parts:
+            if not batch.num_rows:
                 continue
-            p1, p2, print_, id_ = np.concatenate(parts, axis=1)
-            order = np.argsort(print_, kind="stable")
-            starts = np.flatnonzero(_changes(print_[order]))
-            first, id_ = order[starts], id_[order].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[first].view(np.int64)) for x in (p1, p2, print_)] + [pa.array(np.minimum.reduceat(id_, starts)), pa.array(np.maximum.reduceat(id_, starts))],
-                ["p1", "p2", "print", "low", "high"],
-            )
+            anchor = batch.column(0).to_numpy()
+            last = int(np.searchsorted(anchor, anchor[-1]))
+            if parts and (last or parts[-1].column(0)[-1].as_py() != anchor[0]):
+                # all groups but the batch's last one are whole
+                yield marked(parts + [batch.slice(0, last)] if last else parts)
+                parts = []
+            elif last:
+                yield marked([batch.slice(0, last)])
+            parts.append(batch.slice(last))
+        if parts:
+            yield marked(parts)
 
     return run
 
 
-def _deep_nodes(batches):
-    """Sorted suffixes in, nodes of full depth with leaves in several documents out: (print, low).
+def _whole_windows(window: int, split):
+    """(h1, h2, id, hash, at) of the windows whose anchors are split: the words of each in 128 bits."""
 
-    Neighbours that agree in their whole key meet in a node of full depth. Only the node that is still
-    open is carried from batch to batch."""
-    open_: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        p1, p2, print_, low, high = (batch.column(i).to_numpy() for i in range(5))
-        starts = np.flatnonzero(_changes(p1, p2, print_))
-        keys = np.stack([p1[starts], p2[starts], print_[starts]], axis=1)
-        low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-        if open_ is not None:
-            if (keys[0] == open_[0]).all():
-                low[0], high[0] = min(low[0], open_[1]), max(high[0], open_[2])
-            elif open_[1] < open_[2]:
-                yield pa.RecordBatch.from_arrays([pa.array([open_[0][2]]), pa.array([open_[1]])], ["print", "low"])
-        open_ = (keys[-1], low[-1], high[-1])
-        deep = low[:-1] < high[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[:-1, 2][deep]), pa.array(low[:-1][deep])], ["print", "low"])
-    if open_ is not None and open_[1] < open_[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([open_[0][2]]), pa.array([open_[1]])], ["print", "low"])
-
-
-def _occurrences(window: int, anchors):
     def run(batches):
         for batch in batches:
-            for chunk, at, id_ in _candidates(batch, window, anchors):
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.grams(window)[at].view(np.int64)), pa.array(id_)], ["print", "id"])
+            ids, valid, hashes = _ids(batch)
+            for chunk in words.chunks(batch.column(1)):
+                at, doc, anchor, _ = _windows(chunk, window)
+                chosen = _among(anchor, split.value) & valid[chunk.first + doc]
+                at, doc = at[chosen], doc[chosen]
+                second = words.grams(words.mix(chunk.hash ^ words._GRAM_FACTORS[63]), window)
+                row = chunk.first + doc
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.grams(window)[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(ids[row]), pa.array(hashes[row]), pa.array(at - chunk.word_from[doc])], ["h1", "h2", "id", "hash", "at"])
 
     return run
 
 
+def _gone(n: int, window: int, marks: np.ndarray) -> np.ndarray:
+    """Which of n words a marked window covers. marks: (at, mask) pairs."""
+    cover = np.zeros(n + 1, dtype=np.int64)
+    for o in range(window - ANCHOR_WORDS + 1):
+        starts = marks[marks[:, 1] >> o & 1 == 1, 0] - o
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + window, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _kept(window: int, marks, with_text: bool):
-    """What is left of each text. marks: {id: removed fingerprints} broadcast, else they are the third column."""
+    """What is left of each text. marks: {(id, hash): (at, mask) pairs} broadcast, else they are the fourth column."""
 
     def run(batches):
         for batch in batches:
-            ids, valid = _ids(batch)
+            ids, valid, hashes = _ids(batch)
             at, data = words.string_buffers(batch.column(1))
-            for chunk in words.chunks(batch.column(1)):
-                prints = chunk.grams(window)
-                rows = []
-                for d in chunk.docs:
-                    i = chunk.first + d
-                    a, b = int(chunk.word_from[d]), int(chunk.word_from[d + 1])
-                    kept = data[at[i] : at[i + 1]].tobytes().split()
-                    if marks is None:
-                        mine = batch.column(2)[i]
-                        mine = mine.values.to_numpy(zero_copy_only=False) if mine.is_valid else None
-                    else:
-                        mine = marks.value.get(int(ids[i])) if valid[i] else None
-                    if mine is not None and b - a >= window:
-                        hit = np.flatnonzero(np.isin(prints[a : b - window + 1].view(np.int64), mine))
-                        cover = np.zeros(b - a + 1, dtype=np.int64)
-                        np.add.at(cover, hit, 1)
-                        np.add.at(cover, hit + window, -1)
-                        gone = np.cumsum(cover[:-1]) > 0
-                        kept = [w for w, g in zip(kept, gone.tolist()) if not g]
-                    joined = b" ".join(kept)
-                    rows.append((b - a, b - a - len(kept), joined if with_text else hashlib.sha256(joined).hexdigest()))
-                n, removed, last = zip(*rows)
-                last = pa.array([x.decode() for x in last] if with_text else last, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(rows)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), last], ["id", "n_words", "n_removed", "kept"])
+            rows = []
+            for i in range(batch.num_rows):
+                kept = data[at[i] : at[i + 1]].tobytes().split()
+                n = len(kept)
+                if marks is None:
+                    mine = batch.column(3)[i]
+                    mine = mine.values.to_numpy(zero_copy_only=False) if mine.is_valid else None
+                else:
+                    mine = marks.value.get((int(ids[i]), int(hashes[i]))) if valid[i] else None
+                if mine is not None:
+                    kept = [w for w, g in zip(kept, _gone(n, window, mine.reshape(-1, 2)).tolist()) if not g]
+                joined = b" ".join(kept)
+                rows.append((n, n - len(kept), joined if with_text else hashlib.sha256(joined).hexdigest()))
+            n, removed, last = zip(*rows) if rows else ((), (), ())
+            last = pa.array([x.decode() for x in last] if with_text else last, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), last], ["id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _broadcast(docs: DataFrame, values: np.ndarray):
+def _broadcast(docs: DataFrame, values):
     return docs.sparkSession.sparkContext.broadcast(values)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False, broadcast_anchors: int = BROADCAST_ANCHORS, broadcast_marks: int = BROADCAST_MARKS) -> DataFrame:
+def _sorted_anchors(df: DataFrame) -> np.ndarray:
+    return np.sort(df.select("anchor").toArrow()["anchor"].to_numpy().astype(np.int64).view(words.U64))
+
+
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False,
+    broadcast_anchors: int = BROADCAST_ANCHORS, broadcast_marks: int = BROADCAST_MARKS, group_leaves: int = GROUP_LEAVES,
+) -> DataFrame:
     """Documents without passages of window words or more that occur in a document with a smaller id.
 
     (id_col, n_words, n_removed, kept_text or kept_sha256), a row per row of docs. A word goes if any
@@ -204,26 +265,41 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     input. Kept words are joined by one space. Words are runs of characters other than space and
     0x09-0x0D, unchanged; a null text has none. Texts with fewer words than a window stay whole, and so
     do rows without an id, which also take nothing from others. Rows that share an id are one document: none loses a passage to another.
-    Other columns of docs are not looked at.
+    Other columns of docs are not looked at. window: from 5 to 60 words.
+
+    Words are compared by 32 bits of their hashes: windows with a common anchor that differ in one word are taken
+    for equal with a chance of 2 ** -32.
     """
     bound_batches(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col).cast("string")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     anchor = given.mapInArrow(_anchors(window), "anchor long, id long")
-    repeated = materialize(anchor.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchors")
-    if repeated.count() <= broadcast_anchors:
-        anchors, source = _broadcast(docs, np.sort(repeated.toArrow()["anchor"].to_numpy().astype(np.int64).view(words.U64))), given
+    repeated = materialize(anchor.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "anchors")
+    n_anchors, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    large = repeated.where(F.col("n") > max(group_leaves, total // MOST_SPLIT))
+    split = _sorted_anchors(large)  # fewer than MOST_SPLIT
+    if n_anchors <= broadcast_anchors:
+        anchors, source = _broadcast(docs, _sorted_anchors(repeated)), given
     else:
-        mine = anchor.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-        anchors, source = None, given.join(mine, "id").select("id", "text", "anchors")
-    suffixes = source.mapInArrow(_suffixes(window, anchors), "p1 long, p2 long, print long, low long, high long")
-    subtrees = suffixes.repartitionByRange("p1", "p2", "print").sortWithinPartitions("p1", "p2", "print")
-    nodes = subtrees.mapInArrow(_deep_nodes, "print long, low long").groupBy("print").agg(F.min("low").alias("low"))
-    found = source.mapInArrow(_occurrences(window, anchors), "print long, id long")
-    marks = materialize(found.join(nodes, "print").where("id > low").groupBy("id").agg(F.collect_set("print").alias("prints")), "marks")
-    if (marks.agg(F.sum(F.size("prints"))).first()[0] or 0) <= broadcast_marks:
+        own = join_hot(anchor, repeated, ["anchor"], "n", total).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+        anchors, source = None, given.join(own, "id").select("id", "text", "hash", "anchors")
+    splits = _broadcast(docs, split)
+    leaves = source.mapInArrow(_leaves(window, anchors, splits), "anchor long, right binary, left binary, id long, hash long, at long")
+    found = leaves.repartition("anchor").sortWithinPartitions("anchor", "right").mapInArrow(_subtrees(window), "id long, hash long, at long, mask long")
+    if len(split):
+        whole = materialize(given.mapInArrow(_whole_windows(window, splits), "h1 long, h2 long, id long, hash long, at long"), "windows")
+        nodes = materialize(whole.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "nodes")
+        n_whole = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        found = found.union(join_hot(whole, nodes, ["h1", "h2"], "n", n_whole, F.col("id") > F.col("low")).select("id", "hash", "at", F.lit(1).cast("long").alias("mask")))
+    marks = materialize(found.groupBy("id", "hash").agg(F.flatten(F.collect_list(F.array("at", "mask"))).alias("marks")), "marks")
+    discard(repeated)
+    if len(split):
+        discard(whole, nodes)
+    schema = "id long, n_words long, n_removed long, kept string"
+    if (marks.agg(F.sum(F.size("marks") / 2)).first()[0] or 0) <= broadcast_marks:
         table = marks.toArrow()
-        by_id = dict(zip(table["id"].to_pylist(), (x.values.to_numpy() for x in table["prints"])))
-        out = given.mapInArrow(_kept(window, _broadcast(docs, by_id), with_text), "id long, n_words long, n_removed long, kept string")
+        of_text = {(i, h): m.values.to_numpy() for i, h, m in zip(table["id"].to_pylist(), table["hash"].to_pylist(), table["marks"])}
+        out = given.mapInArrow(_kept(window, _broadcast(docs, of_text), with_text), schema)
     else:
-        out = given.join(marks, "id", "left").select("id", "text", "prints").mapInArrow(_kept(window, None, with_text), "id long, n_words long, n_removed long, kept string")
+        out = given.join(marks, ["id", "hash"], "left").select("id", "text", "hash", "marks").mapInArrow(_kept(window, None, with_text), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text" if with_text else "kept_sha256"))
