@@ -47,9 +47,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once or twice."""
-    taken = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed")).agg(F.max("copies").alias("copies"))
-    rows = docs.join(_small(taken), F.col("doc_id").eqNullSafe(F.col("mixed")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    taken = mixing.mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    # what the mix says stands in structs and at the end, whatever the columns of docs are called
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    met = rows.join(_small(taken.select(F.struct("doc_id", "copies").alias("mixed"))), F.col("document.doc_id").eqNullSafe(F.col("mixed.doc_id")))
+    return met.select("document", F.explode(F.sequence(F.lit(1), F.col("mixed.copies").cast("int")))).select("document.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
