@@ -499,7 +499,7 @@ def brute_mix(docs, tilt=mixing.TILT, close=mixing.CLOSE):
         open_ = targets[s] - certain * whole[s]
         copies |= dict.fromkeys(mine, certain)
         pool = sorted((size[i], i) for i in mine if size[i] and open_ > 0)
-        c, rest = None, open_
+        c, rest, odds = None, open_, {}
         for z in sorted({z for z, _ in pool}):
             c = rest / sum(y ** (1 - tilt) for y, _ in pool if y >= z)
             if c <= z**tilt:
@@ -512,7 +512,8 @@ def brute_mix(docs, tilt=mixing.TILT, close=mixing.CLOSE):
             if p == 1:
                 copies[i], open_ = certain + 1, open_ - z
             else:
-                waiting.append((u * (1 - p) / ((1 - u) * p), z, i))
+                odds[i] = u * (1 - p) / ((1 - u) * p)
+                waiting.append((odds[i], z, i))
         waiting.sort()
         while open_ >= 1 and open_ > close * targets[s]:
             waiting = [w for w in waiting if w[1] <= open_]
@@ -525,10 +526,10 @@ def brute_mix(docs, tilt=mixing.TILT, close=mixing.CLOSE):
             if stop is None:
                 break
             waiting = waiting[stop + 1 :]
-        left = sorted((size[i], i) for i in mine if size[i] and copies[i] == certain)
+        left = sorted((size[i], odds.get(i, -1), i) for i in mine if size[i] and copies[i] == certain)
         if open_ >= 1 and open_ > close * targets[s] and left and pool:
-            wide, taken = left[0]
-            off, _, given = min(((abs(wide - size[i] - open_), size[i], i) for i in mine if copies[i] > certain), default=(math.inf, 0, None))
+            wide, _, taken = left[0]
+            off, _, _, given = min(((abs(wide - size[i] - open_), size[i], odds.get(i, -1), i) for i in mine if copies[i] > certain), default=(math.inf, 0, 0, None))
             if min(off, abs(wide - open_)) < open_:
                 copies[taken] += 1
                 if off < abs(wide - open_):
