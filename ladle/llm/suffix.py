@@ -8,7 +8,7 @@ Suffixes are dealt out by the prefix that they share, the anchor, and sorted by
 prefixes of neighbours follow the internal nodes of a group's subtree; a node of depth d, extended to the left by the
 words that its leaves share there, is a repeat of all windows that it spans. Prefixes differ in length: where an
 anchor has more leaves than a group may hold, its windows are told apart by all their words, which leaves one node
-for each, found by partial aggregates.
+for each, found by partial aggregates. Leaves that agree in all words are combined before they are dealt out.
 """
 
 from __future__ import annotations
@@ -21,17 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import bound_batches, discard, join_hot, materialize
+from ladle.llm.storage import bound_batches, join_hot, materialize
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
-#: Repeated anchors are broadcast up to this number (8 bytes each); beyond it they are joined.
-BROADCAST_ANCHORS = 4_000_000
-#: Marks are broadcast up to this number (some 12 bytes each); beyond it they are joined.
-BROADCAST_MARKS = 2_000_000
-#: Leaves of a group, some 150 bytes each. An anchor with more of them, and with over a millionth of all, has its windows told apart by all their words.
+#: Leaves of a group, some 150 bytes each. The windows of an anchor with more of them are told apart by all their words.
 GROUP_LEAVES = 200_000
-MOST_SPLIT = 1_000_000
 
 
 def _windows(chunk: words.Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,35 +61,6 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
 
 
-def _anchors(window: int):
-    def run(batches):
-        for batch in batches:
-            ids, valid, _ = _ids(batch)
-            for chunk in words.chunks(batch.column(1)):
-                _, doc, anchor, place = _windows(chunk, window)
-                new = _changes(doc, place) & valid[chunk.first + doc]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[chunk.first + doc[new]])], ["anchor", "id"])
-
-    return run
-
-
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), dtype=bool)
-    at = np.searchsorted(ordered, values)
-    return ordered[np.minimum(at, len(ordered) - 1)] == values
-
-
-def _of_documents(anchor: np.ndarray, doc: np.ndarray, own: pa.Array, first: int) -> np.ndarray:
-    """Whether an anchor is in the list of its document."""
-    among = np.zeros(len(anchor), dtype=bool)
-    for d in np.unique(doc):
-        if (mine := own[int(first + d)]).is_valid:
-            here = doc == d
-            among[here] = np.isin(anchor[here], mine.values.to_numpy(zero_copy_only=False).view(words.U64))
-    return among
-
-
 def _fixed(rows: np.ndarray) -> pa.Array:
     """A binary value for each row of a matrix of words' codes."""
     size = rows.shape[1] * 4
@@ -105,53 +71,76 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype="<u4", count=(column.offset + len(column)) * width).reshape(-1, width)[column.offset :]
 
 
-def _leaves(window: int, anchors, split):
-    """(anchor, right, left, id, hash, at): suffixes at repeated anchors. right: codes of window words from the anchor on,
-    left: of the words before it, the nearest first; 0 beyond the document's ends."""
+def _whole(around: np.ndarray, o: int) -> np.ndarray:
+    """Whether the window that begins o words before the anchor lies within the document."""
+    back = around.shape[1] // 2
+    inside = np.ones(len(around), dtype=bool) if o == back else around[:, back - o - 1] != 0
+    return inside & (around[:, back + o - 1] != 0) if o else inside
+
+
+def _masks(around: np.ndarray) -> np.ndarray:
+    return sum(_whole(around, o).astype(np.int64) << o for o in range(around.shape[1] // 2 + 1))
+
+
+def _leaves(window: int):
+    """(anchor, around, id, place, mask): suffixes at anchors. around: codes of the words that follow the anchor in a window, then of those
+    before it, the nearest first; 0 beyond the document's ends. place: hash of the text and place of the anchor.
+
+    Of the leaves of a batch that agree in all words only the smallest id is a leaf (mask 0); the others
+    are repeats by that, and say so by a mask of the windows that they span."""
     back = window - ANCHOR_WORDS
 
     def run(batches):
         for batch in batches:
             ids, valid, hashes = _ids(batch)
+            parts = []
             for chunk in words.chunks(batch.column(1)):
                 _, doc, anchor, place = _windows(chunk, window)
                 new = np.flatnonzero(_changes(doc, place) & valid[chunk.first + doc])
                 doc, anchor, place = doc[new], anchor[new], place[new]
-                among = _among(anchor, anchors.value) if anchors is not None else _of_documents(anchor, doc, batch.column(3), chunk.first)
-                chosen = np.flatnonzero(among & ~_among(anchor, split.value))
-                doc, anchor, place = doc[chosen], anchor[chosen], place[chosen]
                 code = np.concatenate([np.maximum(chunk.hash >> words.U64(32), words.U64(1)).astype(np.uint32), np.zeros(1, np.uint32)])
-                ahead, behind = place[:, None] + np.arange(window), place[:, None] - np.arange(1, back + 1)
-                right = code[np.where(ahead < chunk.word_from[doc + 1][:, None], ahead, len(code) - 1)]
-                left = code[np.where(behind >= chunk.word_from[doc][:, None], behind, len(code) - 1)]
+                ahead, behind = place[:, None] + np.arange(ANCHOR_WORDS, window), place[:, None] - np.arange(1, back + 1)
+                ahead = np.where(ahead < chunk.word_from[doc + 1][:, None], ahead, len(code) - 1)
+                behind = np.where(behind >= chunk.word_from[doc][:, None], behind, len(code) - 1)
                 row = chunk.first + doc
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), _fixed(right), _fixed(left), pa.array(ids[row]), pa.array(hashes[row]), pa.array(place - chunk.word_from[doc])],
-                    ["anchor", "right", "left", "id", "hash", "at"],
-                )
+                parts.append((anchor, code[np.concatenate([ahead, behind], axis=1)], ids[row], hashes[row] << 32 | place - chunk.word_from[doc]))
+            if not parts:
+                continue
+            anchor, around, id_, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((id_, (around.astype(words.U64) * words._GRAM_FACTORS[: 2 * back]).sum(axis=1, dtype=words.U64), anchor))
+            anchor, around, id_, place = anchor[order], around[order], id_[order], place[order]
+            first = _changes(anchor)
+            first[1:] |= (around[1:] != around[:-1]).any(axis=1)
+            starts = np.flatnonzero(first)
+            repeat = id_ > np.repeat(id_[starts], np.diff(np.append(starts, len(id_))))
+            mask = np.where(repeat, _masks(around), 0)
+            for rows in (np.flatnonzero(~repeat), np.flatnonzero(repeat & (mask > 0))):
+                told = _fixed(around[rows]) if not repeat[rows].any() else _fixed(around[rows][:, :0])
+                # repeats go wherever their place sends them
+                dealt = anchor[rows].view(np.int64) if not repeat[rows].any() else place[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), told, pa.array(id_[rows]), pa.array(place[rows]), pa.array(mask[rows])], ["anchor", "around", "id", "place", "mask"])
 
     return run
 
 
-def repeated_offsets(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each leaf of whole groups, sorted by anchor and right: bit o says that the window which begins o words before it is also in a document with a smaller id.
+def repeated_offsets(anchor: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each leaf of whole groups, sorted by anchor and words: bit o says that the window which begins o words before it is also in a document with a smaller id.
 
     Neighbours' common prefixes cut the sorted leaves into the nodes of each depth. A window with o words to the left
     of the anchor is a node of depth window - o, told apart by those o words."""
-    window, back = right.shape[1], left.shape[1]
-    common = np.zeros(len(ids), dtype=np.int64)
-    common[1:] = np.where(anchor[1:] == anchor[:-1], np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1), 0)
+    back = around.shape[1] // 2
+    right, left = around[:, :back], around[:, back:]
+    # common words after the anchor; -1 where it changes
+    common = np.full(len(ids), -1, dtype=np.int64)
+    common[1:] = np.where(anchor[1:] == anchor[:-1], np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1), -1)
     mask, before = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=words.U64)
     for o in range(back + 1):
         if o:
             before = words.mix(before + left[:, o - 1].astype(words.U64) * words._GRAM_FACTORS[o])
-        whole = right[:, window - o - 1] != 0
-        if o:
-            whole &= left[:, o - 1] != 0
-        at = np.flatnonzero(whole)
+        at = np.flatnonzero(_whole(around, o))
         if not len(at):
             continue
-        node = np.cumsum(common < window - o)[at]
+        node = np.cumsum(common < back - o)[at]
         if o:
             order = np.lexsort((before[at], node))
             at, node = at[order], node[order]
@@ -161,23 +150,56 @@ def repeated_offsets(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, id
     return mask
 
 
-def _subtrees(window: int):
-    """Sorted leaves in; (id, hash, at, mask) of those with a repeat out. The group that is still open is carried from batch to batch."""
+_FOUND = "id long, place long, mask long, h1 long, h2 long"
+
+
+def _found(ids: np.ndarray, place: np.ndarray, mask: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
+    prints = [pa.nulls(len(ids), pa.int64()) if h is None else pa.array(h.view(np.int64)) for h in (h1, h2)]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(mask), *prints], ["id", "place", "mask", "h1", "h2"])
 
-    def marked(parts: list[pa.RecordBatch], to: int | None = None) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        batch = (table if to is None else table.slice(0, to).combine_chunks()).to_batches()[0]
-        anchor, ids = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-        mask = repeated_offsets(anchor, _matrix(batch.column(1), window), _matrix(batch.column(2), window - ANCHOR_WORDS), ids)
+
+def _columns(parts: list[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...]:
+    anchor, ids, place = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in (0, 2, 3))
+    return anchor, np.concatenate([_matrix(b.column(1), width) for b in parts]), ids, place
+
+
+def _subtrees(window: int, group_leaves: int):
+    """Sorted leaves in; (id, place, mask) of those with a repeat out. The group that is still open is carried from batch to
+    batch; if it exceeds group_leaves, its windows come out instead, one by one with their words' hash of 128 bits (h1, h2)."""
+    back = window - ANCHOR_WORDS
+
+    def marked(parts):
+        anchor, around, ids, place = _columns(parts, 2 * back)
+        mask = repeated_offsets(anchor, around, ids)
         some = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(batch.column(4).to_numpy()[some]), pa.array(batch.column(5).to_numpy()[some]), pa.array(mask[some])], ["id", "hash", "at", "mask"])
+        return _found(ids[some], place[some], mask[some])
+
+    def windows(parts):
+        anchor, around, ids, place = _columns(parts, 2 * back)
+        for o in range(back + 1):
+            at = np.flatnonzero(_whole(around, o))
+            inside = around[at][:, [*range(back - o), *range(back, back + o)]].astype(words.U64)
+            prints = [words.mix(words.mix((inside * words._GRAM_FACTORS[k : k + back]).sum(axis=1, dtype=words.U64) + words.U64(o)) ^ anchor[at].view(words.U64) * words._GRAM_FACTORS[k]) for k in (0, back)]
+            yield _found(ids[at], place[at], np.full(len(at), 1 << o, dtype=np.int64), *prints)
 
     def run(batches):
-        parts: list[pa.RecordBatch] = []
+        parts, flooded = [], None
         for batch in batches:
+            mask = batch.column(4).to_numpy()
+            if mask.any():
+                told = np.flatnonzero(mask)
+                yield _found(batch.column(2).to_numpy()[told], batch.column(3).to_numpy()[told], mask[told])
+                batch = batch.take(pa.array(np.flatnonzero(mask == 0)))
             if not batch.num_rows:
                 continue
             anchor = batch.column(0).to_numpy()
+            if flooded is not None:
+                to = int(np.searchsorted(anchor, flooded, side="right"))
+                if to:
+                    yield from windows([batch.slice(0, to)])
+                if to == len(anchor):
+                    continue
+                batch, anchor, flooded = batch.slice(to), anchor[to:], None
             last = int(np.searchsorted(anchor, anchor[-1]))
             if parts and (last or parts[-1].column(0)[-1].as_py() != anchor[0]):
                 # all groups but the batch's last one are whole
@@ -186,29 +208,15 @@ def _subtrees(window: int):
             elif last:
                 yield marked([batch.slice(0, last)])
             parts.append(batch.slice(last))
+            if sum(b.num_rows for b in parts) > group_leaves:
+                yield from windows(parts)
+                parts, flooded = [], anchor[-1]
         if parts:
             yield marked(parts)
 
     return run
 
 
-def _whole_windows(window: int, split):
-    """(h1, h2, id, hash, at) of the windows whose anchors are split: the words of each in 128 bits."""
-
-    def run(batches):
-        for batch in batches:
-            ids, valid, hashes = _ids(batch)
-            for chunk in words.chunks(batch.column(1)):
-                at, doc, anchor, _ = _windows(chunk, window)
-                chosen = _among(anchor, split.value) & valid[chunk.first + doc]
-                at, doc = at[chosen], doc[chosen]
-                second = words.grams(words.mix(chunk.hash ^ words._GRAM_FACTORS[63]), window)
-                row = chunk.first + doc
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.grams(window)[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(ids[row]), pa.array(hashes[row]), pa.array(at - chunk.word_from[doc])], ["h1", "h2", "id", "hash", "at"])
-
-    return run
-
-
 def _gone(n: int, window: int, marks: np.ndarray) -> np.ndarray:
     """Which of n words a marked window covers. marks: (at, mask) pairs."""
     cover = np.zeros(n + 1, dtype=np.int64)
@@ -219,24 +227,19 @@ def _gone(n: int, window: int, marks: np.ndarray) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def _kept(window: int, marks, with_text: bool):
-    """What is left of each text. marks: {(id, hash): (at, mask) pairs} broadcast, else they are the fourth column."""
+def _kept(window: int, with_text: bool):
+    """What is left of each text: (id, text, marks) in, marks being null or a flat list of (at, mask) pairs."""
 
     def run(batches):
         for batch in batches:
-            ids, valid, hashes = _ids(batch)
             at, data = words.string_buffers(batch.column(1))
             rows = []
             for i in range(batch.num_rows):
                 kept = data[at[i] : at[i + 1]].tobytes().split()
-                n = len(kept)
-                if marks is None:
-                    mine = batch.column(3)[i]
-                    mine = mine.values.to_numpy(zero_copy_only=False) if mine.is_valid else None
-                else:
-                    mine = marks.value.get((int(ids[i]), int(hashes[i]))) if valid[i] else None
-                if mine is not None:
-                    kept = [w for w, g in zip(kept, _gone(n, window, mine.reshape(-1, 2)).tolist()) if not g]
+                n, mine = len(kept), batch.column(2)[i]
+                if mine.is_valid:
+                    gone = _gone(n, window, mine.values.to_numpy(zero_copy_only=False).reshape(-1, 2))
+                    kept = [w for w, g in zip(kept, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 rows.append((n, n - len(kept), joined if with_text else hashlib.sha256(joined).hexdigest()))
             n, removed, last = zip(*rows) if rows else ((), (), ())
@@ -246,18 +249,7 @@ def _kept(window: int, marks, with_text: bool):
     return run
 
 
-def _broadcast(docs: DataFrame, values):
-    return docs.sparkSession.sparkContext.broadcast(values)
-
-
-def _sorted_anchors(df: DataFrame) -> np.ndarray:
-    return np.sort(df.select("anchor").toArrow()["anchor"].to_numpy().astype(np.int64).view(words.U64))
-
-
-def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False,
-    broadcast_anchors: int = BROADCAST_ANCHORS, broadcast_marks: int = BROADCAST_MARKS, group_leaves: int = GROUP_LEAVES,
-) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False, group_leaves: int = GROUP_LEAVES) -> DataFrame:
     """Documents without passages of window words or more that occur in a document with a smaller id.
 
     (id_col, n_words, n_removed, kept_text or kept_sha256), a row per row of docs. A word goes if any
@@ -265,41 +257,21 @@ def without_repeats(
     input. Kept words are joined by one space. Words are runs of characters other than space and
     0x09-0x0D, unchanged; a null text has none. Texts with fewer words than a window stay whole, and so
     do rows without an id, which also take nothing from others. Rows that share an id are one document: none loses a passage to another.
-    Other columns of docs are not looked at. window: from 5 to 60 words.
+    Other columns of docs are not looked at. window: from 6 to 30 words.
 
-    Words are compared by 32 bits of their hashes: windows with a common anchor that differ in one word are taken
-    for equal with a chance of 2 ** -32.
+    Anchors are compared by a hash of 64 bits, the words around them by 32 bits each: windows with a common anchor that differ in one
+    word are taken for equal with a chance of 2 ** -32. The same plan runs at every size; nothing is sent to the driver.
     """
     bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    anchor = given.mapInArrow(_anchors(window), "anchor long, id long")
-    repeated = materialize(anchor.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "anchors")
-    n_anchors, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    large = repeated.where(F.col("n") > max(group_leaves, total // MOST_SPLIT))
-    split = _sorted_anchors(large)  # fewer than MOST_SPLIT
-    if n_anchors <= broadcast_anchors:
-        anchors, source = _broadcast(docs, _sorted_anchors(repeated)), given
-    else:
-        own = join_hot(anchor, repeated, ["anchor"], "n", total).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-        anchors, source = None, given.join(own, "id").select("id", "text", "hash", "anchors")
-    splits = _broadcast(docs, split)
-    leaves = source.mapInArrow(_leaves(window, anchors, splits), "anchor long, right binary, left binary, id long, hash long, at long")
-    found = leaves.repartition("anchor").sortWithinPartitions("anchor", "right").mapInArrow(_subtrees(window), "id long, hash long, at long, mask long")
-    if len(split):
-        whole = materialize(given.mapInArrow(_whole_windows(window, splits), "h1 long, h2 long, id long, hash long, at long"), "windows")
-        nodes = materialize(whole.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "nodes")
-        n_whole = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        found = found.union(join_hot(whole, nodes, ["h1", "h2"], "n", n_whole, F.col("id") > F.col("low")).select("id", "hash", "at", F.lit(1).cast("long").alias("mask")))
-    marks = materialize(found.groupBy("id", "hash").agg(F.flatten(F.collect_list(F.array("at", "mask"))).alias("marks")), "marks")
-    discard(repeated)
-    if len(split):
-        discard(whole, nodes)
-    schema = "id long, n_words long, n_removed long, kept string"
-    if (marks.agg(F.sum(F.size("marks") / 2)).first()[0] or 0) <= broadcast_marks:
-        table = marks.toArrow()
-        of_text = {(i, h): m.values.to_numpy() for i, h, m in zip(table["id"].to_pylist(), table["hash"].to_pylist(), table["marks"])}
-        out = given.mapInArrow(_kept(window, _broadcast(docs, of_text), with_text), schema)
-    else:
-        out = given.join(marks, ["id", "hash"], "left").select("id", "text", "hash", "marks").mapInArrow(_kept(window, None, with_text), schema)
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).alias("hash"))
+    leaves = given.mapInArrow(_leaves(window), "anchor long, around binary, id long, place long, mask long")
+    found = materialize(leaves.repartition("anchor").sortWithinPartitions("anchor", "around").mapInArrow(_subtrees(window, group_leaves), _FOUND), "repeats")
+    marks, flood = found.where("h1 is null"), found.where("h1 is not null")
+    if n := flood.count():
+        nodes = materialize(flood.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "nodes")
+        marks = marks.select("id", "place", "mask").union(join_hot(flood, nodes, ["h1", "h2"], "n", n, F.col("id") > F.col("low")).select("id", "place", "mask"))
+    at = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    by_text = marks.groupBy("id", F.shiftright("place", 32).alias("hash")).agg(F.flatten(F.collect_list(F.array(at, "mask"))).alias("marks"))
+    out = given.join(by_text, ["id", "hash"], "left").select("id", "text", "marks").mapInArrow(_kept(window, with_text), "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text" if with_text else "kept_sha256"))

@@ -411,11 +411,11 @@ def brute_removal(docs, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("anchors", "marks", "leaves"), [(suffix.BROADCAST_ANCHORS, suffix.BROADCAST_MARKS, suffix.GROUP_LEAVES), (0, 0, suffix.GROUP_LEAVES), (0, 0, 3)])
-def test_repeats_equal_brute_force(spark, anchors, marks, leaves):
+@pytest.mark.parametrize("leaves", [suffix.GROUP_LEAVES, 3])
+def test_repeats_equal_brute_force(spark, leaves):
     passage = " ".join(f"p{i}" for i in range(40))
     docs = documents(spark) + [(5000 + k, f"{'y' * k} {passage} z{k}") for k in range(6)] + [(6000, passage), (6000, passage + " tail"), (None, passage)]
-    out = suffix.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), broadcast_anchors=anchors, broadcast_marks=marks, group_leaves=leaves).collect()
+    out = suffix.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), group_leaves=leaves).collect()
     assert sorted(map(tuple, out), key=repr) == brute_removal(docs)
 
 
