@@ -72,10 +72,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _whole(around: np.ndarray, o: int) -> np.ndarray:
-    """Whether the window that begins o words before the anchor lies within the document."""
+    """Whether the leaf stands for the window that begins o words before its anchor."""
     back = around.shape[1] // 2
     inside = np.ones(len(around), dtype=bool) if o == back else around[:, back - o - 1] != 0
-    return inside & (around[:, back + o - 1] != 0) if o else inside
+    return inside & (around[:, 2 * back - o] != 0) if o else inside
 
 
 def _masks(around: np.ndarray) -> np.ndarray:
@@ -83,8 +83,8 @@ def _masks(around: np.ndarray) -> np.ndarray:
 
 
 def _leaves(window: int):
-    """(anchor, around, id, place, mask): suffixes at anchors. around: codes of the words that follow the anchor in a window, then of those
-    before it, the nearest first; 0 beyond the document's ends. place: hash of the text and place of the anchor.
+    """(anchor, around, id, place, mask): suffixes at anchors. around: codes of the words that follow the anchor in its windows, the
+    nearest first, and at the end of those before it, the nearest last; 0 for words that no window with this anchor has. place: hash of the text and place of the anchor.
 
     Of the leaves of a batch that agree in all words only the smallest id is a leaf (mask 0); the others
     are repeats by that, and say so by a mask of the windows that they span."""
@@ -95,13 +95,17 @@ def _leaves(window: int):
             ids, valid, hashes = _ids(batch)
             parts = []
             for chunk in words.chunks(batch.column(1)):
-                _, doc, anchor, place = _windows(chunk, window)
-                new = np.flatnonzero(_changes(doc, place) & valid[chunk.first + doc])
-                doc, anchor, place = doc[new], anchor[new], place[new]
+                at, doc, anchor, place = _windows(chunk, window)
+                starts = np.flatnonzero(_changes(doc, place))
+                # how far the windows of an anchor go to its left, and how near the last one begins
+                far, near = place[starts] - at[starts], place[starts] - at[np.append(starts[1:], len(at)) - 1] if len(at) else starts
+                known = valid[chunk.first + doc[starts]]
+                starts, far, near = starts[known], far[known], near[known]
+                doc, anchor, place = doc[starts], anchor[starts], place[starts]
                 code = np.concatenate([np.maximum(chunk.hash >> words.U64(32), words.U64(1)).astype(np.uint32), np.zeros(1, np.uint32)])
-                ahead, behind = place[:, None] + np.arange(ANCHOR_WORDS, window), place[:, None] - np.arange(1, back + 1)
-                ahead = np.where(ahead < chunk.word_from[doc + 1][:, None], ahead, len(code) - 1)
-                behind = np.where(behind >= chunk.word_from[doc][:, None], behind, len(code) - 1)
+                after, before = np.arange(back), np.arange(back, 0, -1)
+                ahead = np.where(after < back - near[:, None], place[:, None] + ANCHOR_WORDS + after, len(code) - 1)
+                behind = np.where(before <= far[:, None], place[:, None] - before, len(code) - 1)
                 row = chunk.first + doc
                 parts.append((anchor, code[np.concatenate([ahead, behind], axis=1)], ids[row], hashes[row] << 32 | place - chunk.word_from[doc]))
             if not parts:
@@ -129,7 +133,7 @@ def repeated_offsets(anchor: np.ndarray, around: np.ndarray, ids: np.ndarray) ->
     Neighbours' common prefixes cut the sorted leaves into the nodes of each depth. A window with o words to the left
     of the anchor is a node of depth window - o, told apart by those o words."""
     back = around.shape[1] // 2
-    right, left = around[:, :back], around[:, back:]
+    right, left = around[:, :back], around[:, : back - 1 : -1]
     # common words after the anchor; -1 where it changes
     common = np.full(len(ids), -1, dtype=np.int64)
     common[1:] = np.where(anchor[1:] == anchor[:-1], np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1), -1)
@@ -178,7 +182,7 @@ def _subtrees(window: int, group_leaves: int):
         anchor, around, ids, place = _columns(parts, 2 * back)
         for o in range(back + 1):
             at = np.flatnonzero(_whole(around, o))
-            inside = around[at][:, [*range(back - o), *range(back, back + o)]].astype(words.U64)
+            inside = around[at][:, [*range(back - o), *range(2 * back - o, 2 * back)]].astype(words.U64)
             prints = [words.mix(words.mix((inside * words._GRAM_FACTORS[k : k + back]).sum(axis=1, dtype=words.U64) + words.U64(o)) ^ anchor[at].view(words.U64) * words._GRAM_FACTORS[k]) for k in (0, back)]
             yield _found(ids[at], place[at], np.full(len(at), 1 << o, dtype=np.int64), *prints)
 
