@@ -36,13 +36,13 @@ def quality_score() -> Column:
 def classify(df: DataFrame, limits: Limits = Limits(), partition: list[str] = ()) -> DataFrame:
     """Adds quality_score, a percentile and a tier for each metric, excessive_wastage and category.
 
-    Percentiles rank items that have sold and aren't new, in each partition; other items have none. Rules, in order: new:
+    Percentiles rank items that have sold and aren't new and have the metric, in each partition; other items have none. Rules, in order: new:
     Insufficient History; unsold: Low Performer; high demand and profit without excessive waste: Profit Driver; high
     demand: Volume Driver; high profit or quality: Hidden Opportunity; else Low Performer."""
     new = F.coalesce(F.col("days_since_launch") < limits.new_item_days, F.lit(False))
     sold = F.coalesce(F.col("total_quantity_sold") > 0, F.lit(False))
     df = df.withColumns({"quality_score": quality_score(), "_in": sold & ~new})
-    df = df.withColumns({f"{name}_percentile": percentile_within(column, F.col("_in"), list(partition)) for name, column in METRICS.items()})
+    df = df.withColumns({f"{name}_percentile": percentile_within(column, F.col("_in") & F.col(column).isNotNull(), list(partition)) for name, column in METRICS.items()})
     df = df.withColumns({f"{name}_tier": tier(F.col(f"{name}_percentile"), limits.low, limits.high) for name in METRICS})
     excessive = F.coalesce((F.col("wastage_tier") == "High") & (F.col("wastage_percentage") > limits.waste_floor), F.lit(False))
     demand, profit, quality = (F.col(f"{x}_tier") == "High" for x in ("demand", "profit", "quality"))
@@ -71,13 +71,15 @@ def with_flags(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def location_consistency(chain: DataFrame, by_location: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(item_id, n_locations, location_categories, mismatch_share, inconsistent): how often an item's category at a location differs from its chain category.
 
-    inconsistent needs limits.least_locations and a share of limits.mismatch. Locations where the item has no history don't count."""
-    known = by_location.where(F.col("category") != "Insufficient History").select("item_id", "location_id", F.col("category").alias("local"))
+    Under limits.least_locations share and categories are null and inconsistent is false; else it needs a share of limits.mismatch."""
+    known = by_location.select("item_id", "location_id", F.col("category").alias("local"))
     both = known.join(chain.select("item_id", F.col("category").alias("overall")), "item_id")
     rows = both.groupBy("item_id").agg(
         F.count("*").alias("n_locations"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("location_id", "local")))).alias("location_categories"), F.avg((F.col("local") != F.col("overall")).cast("double")).alias("mismatch_share")
     )
-    return rows.withColumn("inconsistent", (F.col("n_locations") >= limits.least_locations) & (F.col("mismatch_share") >= limits.mismatch))
+    enough = F.col("n_locations") >= limits.least_locations
+    rows = rows.withColumns({c: F.when(enough, F.col(c)) for c in ("location_categories", "mismatch_share")})
+    return rows.withColumn("inconsistent", F.coalesce(F.col("mismatch_share") >= limits.mismatch, F.lit(False)))
 
 
 def classification(items: DataFrame, item_features: DataFrame, item_location_features: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,13 @@ from ladle.functions.scalar import is_peak_hour, is_weekend, safe_div
 from ladle.functions.stats import share_of_total
 
 
-def channel_stats(orders: DataFrame, cancelled: str = "Cancelled") -> DataFrame:
-    """A row per channel; cancelled orders count in the cancel rate only."""
+def channel_stats(orders: DataFrame, lines: DataFrame, cancelled: str = "Cancelled") -> DataFrame:
+    """A row per channel; cancelled orders count in the cancel rate only.
+
+    orders: order_id, channel, status, ts, customer_id, total, promo, subtotal, discount. lines: order_id, revenue, cost. Basket size and margin of
+    an order come from its lines; margin_pct is over what is left of subtotals after discounts."""
+    contents = lines.groupBy("order_id").agg(F.sum(F.col("revenue") - F.col("cost")).alias("margin"), F.count("*").alias("basket_size"))
+    orders = orders.join(contents, "order_id", "left")
     done = F.col("status") != cancelled
     value = F.when(done, F.col("total"))
     hours = orders.where(done).groupBy("channel", F.hour("ts").alias("_hour")).agg(F.count("*").alias("_n"))
@@ -21,7 +26,8 @@ def channel_stats(orders: DataFrame, cancelled: str = "Cancelled") -> DataFrame:
     rows = orders.groupBy("channel").agg(
         F.count_if(done).alias("orders"), F.sum(value).alias("revenue"), F.avg(value).alias("average_order_value"), F.countDistinct(F.when(done, F.col("customer_id"))).alias("customers"),
         F.avg(F.when(done, is_peak_hour(F.col("ts")).cast("double"))).alias("peak_share"), F.avg(F.when(done, is_weekend(F.col("ts")).cast("double"))).alias("weekend_share"), F.avg(F.when(done, F.col("promo").cast("double"))).alias("promo_share"),
-        F.avg((~done).cast("double")).alias("cancel_rate"),
+        F.avg((~done).cast("double")).alias("cancel_rate"), F.avg(F.when(done, F.col("basket_size"))).alias("average_basket_size"), F.avg(F.when(done, (F.col("discount") > 0).cast("double"))).alias("discount_order_share"),
+        safe_div(F.sum(F.when(done, F.col("discount"))), F.sum(F.when(done, F.col("subtotal")))).alias("discount_rate"), safe_div(F.sum(F.when(done, F.col("margin"))), F.sum(F.when(done, F.col("subtotal") - F.col("discount")))).alias("margin_pct"),
     )
     rows = rows.join(busiest, "channel", "left")
     return rows.withColumns({"order_share": share_of_total(F.col("orders")), "revenue_share": share_of_total(F.col("revenue"))})

@@ -44,6 +44,13 @@ def monthly_trend(lines: DataFrame, keys: list[str], value: str = "quantity", na
     return monthly.groupBy(*keys).agg(slope(F.col("_v"), number).alias(name))
 
 
+def rating_trend(ratings: DataFrame, keys: list[str]) -> DataFrame:
+    """Slope of the monthly mean rating, in points a month; null under three months."""
+    rated = ratings.where(F.col("rating").isNotNull() & F.col("day").isNotNull())
+    monthly = rated.groupBy(*keys, month_start(F.col("day")).alias("_month")).agg(F.avg("rating").alias("_v"))
+    return monthly.groupBy(*keys).agg(slope(F.col("_v"), (F.year("_month") * 12 + F.month("_month")).cast("double")).alias("rating_trend"))
+
+
 def price_change(prices: DataFrame) -> DataFrame:
     """(item_id, first_price, last_price, price_change_pct) of chain-wide prices."""
     chain = prices.where("location_id is null")
@@ -84,7 +91,8 @@ def item_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste:
 
     items: item_id, category_id, launch_day, base_cost, is_seasonal. item_popularity is the percent_rank of quantity."""
     launched = items.where(up_to(F.col("launch_day"), as_of)).withColumn("days_since_launch", F.datediff(F.lit(as_of), "launch_day"))
-    known = _entity_features(launched, ["item_id"], lines, ratings.where(up_to(F.col("day"), as_of)), waste.where(up_to(F.col("day"), as_of)))
+    rated = ratings.where(up_to(F.col("day"), as_of))
+    known = _entity_features(launched, ["item_id"], lines, rated, waste.where(up_to(F.col("day"), as_of))).join(rating_trend(rated, ["item_id"]), "item_id", "left")
     priced = known.join(price_change(prices.where(up_to(F.col("start_day"), as_of))), "item_id", "left")
     # a row per item: one task ranks them
     return priced.withColumn("item_popularity", F.percent_rank().over(Window.orderBy("total_quantity_sold"))).drop("launch_day")
@@ -127,7 +135,7 @@ def location_features(locations: DataFrame, orders: DataFrame, lines: DataFrame,
     joined = locations.join(sold, "location_id", "left").join(repeat_rate(lines, ["location_id"], "repeat_customer_rate"), "location_id", "left").join(wasted, "location_id", "left")
     joined = joined.fillna(0, ["total_revenue", "total_cost", "total_orders", "unique_customers", "wastage_cost"])
     profit = F.col("total_revenue") - F.col("total_cost")
-    return joined.withColumns({"gross_profit": profit, "profit_margin": safe_div(profit, F.col("total_revenue")), "average_order_value": safe_div(F.col("total_revenue"), F.col("total_orders")), "wastage_rate": safe_div(F.col("wastage_cost"), F.col("wastage_cost") + F.col("total_cost"))})
+    return joined.withColumns({"gross_profit": profit, "profit_margin": safe_div(profit, F.col("total_revenue")), "average_order_value": safe_div(F.col("total_revenue"), F.col("total_orders")), "wastage_rate": safe_div(F.col("wastage_cost"), F.col("total_revenue"))})
 
 
 def snapshot_days(orders: DataFrame, months_back: tuple[int, ...] = (0, 3)) -> DataFrame:

@@ -92,15 +92,18 @@ def level_metrics(predicted: DataFrame) -> DataFrame:
     return rows
 
 
-def errors_by_volume(predicted: DataFrame, actual: str = "target", forecast: str = "forecast", edges: tuple[float, ...] = (0, 1, 2, 5, 10)) -> DataFrame:
-    """(bucket, n, mean_ape, median_ape) of rows by their actual volume; rows without volume have no percentage error."""
+def errors_by_volume(predicted: DataFrame, actual: str = "target", forecast: str = "forecast", baseline: str = "baseline", edges: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
+    """(bucket, n, model_ape, baseline_ape, over_share) of rows with volume, by their actual volume, and a row of bucket "all" with the medians.
+
+    over_share: how often the forecast exceeds the actual volume."""
     a = F.col(actual)
-    bucket = F.lit(f">{edges[-1]:g}")
-    for low, high in reversed(list(zip(edges, edges[1:]))):
-        bucket = F.when(a <= high, f"{low:g}-{high:g}").otherwise(bucket)
-    bucket = F.when(a <= 0, "0").otherwise(bucket)
-    ape = F.when(a != 0, F.abs((F.col(forecast) - a) / F.nullif(a, F.lit(0.0))))
-    return predicted.withColumn("bucket", bucket).withColumn("_ape", ape).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("_ape").alias("mean_ape"), F.percentile("_ape", F.lit(0.5)).alias("median_ape"))
+    bucket = F.lit(f"{edges[-1] + 1}+")
+    for low, high in reversed(list(zip((0, *edges), edges))):
+        bucket = F.when(a <= high, f"{low + 1}-{high}").otherwise(bucket)
+    rows = predicted.where(a > 0).withColumns({"bucket": bucket, "_model": F.abs(F.col(forecast) - a) / a, "_baseline": F.abs(F.col(baseline) - a) / a, "_over": (F.col(forecast) > a).cast("double")})
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("_model").alias("model_ape"), F.avg("_baseline").alias("baseline_ape"), F.avg("_over").alias("over_share"))
+    medians = rows.agg(F.lit("all").alias("bucket"), F.count("*").alias("n"), F.percentile("_model", F.lit(0.5)).alias("model_ape"), F.percentile("_baseline", F.lit(0.5)).alias("baseline_ape"), F.avg("_over").alias("over_share"))
+    return buckets.union(medians.where("n > 0"))
 
 
 def high_demand_days(item_days: DataFrame, rise: float = 1.25) -> DataFrame:

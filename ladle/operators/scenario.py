@@ -6,6 +6,8 @@ elasticity, promo_margin_effect, period_days, forecast_daily_demand.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +115,11 @@ def simulate(baseline: DataFrame, scenarios: list[tuple[str, float | None]]) ->
     return both.select("item_id", "scenario", "value", *[f"after.{m}" for m in MEASURES], *[(F.col(f"after.{m}") - F.col(f"before.{m}")).alias(f"{m}_change") for m in MEASURES], "flags")
 
 
-def baseline_rows(items: DataFrame, sensitivity: DataFrame, promotions: DataFrame, forecast: DataFrame, period_days: int) -> DataFrame:
+def baseline_rows(items: DataFrame, sensitivity: DataFrame, promotions: DataFrame, forecast: DataFrame, as_of: date) -> DataFrame:
     """Baselines from item features, sensitivity classes, compared promotions, and item-day forecasts.
 
     A measured elasticity counts if it is negative and its class is one that has a default; it is capped. Others take DEFAULT_ELASTICITY.
-    promo_margin_effect: the median change of the margin rate from before to during a promotion."""
+    period_days: from the later of launch and 1 January to as_of, both included. promo_margin_effect: the median change of the margin rate from before to during a promotion."""
     effect = promotions.where("pre_margin_pct is not null and during_margin_pct is not null").agg(F.coalesce(F.percentile(F.col("during_margin_pct") - F.col("pre_margin_pct"), F.lit(0.5)), F.lit(0.0)).alias("promo_margin_effect"))
     expected = forecast.groupBy("item_id").agg(F.avg("forecast").alias("forecast_daily_demand"))
     rows = items.join(sensitivity.select("item_id", "elasticity", "sensitivity"), "item_id", "left").join(expected, "item_id", "left").join(F.broadcast(effect))
@@ -126,5 +128,5 @@ def baseline_rows(items: DataFrame, sensitivity: DataFrame, promotions: DataFram
     return rows.select(
         "item_id", _or_zero(safe_div(F.col("total_revenue"), sold)).alias("price"), _or_zero(safe_div(F.col("total_cost"), sold)).alias("unit_cost"), sold.alias("quantity"), _or_zero(F.col("wastage_percentage")).alias("wastage_pct"), _or_zero(F.col("discount_rate")).alias("discount_pct"),
         _or_zero(F.col("promotion_dependency")).alias("promotion_dependency"), F.when(measured, F.greatest(F.lit(-MOST_ELASTIC), F.col("elasticity"))).otherwise(DEFAULT_ELASTICITY).alias("elasticity"), "promo_margin_effect",
-        F.lit(period_days).alias("period_days"), "forecast_daily_demand",
+        (F.least(F.col("days_since_launch"), F.lit((as_of - date(as_of.year, 1, 1)).days)) + 1).alias("period_days"), "forecast_daily_demand",
     )

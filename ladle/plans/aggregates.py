@@ -81,20 +81,20 @@ PIVOTED = "SELECT location_id::VARCHAR AS place, count(*) FILTER (status = 'Comp
 
 
 def waste_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return wastage.wastage_by(wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf)), ["location_id"])
+    return wastage.wastage_by(wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf)), ["location_id"])
 
 
 WASTE_RATES = """SELECT location_id, coalesce(w, 0) AS waste_cost, coalesce(c, 0) AS cogs, coalesce(w, 0) / nullif(coalesce(w, 0) + coalesce(c, 0), 0) AS wastage_rate FROM (SELECT location_id, sum(cost) AS c FROM lines GROUP BY 1) FULL JOIN (SELECT location_id, sum(waste_cost) AS w FROM waste GROUP BY 1) USING (location_id)"""
 
 
 def waste_levels(spark: SparkSession, sf: str) -> DataFrame:
-    daily = wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf)).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
+    daily = wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf)).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
     daily = daily.withColumn("weekday", F.dayofweek("day"))
     return wastage.wastage_levels(daily, ["category_id", "location_id", "weekday", "promo"])
 
 
-WASTE_LEVELS = """WITH s AS (SELECT item_id, location_id, ts::DATE AS day, sum(cost) AS cogs, max(promo::INT) AS promo FROM lines GROUP BY 1, 2, 3), w AS (SELECT item_id, location_id, day, sum(waste_cost) AS waste_cost FROM waste GROUP BY 1, 2, 3),
-  d AS (SELECT item_id, location_id, day, coalesce(cogs, 0) AS cogs, coalesce(promo, 0) AS promo, coalesce(waste_cost, 0) AS waste_cost, category_id, dayofweek(day) + 1 AS weekday FROM s FULL JOIN w USING (item_id, location_id, day) JOIN items USING (item_id)),
+WASTE_LEVELS = """WITH s AS (SELECT item_id, location_id, ts::DATE AS day, sum(cost) AS cogs FROM lines GROUP BY 1, 2, 3), w AS (SELECT item_id, location_id, day, sum(waste_cost) AS waste_cost FROM waste GROUP BY 1, 2, 3),
+  d AS (SELECT item_id, location_id, day, coalesce(cogs, 0) AS cogs, ((item_id, location_id, day) IN (SELECT (item_id, location_id, day) FROM covered))::INT AS promo, coalesce(waste_cost, 0) AS waste_cost, category_id, dayofweek(day) + 1 AS weekday FROM s FULL JOIN w USING (item_id, location_id, day) JOIN items USING (item_id)),
   u AS (SELECT unnest(['category_id', 'location_id', 'weekday', 'promo']) AS level, unnest([category_id, location_id::VARCHAR, weekday::VARCHAR, promo::VARCHAR]) AS value, waste_cost, cogs FROM d)
   SELECT level, value, sum(waste_cost) AS waste_cost, sum(cogs) AS cogs, sum(waste_cost) / nullif(sum(waste_cost) + sum(cogs), 0) AS wastage_rate FROM u GROUP BY 1, 2"""
 

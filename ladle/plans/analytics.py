@@ -50,26 +50,26 @@ FREQUENT_ITEMSETS = """WITH b AS (SELECT DISTINCT order_id, category_id AS c FRO
 
 
 def _risk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    sold = fr.lines(spark, sf).select("item_id", "location_id", F.col("ship_day").alias("day"), "quantity")
-    return wastage.risk_table(fr.stock(spark, sf), fr.waste(spark, sf), sold, 200)
+    popularity = entities._item_table(spark, sf).select("item_id", "item_popularity")
+    return wastage.risk_table(fr.stock(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf), popularity, 200)
 
 
 def risk_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _risk_rows(spark, sf).select("item_id", "location_id", "day", "label", "recent_demand", "prep_ratio", "dow", "month", "is_weekend")
+    return _risk_rows(spark, sf).select("item_id", "location_id", "day", "label", "recent_demand", "prep_ratio", "promo_active", "item_popularity", "dow", "month", "is_weekend")
 
 
-RISK_TABLE = """WITH w AS (SELECT item_id, location_id, day, sum(wasted) AS wasted FROM waste GROUP BY 1, 2, 3), s AS (SELECT item_id, location_id, ship_day AS day, sum(quantity) AS quantity FROM lines GROUP BY 1, 2, 3),
-  j AS (SELECT item_id, location_id, day, prepared, coalesce(wasted, 0) AS wasted, coalesce(quantity, 0) AS quantity FROM stock LEFT JOIN w USING (item_id, location_id, day) LEFT JOIN s USING (item_id, location_id, day)),
-  r AS (SELECT *, avg(quantity) OVER (PARTITION BY item_id, location_id ORDER BY datediff('day', DATE '2000-01-01', day) RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS demand FROM j)
-  SELECT item_id, location_id, day, coalesce(wasted / nullif(prepared, 0) > 0.1, false)::INT AS label, coalesce(demand, -1) AS recent_demand, coalesce(prepared / nullif(demand, 0), -1) AS prep_ratio, (dayofweek(day) + 1)::INT AS dow, month(day)::INT AS month, (dayofweek(day) + 1 IN (6, 7, 1))::INT AS is_weekend FROM r"""
+RISK_TABLE = f"""WITH w AS (SELECT item_id, location_id, day, sum(wasted) AS wasted FROM waste GROUP BY 1, 2, 3), i AS (SELECT item_id, item_popularity FROM ({entities._ITEMS_SQL})),
+  j AS (SELECT item_id, location_id, day, prepared, consumed, coalesce(wasted, 0) AS wasted, (on_day IS NOT NULL)::INT AS promo_active, coalesce(item_popularity, 0) AS item_popularity FROM stock LEFT JOIN w USING (item_id, location_id, day) LEFT JOIN (SELECT item_id, location_id, day AS day, day AS on_day FROM covered) c USING (item_id, location_id, day) LEFT JOIN i USING (item_id) WHERE prepared > 0),
+  r AS (SELECT *, avg(consumed) OVER (PARTITION BY item_id, location_id ORDER BY datediff('day', DATE '2000-01-01', day) RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS demand FROM j)
+  SELECT item_id, location_id, day, coalesce(wasted / nullif(prepared, 0) > 0.1, false)::INT AS label, coalesce(demand, -1) AS recent_demand, coalesce(CASE WHEN demand > 0 THEN prepared / demand END, -1) AS prep_ratio, promo_active, item_popularity, (dayofweek(day) + 1)::INT AS dow, month(day)::INT AS month, (dayofweek(day) + 1 IN (6, 7, 1))::INT AS is_weekend FROM r"""
 
 
 def risk_watch_list(spark: SparkSession, sf: str) -> DataFrame:
     """A forest trained on the days before 2000, and the pairs it expects to waste from then on."""
     rows = _risk_rows(spark, sf).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
     train, test = wastage.split_by_day(rows, date(2000, 1, 1))
-    numeric = ["recent_demand", "prep_ratio", "prepared", "dow", "month", "is_weekend"]
-    model = wastage.fit_risk(train, numeric, ["category_id"], trees=10, depth=5)
+    numeric = ["recent_demand", "prep_ratio", "prepared", "promo_active", "item_popularity", "dow", "month", "is_weekend"]
+    model = wastage.fit_risk(train, numeric, ["category_id"])
     return wastage.watch_list(model.transform(test))
 
 
@@ -100,8 +100,8 @@ PRICE_IMPACT = f"""WITH d AS (SELECT item_id, category_id, ts::DATE AS day, sum(
   o AS (SELECT e.item_id, e.change_day, coalesce(sum(quantity) FILTER (day < change_day), 0) AS before, coalesce(sum(quantity) FILTER (day >= change_day), 0) AS after FROM e LEFT JOIN d ON d.item_id = e.item_id AND day BETWEEN change_day - 90 AND change_day + 89 GROUP BY 1, 2),
   a AS (SELECT e.item_id, e.change_day, coalesce(sum(quantity) FILTER (day < change_day), 0) AS b, coalesce(sum(quantity) FILTER (day >= change_day), 0) AS f FROM e LEFT JOIN d ON d.category_id = e.category_id AND day BETWEEN change_day - 90 AND change_day + 89 GROUP BY 1, 2),
   r AS (SELECT item_id, change_day, before, after, (new_price - old_price) / old_price AS price_change_pct, (after - before) / nullif(before, 0) AS demand_change_pct, (f - after - (b - before)) / nullif(b - before, 0) AS control_change_pct, b - before AS rest FROM e JOIN o USING (item_id, change_day) JOIN a USING (item_id, change_day))
-  SELECT item_id, change_day, before, after, price_change_pct, demand_change_pct, control_change_pct, (1 + demand_change_pct) / nullif(1 + control_change_pct, 0) - 1 AS adjusted_change_pct, ((1 + demand_change_pct) / nullif(1 + control_change_pct, 0) - 1) / price_change_pct AS elasticity,
-    change_day - 90 >= DATE '1995-01-01' AND change_day + 89 <= DATE '2001-08-01' AND before > 0 AND rest > 0 AND abs(price_change_pct) >= 0.05 AS evaluable FROM r"""
+  SELECT item_id, change_day, before, after, price_change_pct, demand_change_pct, control_change_pct, (1 + demand_change_pct) / nullif(1 + control_change_pct, 0) - 1 AS adjusted_change_pct, CASE WHEN evaluable THEN ((1 + demand_change_pct) / nullif(1 + control_change_pct, 0) - 1) / price_change_pct END AS elasticity, evaluable
+    FROM (SELECT *, change_day - 90 >= DATE '1995-01-01' AND change_day + 89 <= DATE '2001-08-01' AND before > 0 AND rest > 0 AND abs(price_change_pct) >= 0.05 AS evaluable FROM r)"""
 
 
 def _sensitivity(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ _AT = ", ".join(f"max({m}) FILTER (period = '{p}') AS {p}_{m}" for p in ("pre",
 PROMOTION_TRAPS = f"""WITH x AS (SELECT promotion_id, {_AT} FROM ({PROMOTION_METRICS}) GROUP BY 1), f AS (SELECT p.promotion_id,
   CASE WHEN a THEN coalesce((during_revenue > pre_revenue OR during_orders > pre_orders) AND during_margin < pre_margin, false) END AS volume_up_margin_down, CASE WHEN a THEN coalesce(during_customers > pre_customers AND during_margin_per_order < pre_margin_per_order * (1 - 0.05), false) END AS customers_up_margin_per_order_down,
   CASE WHEN a THEN coalesce(during_wastage_cost > pre_wastage_cost * (1 + 0.1), false) END AS wastage_up, CASE WHEN a AND b THEN coalesce(post_quantity < pre_quantity * (1 - 0.05), false) END AS post_promo_drop
-  FROM (SELECT *, start_day - (datediff('day', start_day, end_day) + 1)::INT >= DATE '1995-01-01' AND end_day <= DATE '2001-08-01' AS a, end_day + (datediff('day', start_day, end_day) + 1)::INT <= DATE '2001-08-01' AND start_day >= DATE '1995-01-01' AS b FROM promotions) p LEFT JOIN x USING (promotion_id))
+  FROM (SELECT *, start_day - (datediff('day', start_day, end_day) + 1)::INT >= DATE '1995-01-01' AS a, end_day + (datediff('day', start_day, end_day) + 1)::INT <= DATE '2001-08-01' AS b FROM promotions) p LEFT JOIN x USING (promotion_id))
   SELECT *, coalesce(volume_up_margin_down::INT, 0) + coalesce(customers_up_margin_per_order_down::INT, 0) + coalesce(wastage_up::INT, 0) + coalesce(post_promo_drop::INT, 0) AS trap_flags,
   coalesce(volume_up_margin_down::INT, 0) + coalesce(customers_up_margin_per_order_down::INT, 0) + coalesce(wastage_up::INT, 0) + coalesce(post_promo_drop::INT, 0) > 0 AS is_trap FROM f"""
 
@@ -170,6 +170,7 @@ _PLACE = "SELECT location_id, ts::DATE AS day, {0} AS v FROM lines GROUP BY 1, 2
 SALES_ANOMALIES = " UNION ALL ".join([
     _rolling("location_sales", "location_id", _PLACE.format("count(DISTINCT order_id)::DOUBLE"), "daily_orders", "location_id::VARCHAR"), _rolling("location_sales", "location_id", _PLACE.format("sum(revenue)"), "daily_revenue", "location_id::VARCHAR"),
     _rolling("item_sales", "item_id", "SELECT item_id, ts::DATE AS day, sum(quantity) AS v FROM lines GROUP BY 1, 2", "daily_quantity", "NULL"),
+    _rolling("item_sales", "item_id", "SELECT item_id, ts::DATE AS day, sum(revenue) AS v FROM lines GROUP BY 1, 2", "daily_revenue", "NULL"),
 ])
 
 
@@ -276,11 +277,12 @@ FORECAST_METRICS = f"WITH p AS (SELECT *, item_id % 4 AS category_id FROM ({TRAI
 
 
 def forecast_by_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.errors_by_volume(forecast.roll_up(_predicted(spark, sf), "item_location"))
+    return forecast.errors_by_volume(forecast.roll_up(_predicted(spark, sf), "item"))
 
 
-FORECAST_BY_VOLUME = f"""SELECT CASE WHEN target <= 0 THEN '0' WHEN target <= 1 THEN '0-1' WHEN target <= 2 THEN '1-2' WHEN target <= 5 THEN '2-5' WHEN target <= 10 THEN '5-10' ELSE '>10' END AS bucket, count(*) AS n, avg(abs((greatest(mean_14 - 1, 0) - target) / target)) AS mean_ape,
-  quantile_cont(abs((greatest(mean_14 - 1, 0) - target) / target), 0.5) AS median_ape FROM ({TRAINING_TABLE}) GROUP BY 1"""
+FORECAST_BY_VOLUME = f"""WITH r AS (SELECT item_id, target_day, sum(greatest(mean_14 - 1, 0)) AS forecast, sum(baseline) AS baseline, sum(target) AS target FROM ({TRAINING_TABLE}) GROUP BY 1, 2),
+  e AS (SELECT *, CASE WHEN target <= 5 THEN '1-5' WHEN target <= 20 THEN '6-20' WHEN target <= 50 THEN '21-50' ELSE '51+' END AS bucket, abs(forecast - target) / target AS m, abs(baseline - target) / target AS b, (forecast > target)::INT AS o FROM r WHERE target > 0)
+  SELECT bucket, count(*) AS n, avg(m) AS model_ape, avg(b) AS baseline_ape, avg(o) AS over_share FROM e GROUP BY 1 UNION ALL SELECT 'all', count(*), quantile_cont(m, 0.5), quantile_cont(b, 0.5), avg(o) FROM e HAVING count(*) > 0"""
 
 
 def forecast_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,7 +368,7 @@ RECOMMENDATION_COUNTS = f"""SELECT 'Promote hidden opportunity' AS type, count(*
   UNION ALL SELECT 'Reduce preparation', count(*) FROM ({_CHAIN}) LEFT JOIN (SELECT item_id, avg(label) AS s FROM ({RISK_TABLE}) GROUP BY 1) USING (item_id) WHERE excessive_wastage OR s >= 0.5
   UNION ALL SELECT 'Review price', count(*) FROM ({PRICE_SENSITIVITY}) JOIN ({_CHAIN}) USING (item_id) WHERE sensitivity = 'High'
   UNION ALL SELECT 'Bundle items', count(DISTINCT [least(antecedent, consequent), greatest(antecedent, consequent)]) FROM ({PAIR_RULES}) WHERE round(lift, 6) >= 1.05 HAVING count(*) > 0
-  UNION ALL SELECT 'Remove or redesign', count(*) FROM ({_CHAIN}) JOIN (SELECT item_id, avg((category = 'Low Performer')::INT) AS low FROM ({entities._LOCAL_CLASSES}) WHERE category <> 'Insufficient History' GROUP BY 1) USING (item_id) WHERE category = 'Low Performer' AND low >= 0.75
+  UNION ALL SELECT 'Remove or redesign', count(*) FROM ({_CHAIN}) JOIN (SELECT item_id, avg((category = 'Low Performer')::INT) AS low FROM ({entities._LOCAL_CLASSES}) GROUP BY 1 HAVING count(*) >= 3) USING (item_id) WHERE category = 'Low Performer' AND low >= 0.75
   UNION ALL SELECT 'Stock before peak', count(DISTINCT item_id) FROM ({_ITEM_DAYS}) JOIN ({_CHAIN}) USING (item_id) WHERE forecast >= recent_average * 0.95 AND total_quantity_sold > 0 HAVING count(*) > 0
   UNION ALL SELECT 'Target segment', count(DISTINCT rule_segment) FROM ({entities.RULE_SEGMENTS})
   UNION ALL SELECT 'Review promotion', count(*) FROM ({PROMOTION_TRAPS}) WHERE trap_flags > 0
@@ -377,7 +379,7 @@ _GRID: list[tuple[str, float | None]] = [("price_change", 0.1), ("price_change",
 
 def scenarios(spark: SparkSession, sf: str) -> DataFrame:
     compared = _compared(spark, sf).select("promotion_id", (F.col("pre_margin") / F.nullif(F.col("pre_revenue"), F.lit(0.0))).alias("pre_margin_pct"), (F.col("during_margin") / F.nullif(F.col("during_revenue"), F.lit(0.0))).alias("during_margin_pct"))
-    base = scenario.baseline_rows(entities._item_table(spark, sf), _sensitivity(spark, sf), compared, _item_days(spark, sf), (AS_OF - FIRST_DAY).days + 1)
+    base = scenario.baseline_rows(entities._item_table(spark, sf), _sensitivity(spark, sf), compared, _item_days(spark, sf), AS_OF)
     return scenario.simulate(base, _GRID).select("item_id", "scenario", "value", "revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage", F.size("flags").cast("bigint").alias("n_flags"))
 
 
@@ -385,7 +387,7 @@ _WASTE = "quantity * wastage_pct / (1 - wastage_pct)"
 SCENARIOS = f"""WITH e AS (SELECT coalesce(quantile_cont(d - p, 0.5), 0) AS effect FROM (SELECT max(margin / nullif(revenue, 0)) FILTER (period = 'pre') AS p, max(margin / nullif(revenue, 0)) FILTER (period = 'during') AS d FROM ({PROMOTION_METRICS}) GROUP BY promotion_id) WHERE p IS NOT NULL AND d IS NOT NULL),
   f AS (SELECT item_id, avg(forecast) AS daily FROM ({_ITEM_DAYS}) GROUP BY 1), q AS (SELECT * FROM ({PRICE_SENSITIVITY})),
   b AS (SELECT i.item_id, coalesce(total_revenue / nullif(total_quantity_sold, 0), 0) AS price, coalesce(total_cost / nullif(total_quantity_sold, 0), 0) AS unit_cost, total_quantity_sold AS quantity, coalesce(wastage_percentage, 0) AS wastage_pct, coalesce(discount_rate, 0) AS disc, coalesce(promotion_dependency, 0) AS dep,
-    CASE WHEN sensitivity IN ('High', 'Moderate', 'Low') AND elasticity < 0 THEN greatest(-3.0, elasticity) ELSE -0.7 END AS el, effect, 2405 AS days, daily FROM ({entities._ITEMS_SQL}) i LEFT JOIN q USING (item_id) LEFT JOIN f USING (item_id), e),
+    CASE WHEN sensitivity IN ('High', 'Moderate', 'Low') AND elasticity < 0 THEN greatest(-3.0, elasticity) ELSE -0.7 END AS el, effect, least(days_since_launch, 212) + 1 AS days, daily FROM ({entities._ITEMS_SQL}) i LEFT JOIN q USING (item_id) LEFT JOIN f USING (item_id), e),
   g AS (SELECT *, CASE WHEN wastage_pct < 1 THEN {_WASTE} ELSE 0 END AS w FROM b, (SELECT unnest([{', '.join(f"'{n}'" for n, _ in _GRID)}]) AS scenario, unnest([{', '.join('NULL' if v is None else f'{v}::DOUBLE' for _, v in _GRID)}]) AS value)),
   p AS (SELECT *, CASE scenario WHEN 'price_change' THEN value WHEN 'discount_change' THEN (1 - value) / nullif(1 - disc, 0) - 1 END AS pct FROM g),
   s AS (SELECT *, CASE WHEN scenario IN ('price_change', 'discount_change') THEN greatest(0, quantity * (1 + el * pct)) WHEN scenario = 'promotion_frequency' THEN quantity * (1 + dep * (value - 1)) WHEN scenario = 'remove_item' THEN 0 WHEN scenario = 'reduce_prep' THEN quantity - greatest(0, (quantity + w) * value - w)
@@ -568,7 +570,7 @@ QUERIES = {
     "recent_anomalies": Query(recent_anomalies, RECENT_ANOMALIES, ("value",)),
     "training_table": Query(training_table, TRAINING_TABLE, ("mean_7", "mean_14")),
     "forecast_metrics": Query(forecast_metrics, FORECAST_METRICS, ("mae", "rmse", "mape", "r2")),
-    "forecast_by_volume": Query(forecast_by_volume, FORECAST_BY_VOLUME, ("mean_ape", "median_ape")),
+    "forecast_by_volume": Query(forecast_by_volume, FORECAST_BY_VOLUME, ("model_ape", "baseline_ape", "over_share")),
     "forecast_split": Query(forecast_split, FORECAST_SPLIT),
     "forecast_covariates": Query(forecast_covariates, FORECAST_COVARIATES, ("price",)),
     "high_demand": Query(high_demand, HIGH_DEMAND, ("extra",)),
@@ -577,7 +579,7 @@ QUERIES = {
     "item_classifier": Query(item_classifier),
     "recommendations": Query(recommendations),
     "recommendation_counts": Query(recommendation_counts, RECOMMENDATION_COUNTS),
-    "scenarios": Query(scenarios, SCENARIOS, ("revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage")),
+    "scenarios": Query(scenarios, SCENARIOS, ("revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage"), 2),
     "kpis": Query(kpis, KPIS, ("cancel_rate", "net_sales", "profit", "waste_cost", "average_order_value")),
     "monthly": Query(monthly, MONTHLY, ("net_sales", "promo_share", "change")),
     "sales_by_location": Query(sales_by_location, "SELECT location_id, sum(revenue) AS net_sales, sum(quantity) AS quantity, count(DISTINCT order_id) AS orders FROM lines GROUP BY 1", ("net_sales", "quantity")),

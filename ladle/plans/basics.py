@@ -344,11 +344,11 @@ EFFECTIVE_PRICES = """WITH g AS (SELECT DISTINCT item_id, location_id, ship_day
 
 
 def lagged_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = table(spark, sf, "events").where("user_id % 3 = 0").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    days = table(spark, sf, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
     return days.withColumns({f"lag_{k}": integration.lagged("n", ["user_id"], "day", k) for k in (1, 7)})
 
 
-LAGGED_DAYS = """WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+LAGGED_DAYS = """WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
   SELECT d.*, a.n AS lag_1, b.n AS lag_7 FROM d LEFT JOIN d a ON a.user_id = d.user_id AND a.day = d.day - 1 LEFT JOIN d b ON b.user_id = d.user_id AND b.day = d.day - 7"""
 
 

@@ -36,7 +36,8 @@ def _entity_sql(keys: str, base: str) -> str:
   LEFT JOIN (SELECT {keys}, sum(waste_cost) AS wastage_cost FROM waste WHERE day <= {_DAY} GROUP BY ALL) USING ({keys})"""
 
 
-_ITEMS_SQL = f"""SELECT * EXCLUDE (launch_day), percent_rank() OVER (ORDER BY total_quantity_sold) AS item_popularity FROM ({_entity_sql("item_id", f"SELECT *, datediff('day', launch_day, {_DAY})::INT AS days_since_launch FROM items WHERE launch_day <= {_DAY}")})
+_TREND_SQL = "SELECT item_id, CASE WHEN count(*) >= 3 THEN covar_pop(v, m) / nullif(var_pop(m), 0) END AS rating_trend FROM (SELECT item_id, (year(day) * 12 + month(day))::DOUBLE AS m, avg(rating) AS v FROM ratings WHERE rating IS NOT NULL GROUP BY 1, 2) GROUP BY 1"
+_ITEMS_SQL = f"""SELECT * EXCLUDE (launch_day), percent_rank() OVER (ORDER BY total_quantity_sold) AS item_popularity FROM ({_entity_sql("item_id", f"SELECT *, datediff('day', launch_day, {_DAY})::INT AS days_since_launch FROM items WHERE launch_day <= {_DAY}")}) LEFT JOIN ({_TREND_SQL}) USING (item_id)
   LEFT JOIN (SELECT item_id, first_price, last_price, (last_price - first_price) / first_price AS price_change_pct FROM (SELECT item_id, arg_min(price, start_day) AS first_price, arg_max(price, start_day) AS last_price FROM prices WHERE location_id IS NULL AND start_day <= {_DAY} GROUP BY 1)) USING (item_id)"""
 _FEATURE_DOUBLES = (
     "total_revenue", "total_cost", "total_quantity_sold", "total_discount", "repeat_purchase_rate", "sales_trend", "average_rating", "wastage_cost", "contribution_margin", "profit_percentage", "wasted_portions", "wastage_percentage", "promotion_dependency", "weekend_order_ratio", "discount_rate",
@@ -74,7 +75,7 @@ def location_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LOCATION_FEATURES = f"""SELECT location_id, kind, coalesce(total_revenue, 0) AS total_revenue, coalesce(total_cost, 0) AS total_cost, coalesce(total_orders, 0) AS total_orders, coalesce(unique_customers, 0) AS unique_customers, repeat_customer_rate, coalesce(wastage_cost, 0) AS wastage_cost,
-  coalesce(total_revenue - total_cost, 0) AS gross_profit, (total_revenue - total_cost) / total_revenue AS profit_margin, total_revenue / total_orders AS average_order_value, coalesce(wastage_cost, 0) / nullif(coalesce(wastage_cost, 0) + coalesce(total_cost, 0), 0) AS wastage_rate FROM locations
+  coalesce(total_revenue - total_cost, 0) AS gross_profit, (total_revenue - total_cost) / total_revenue AS profit_margin, total_revenue / total_orders AS average_order_value, coalesce(wastage_cost, 0) / nullif(total_revenue, 0) AS wastage_rate FROM locations
   LEFT JOIN (SELECT location_id, sum(revenue) AS total_revenue, sum(cost) AS total_cost, count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS unique_customers FROM lines GROUP BY 1) USING (location_id)
   LEFT JOIN (SELECT location_id, avg((n > 1)::INT) AS repeat_customer_rate FROM (SELECT location_id, customer_id, count(DISTINCT order_id) AS n FROM lines GROUP BY 1, 2) GROUP BY 1) USING (location_id)
   LEFT JOIN (SELECT location_id, sum(waste_cost) AS wastage_cost FROM waste WHERE day <= {_DAY} GROUP BY 1) USING (location_id)"""
@@ -89,7 +90,7 @@ def _classified(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _classes_sql(body: str, partition: str = "") -> str:
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("profit_percentage", "average_rating", "repeat_purchase_rate", "wastage_percentage", "contribution_margin", "promotion_dependency", "weekend_order_ratio"))
     metrics = {"profit": "profit_percentage", "demand": "total_quantity_sold", "quality": "quality_score", "wastage": "wastage_percentage"}
-    ranks = ", ".join(f"CASE WHEN i THEN percent_rank() OVER (PARTITION BY {partition}i ORDER BY {c} NULLS FIRST) END AS {n}_percentile" for n, c in metrics.items())
+    ranks = ", ".join(f"CASE WHEN i AND {c} IS NOT NULL THEN percent_rank() OVER (PARTITION BY {partition}i AND {c} IS NOT NULL ORDER BY {c}) END AS {n}_percentile" for n, c in metrics.items())
     tiers = ", ".join(f"CASE WHEN {n}_percentile < 0.33 THEN 'Low' WHEN {n}_percentile > 0.67 THEN 'High' WHEN {n}_percentile IS NOT NULL THEN 'Medium' END AS {n}_tier" for n in metrics)
     return f"""SELECT *, CASE WHEN new THEN 'Insufficient History' WHEN NOT sold THEN 'Low Performer' WHEN demand_tier = 'High' AND profit_tier = 'High' AND NOT excessive_wastage THEN 'Profit Driver' WHEN demand_tier = 'High' THEN 'Volume Driver'
       WHEN profit_tier = 'High' OR quality_tier = 'High' THEN 'Hidden Opportunity' ELSE 'Low Performer' END AS category FROM (
@@ -113,11 +114,11 @@ CLASSIFICATION = f"""SELECT item_id, category, excessive_wastage, profit_tier, d
 
 def local_consistency(spark: SparkSession, sf: str) -> DataFrame:
     chain, _ = _classified(spark, sf)
-    return chain.where("n_locations is not null").select("item_id", "n_locations", F.size("location_categories").cast("bigint").alias("n_categories"), "mismatch_share", "inconsistent")
+    return chain.where("n_locations is not null").select("item_id", "n_locations", F.when(F.col("location_categories").isNotNull(), F.size("location_categories")).cast("bigint").alias("n_categories"), "mismatch_share", "inconsistent")
 
 
-LOCAL_CONSISTENCY = f"""SELECT item_id, count(*) AS n_locations, count(*) AS n_categories, avg((l.category <> c.category)::INT) AS mismatch_share, count(*) >= 3 AND avg((l.category <> c.category)::INT) >= 0.25 AS inconsistent
-  FROM (SELECT item_id, category FROM ({_LOCAL_CLASSES}) WHERE category <> 'Insufficient History') l JOIN ({_CHAIN_SQL}) c USING (item_id) GROUP BY 1"""
+LOCAL_CONSISTENCY = f"""SELECT item_id, count(*) AS n_locations, CASE WHEN count(*) >= 3 THEN count(*) END AS n_categories, CASE WHEN count(*) >= 3 THEN avg((l.category <> c.category)::INT) END AS mismatch_share, count(*) >= 3 AND avg((l.category <> c.category)::INT) >= 0.25 AS inconsistent
+  FROM (SELECT item_id, category FROM ({_LOCAL_CLASSES})) l JOIN ({_CHAIN_SQL}) c USING (item_id) GROUP BY 1"""
 
 
 def category_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,12 +240,14 @@ SET_INTEGRITY = "SELECT count(*) FILTER (c_custkey % 10 = 4) AS only_first, coun
 
 
 def channels(spark: SparkSession, sf: str) -> DataFrame:
-    return customers.channel_stats(fr.orders(spark, sf))
+    return customers.channel_stats(fr.channel_orders(spark, sf), fr.all_lines(spark, sf))
 
 
 CHANNELS = """WITH h AS (SELECT channel, h FROM (SELECT channel, hour(ts)::INT AS h, count(*) AS n FROM ords WHERE status <> 'Cancelled' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY channel ORDER BY n DESC, h) = 1),
   c AS (SELECT channel, count(*) FILTER (d) AS orders, sum(total) FILTER (d) AS revenue, avg(total) FILTER (d) AS average_order_value, count(DISTINCT customer_id) FILTER (d) AS customers, avg(((hour(ts) >= 12 AND hour(ts) < 14) OR (hour(ts) >= 19 AND hour(ts) < 22))::INT) FILTER (d) AS peak_share,
-    avg((dayofweek(ts) + 1 IN (6, 7, 1))::INT) FILTER (d) AS weekend_share, avg(promo::INT) FILTER (d) AS promo_share, avg((NOT d)::INT) AS cancel_rate FROM (SELECT *, status <> 'Cancelled' AS d FROM ords) GROUP BY 1)
+    avg((dayofweek(ts) + 1 IN (6, 7, 1))::INT) FILTER (d) AS weekend_share, avg(promo::INT) FILTER (d) AS promo_share, avg((NOT d)::INT) AS cancel_rate,
+    avg(basket) FILTER (d) AS average_basket_size, avg((discount > 0)::INT) FILTER (d) AS discount_order_share, sum(discount) FILTER (d) / sum(subtotal) FILTER (d) AS discount_rate, sum(margin) FILTER (d) / sum(subtotal - discount) FILTER (d) AS margin_pct
+    FROM (SELECT *, status <> 'Cancelled' AS d FROM ords LEFT JOIN (SELECT order_id, count(*) AS basket, sum(revenue - cost) AS margin, sum(revenue + discount) AS subtotal, coalesce(sum(discount) FILTER (promo), 0) AS discount FROM all_lines GROUP BY 1) USING (order_id)) GROUP BY 1)
   SELECT c.*, h AS busiest_hour, orders / sum(orders) OVER () AS order_share, revenue / sum(revenue) OVER () AS revenue_share FROM c JOIN h USING (channel)"""
 
 
@@ -287,7 +290,7 @@ LOCATION_SUMMARY = f"""SELECT location_id, kind, average_rating, coalesce(a, 0)
   count(*) FILTER (l.category = 'Low Performer') AS d, count(*) FILTER (l.category = 'Insufficient History') AS e, avg((l.category <> k.category)::INT) AS mismatch_share FROM ({_LOCAL_CLASSES}) l JOIN ({_CHAIN_SQL}) k USING (item_id) GROUP BY 1) USING (location_id)"""
 
 QUERIES = {
-    "item_features": Query(item_features, f"SELECT * EXCLUDE (is_active) FROM ({_ITEMS_SQL})", (*_FEATURE_DOUBLES, "price_change_pct", "item_popularity")),
+    "item_features": Query(item_features, f"SELECT * EXCLUDE (is_active) FROM ({_ITEMS_SQL})", (*_FEATURE_DOUBLES, "price_change_pct", "item_popularity", "rating_trend")),
     "item_location_features": Query(item_location_features, _LOCAL_SQL, _FEATURE_DOUBLES),
     "customer_features": Query(customer_features, CUSTOMER_FEATURES, _CUSTOMER_DOUBLES, 6),
     "location_features": Query(location_features, LOCATION_FEATURES, ("total_revenue", "total_cost", "repeat_customer_rate", "wastage_cost", "gross_profit", "profit_margin", "average_order_value", "wastage_rate")),
@@ -306,7 +309,7 @@ QUERIES = {
     "agreement_margins": Query(agreement_margins, AGREEMENT_MARGINS, ("median_margin",)),
     "parity": Query(parity, PARITY, ("max_abs_diff", "max_rel_diff"), 8),
     "set_integrity": Query(set_integrity, SET_INTEGRITY),
-    "channels": Query(channels, CHANNELS, ("revenue", "average_order_value", "peak_share", "weekend_share", "promo_share", "cancel_rate", "order_share", "revenue_share"), 3),
+    "channels": Query(channels, CHANNELS, ("revenue", "average_order_value", "peak_share", "weekend_share", "promo_share", "cancel_rate", "order_share", "revenue_share", "average_basket_size", "discount_order_share", "discount_rate", "margin_pct"), 3),
     "churn": Query(churn, CHURN, ("mean_gap",)),
     "risk_by_segment": Query(risk_by_segment, RISK_BY_SEGMENT, ("at_risk_share",)),
     "slow_moving": Query(slow_moving, SLOW_MOVING, ("demand_percentile", "repeat_percentile", "relative_trend")),

@@ -13,6 +13,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladle.operators import integration
+
 AS_OF = date(2001, 8, 1)
 FIRST_DAY, LAST_DAY = date(1995, 1, 1), date(2001, 8, 1)
 
@@ -95,6 +97,16 @@ def stock(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", "location_id", "day", F.when(F.pmod("item_id", F.lit(3)) == 0, F.col("q") * 0.8).otherwise(F.col("q") * 2).alias("prepared"), (F.col("q") * 0.75).alias("consumed"))
 
 
+def covered(spark: SparkSession, sf: str) -> DataFrame:
+    return integration.promotion_days(promotions(spark, sf), promotion_items(spark, sf), promotion_locations(spark, sf))
+
+
+def channel_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the sums of their lines before discounts, and of the discounts from 5 % on."""
+    sums = all_lines(spark, sf).groupBy("order_id").agg(F.sum(F.col("revenue") + F.col("discount")).alias("subtotal"), F.sum(F.when(F.col("promo"), F.col("discount")).otherwise(0.0)).alias("discount"))
+    return orders(spark, sf).join(sums, "order_id", "left")
+
+
 CTES = {
     "all_lines": """SELECT l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS item_id, p_brand AS category_id, l_suppkey AS location_id, o_custkey AS customer_id, o_orderpriority AS channel,
   CASE WHEN o_orderstatus = 'P' THEN 'Cancelled' ELSE 'Completed' END AS status, o_orderdate AS ts, l_quantity AS quantity, l_extendedprice * (1 - l_discount) AS revenue, l_quantity * p_retailprice AS cost,
@@ -112,6 +124,7 @@ CTES = {
     "promotion_items": "SELECT p_partkey % 25 AS promotion_id, p_partkey AS item_id FROM part",
     "promotion_locations": "SELECT s_nationkey::BIGINT AS promotion_id, s_suppkey AS location_id FROM supplier",
     "locations": "SELECT s_suppkey AS location_id, r_name AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "covered": "SELECT DISTINCT item_id, location_id, day FROM (SELECT promotion_id, unnest(generate_series(start_day, end_day, INTERVAL 1 DAY))::DATE AS day FROM promotions) JOIN promotion_items USING (promotion_id) JOIN promotion_locations USING (promotion_id)",
     "stock": "SELECT item_id, location_id, ship_day AS day, CASE WHEN item_id % 3 = 0 THEN sum(quantity) * 0.8 ELSE sum(quantity) * 2 END AS prepared, sum(quantity) * 0.75 AS consumed FROM all_lines GROUP BY item_id, location_id, ship_day",
 }
 

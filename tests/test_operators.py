@@ -153,10 +153,13 @@ def test_training_table_drops_gaps(spark):
 
 
 def test_risk_table_looks_back_without_the_day(spark):
-    stock = spark.createDataFrame([("i", "l", D + timedelta(n), 40.0) for n in range(3)], "item_id string, location_id string, day date, prepared double")
-    sold = spark.createDataFrame([("i", "l", D, 10.0), ("i", "l", D + timedelta(1), 20.0)], "item_id string, location_id string, day date, quantity double")
+    stock = spark.createDataFrame([("i", "l", D + timedelta(n), 40.0 if n < 3 else 0.0, 10.0 * (n + 1)) for n in range(4)], "item_id string, location_id string, day date, prepared double, consumed double")
+    covered = spark.createDataFrame([("i", "l", D)], "item_id string, location_id string, day date")
+    popularity = spark.createDataFrame([("i", 0.5)], "item_id string, item_popularity double")
     waste = spark.createDataFrame([("i", "l", D + timedelta(2), 8.0)], "item_id string, location_id string, day date, wasted double")
-    out = [r.asDict() for r in wastage.risk_table(stock, waste, sold).orderBy("day").collect()]
+    out = [r.asDict() for r in wastage.risk_table(stock, waste, covered, popularity).orderBy("day").collect()]
+    # nothing was prepared on the fourth day
+    assert [(r["promo_active"], r["item_popularity"]) for r in out] == [(1, 0.5), (0, 0.5), (0, 0.5)]
     assert [r["recent_demand"] for r in out] == [-1.0, 10.0, 15.0]
     assert [r["label"] for r in out] == [0, 0, 1] and out[2]["prep_ratio"] == pytest.approx(40 / 15)
 
