@@ -579,7 +579,7 @@ QUERIES = {
     "item_classifier": Query(item_classifier),
     "recommendations": Query(recommendations),
     "recommendation_counts": Query(recommendation_counts, RECOMMENDATION_COUNTS),
-    "scenarios": Query(scenarios, SCENARIOS, ("revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage")),
+    "scenarios": Query(scenarios, SCENARIOS, ("revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage"), 2, 3.14159e-5),
     "kpis": Query(kpis, KPIS, ("cancel_rate", "net_sales", "profit", "waste_cost", "average_order_value")),
     "monthly": Query(monthly, MONTHLY, ("net_sales", "promo_share", "change")),
     "sales_by_location": Query(sales_by_location, "SELECT location_id, sum(revenue) AS net_sales, sum(quantity) AS quantity, count(DISTINCT order_id) AS orders FROM lines GROUP BY 1", ("net_sales", "quantity")),

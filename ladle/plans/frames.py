@@ -131,21 +131,23 @@ CTES = {
 
 @dataclass
 class Query:
-    """A query and its SQL. doubles are rounded on both sides, as sums of doubles depend on their order."""
+    """A query and its SQL. doubles are rounded on both sides, as sums of doubles depend on their order. nudge is added before, where
+    amounts of few decimals may lie half way between two rounded ones."""
 
     spark: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     doubles: tuple[str, ...] = ()
     digits: int = 4
+    nudge: float = 0.0
 
     def run(self, spark: SparkSession, sf: str) -> DataFrame:
         df = self.spark(spark, sf)
         # adding 0 turns a negative zero into zero
-        return df.withColumns({c: F.round(F.col(c), self.digits) + F.lit(0.0) for c in self.doubles}) if self.doubles else df
+        return df.withColumns({c: F.round(F.col(c) + F.lit(self.nudge), self.digits) + F.lit(0.0) for c in self.doubles}) if self.doubles else df
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        rounded = ", ".join(f"round({c}, {self.digits}) + 0.0 AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"round({c} + {self.nudge!r}::DOUBLE, {self.digits}) + 0.0 AS {c}" for c in self.doubles)
         body = f"SELECT *{f' REPLACE ({rounded})' * bool(rounded)} FROM (\n{self.sql.strip()}\n)"
         return f"WITH {', '.join(f'{k} AS ({v})' for k, v in CTES.items())}\n{body}"
