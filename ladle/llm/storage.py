@@ -60,14 +60,15 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, where: Column | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, where: Column | None = None, split_from: int = 0) -> DataFrame:
     """Inner join of rows with keyed, which has a row per key and in ``count`` its number of rows, of ``total`` in all.
 
     Keys with over 1 / HOT_SHARE of all rows, fewer than HOT_SHARE by that, are broadcast, so that their rows
-    stay where they are; the others' rows are shuffled. where: a condition on the joined rows."""
+    stay where they are; the others' rows are shuffled. where: a condition on the joined rows. split_from: fewer rows
+    than that are joined plainly, as one task may have them all."""
     hot = F.col(count) > max(1, total // HOT_SHARE)
     names = [c for c in keyed.columns if c not in keys and c != count]
-    if hasattr(keyed, "written_to") and keyed.where(hot).isEmpty():
+    if total < split_from or hasattr(keyed, "written_to") and keyed.where(hot).isEmpty():
         out = rows.join(keyed.drop(count).hint("merge"), keys).select(*rows.columns, *names)
         return out if where is None else out.where(where)
     few = F.broadcast(keyed.where(hot).select(*keys, *names, F.lit(True).alias("is_hot")))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ladle.llm import graph, language, licences, minhash, mixing, quality, sstable, suffix, text, tiling, tokens, warc
+from ladle.llm import graph, language, licences, minhash, mixing, quality, sstable, storage, suffix, text, tiling, tokens, warc
 from tests.conftest import SF
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,10 +55,13 @@ def test_words_do_not_cross_documents():
     assert small == [h for c in chunks for h in c.hash.tolist()]
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(10, 30)] + [(100, 101), (101, 102), (5, 5), (None, 3)]
+@pytest.mark.parametrize("split_from", [graph.SPLIT_FROM, 0])
+def test_components(spark, monkeypatch, split_from):
+    monkeypatch.setattr(graph, "SPLIT_FROM", split_from)
+    monkeypatch.setattr(storage, "HOT_SHARE", 10)
+    edges = [(i, i + 1) for i in range(10, 30)] + [(1_000, k) for k in range(1_001, 1_040)] + [(100, 101), (101, 102), (5, 5), (None, 3)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert found == {**dict.fromkeys(range(10, 31), 10), 100: 100, 101: 100, 102: 100}
+    assert found == {**dict.fromkeys(range(10, 31), 10), **dict.fromkeys(range(1_000, 1_040), 1_000), 100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
