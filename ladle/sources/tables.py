@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import date
 
 from pyspark.ml import PipelineModel
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ladle.sources.schemas import DATE_FORMAT, TIMESTAMP_FORMAT, as_strings, schema
 
-FORMATS = {"dateFormat": DATE_FORMAT, "timestampFormat": TIMESTAMP_FORMAT}
+FORMATS = {"dateFormat": DATE_FORMAT, "timestampFormat": TIMESTAMP_FORMAT, "timestampNTZFormat": TIMESTAMP_FORMAT}
 
 
 def read_csv(spark: SparkSession, path: str, typed: StructType) -> DataFrame:
@@ -120,10 +121,17 @@ def load_model(path: str) -> PipelineModel:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new local one where none is set, as in tests."""
+    """The session's checkpoint folder, which driver and executors share. Where none is set: a new one if the session runs on this machine alone, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ladle-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing else uses."""
+    return f"{checkpoint_dir(spark)}/ladle/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ladle.operators import anomaly, basket, classify, cleaning, customers, forecast, integration, models, pricing, promotions, quality, recommend, scenario, segment, wastage
 from ladle.sources import schemas, tables
@@ -197,3 +198,19 @@ def test_item_classifier_searches_three_whole_grids(spark, monkeypatch):
     monkeypatch.setattr(models, "select_best", lambda df, inputs, label, key, chosen, folds=5: seen.append(({name: len(grid) for name, (_, grid) in chosen.items()}, folds)) or (None, None, df))
     analytics.item_classifier(spark, SF)
     assert seen == [({"logistic_regression": 3, "decision_tree": 3, "random_forest": 4}, 5)]
+
+
+def test_saved_model_predicts_the_same(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i) for i in range(40)], "a double, b double, target double")
+    model = forecast.fit(rows, ["a", "b"], iterations=3, depth=2)
+    tables.save_model(model, str(tmp_path / "model"))
+    again = tables.load_model(str(tmp_path / "model"))
+    assert [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in model.transform(rows).collect()]
+
+
+def test_times_without_zone_read_back_from_csv(spark, tmp_path):
+    rows = spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2025-01-02 03:04:05' AS ts")
+    tables.write_csv(rows, str(tmp_path / "t"))
+    typed = StructType().add("id", "integer").add("ts", "timestamp")
+    assert str(tables.read_csv(spark, str(tmp_path / "t"), typed).first()["ts"]) == "2025-01-02 03:04:05"
+    assert tables.read_raw_csv(spark, str(tmp_path / "t"), typed).first()["ts"] == "2025-01-02 03:04:05"
