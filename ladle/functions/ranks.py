@@ -1,7 +1,7 @@
 """Ranks, percentiles and tiers.
 
-A window over a whole table runs in one task. ``global_rank`` numbers a large table without one;
-the window forms are for tables of an entity per row.
+A window over a whole table runs in one task. ``global_rank``, ``with_ntile`` and ``with_mean_rank_shares`` number a large
+table without one; ``percentile_within`` and ``priority`` are for tables of a row per item, place or recommendation.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladle.sources.tables import checkpoint_dir
+
 LOW, HIGH = 0.33, 0.67
 
 
@@ -23,16 +25,29 @@ def percentile_within(value: str, population: Column, partition: list[str] = ())
     return F.when(population, F.percent_rank().over(window))
 
 
-def quintile(value: str, key: str, descending: bool = False, n: int = 5) -> Column:
-    """ntile with the key to break ties, so that reruns agree."""
+def with_ntile(df: DataFrame, value: str, key: str, name: str, n: int = 5, descending: bool = False) -> DataFrame:
+    """Adds ntile in the order of value, nulls first; the key, which is unique, breaks ties, so that reruns agree."""
     order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_first()
-    return F.ntile(n).over(Window.orderBy(order, key))
+    rank, size, rest = F.col("_rank"), F.floor(F.col("_total") / n), F.col("_total") % n
+    # the first buckets have a row more than the others
+    wide = rest * (size + 1)
+    bucket = F.when(rank <= wide, F.ceil(rank / (size + 1))).otherwise(rest + F.ceil((rank - wide) / F.nullif(size, F.lit(0))))
+    return global_rank(df, order, F.col(key), name="_rank", total="_total").withColumn(name, bucket.cast("int")).drop("_rank", "_total")
+
 
+def with_mean_rank_shares(df: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """Adds rank over the number of rows, where equal values share the mean of their ranks. shares: name of the new column -> value.
 
-def mean_rank_share(value: str) -> Column:
-    """Rank over the number of rows, where equal values share the mean of their ranks."""
-    ties = Window.partitionBy(value)
-    return (F.rank().over(Window.orderBy(value)) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(Window.partitionBy())
+    Values are counted first, so that a frequent one is a row like others when values are put in order; the counts' running
+    totals are joined back to the rows, which are written once."""
+    checkpoint_dir(df.sparkSession)
+    out = rows = df.checkpoint()
+    for name, value in shares.items():
+        counts = rows.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+        placed = global_rank(counts, F.col("_value").asc_nulls_first(), name="_before", total="_total", weight="_n")
+        share = (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_total")
+        out = out.join(placed.select("_value", share.alias(name)), F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
+    return out
 
 
 def tertile(share: Column) -> Column:
@@ -51,18 +66,26 @@ def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-def global_rank(df: DataFrame, *order: Column, name: str = "rank", staging: str | None = None) -> DataFrame:
-    """Adds each row's number, from 1, in the order of all rows, without a task that sees them all.
+def global_rank(df: DataFrame, *order: Column, name: str = "rank", staging: str | None = None, total: str | None = None, weight: str | None = None) -> DataFrame:
+    """Adds each row's number, from 1, in the order of all rows, without a task that sees them all; as total, if named, the number of all rows.
 
-    Rows are range-partitioned and sorted; counts of the partitions before, one row each, are added to the numbers
+    With weight, adds the sum of that column over the rows before instead, and its sum over all rows.
+    Rows are range-partitioned and sorted; sums of the partitions before, one row each, are added to those
     within. The sorted rows are written to staging (or the checkpoint folder), so that both steps see one partitioning."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
     if staging:
         sorted_.write.mode("overwrite").parquet(staging)
         sorted_ = df.sparkSession.read.parquet(staging)
     else:
+        checkpoint_dir(df.sparkSession)
         sorted_ = sorted_.checkpoint()
-    # monotonic ids count rows within a partition in their lower 33 bits
-    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    before = sorted_.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return sorted_.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within + 1).drop("_part", "_id", "_before")
+    earlier = (Window.unboundedPreceding, -1)
+    if weight:
+        within = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(*earlier)), F.lit(0))
+    else:
+        # monotonic ids count rows within a partition in their lower 33 bits
+        within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    parts = sorted_.groupBy("_part").agg((F.sum(weight) if weight else F.count("*")).alias("_sum"))
+    before = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(*earlier)), F.lit(0)).alias("_part_start"), F.sum("_sum").over(Window.partitionBy()).alias("_part_all"))
+    placed = sorted_.withColumn("_part_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_part_start") + F.col("_part_within"))
+    return (placed.withColumn(total, F.col("_part_all")) if total else placed).drop("_part", "_id", "_part_within", "_part_start", "_part_all")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladle.functions.ranks import global_rank, with_mean_rank_shares
+
 
 def share_where(condition: Column) -> Column:
     """Share of rows for which a condition holds; rows where it is null count as neither."""
@@ -47,20 +49,15 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row with the rank correlation of two columns, equal values sharing their mean rank. For tables of an entity per row."""
-
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.select(mean_rank(a).alias("ra"), mean_rank(b).alias("rb")).agg(F.corr("ra", "rb").alias("spearman"))
+    """One row with the rank correlation of two columns, equal values sharing their mean rank."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    return with_mean_rank_shares(rows, {"_ra": a, "_rb": b}).agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
 def top_share(df: DataFrame, value: str, key: str, share: float = 0.1) -> DataFrame:
-    """One row: which share of the total the top rows by value have. key breaks ties. For tables of an entity per row."""
-    order = Window.orderBy(F.col(value).desc(), key)
-    ranked = df.select(F.col(value), F.row_number().over(order).alias("n"), F.count("*").over(Window.partitionBy()).alias("all"))
-    return ranked.agg(F.try_divide(F.sum(F.when(F.col("n") <= F.floor(F.col("all") * share), F.col(value)).otherwise(0.0)), F.sum(value)).alias("top_share"))
+    """One row: which share of the total the top rows by value have. key breaks ties."""
+    ranked = global_rank(df.select(value, key), F.col(value).desc(), F.col(key), name="_n", total="_all")
+    return ranked.agg(F.try_divide(F.sum(F.when(F.col("_n") <= F.floor(F.col("_all") * share), F.col(value)).otherwise(0.0)), F.sum(value)).alias("top_share"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import percentile_within
+from ladle.functions.ranks import global_rank, percentile_within
 from ladle.functions.scalar import is_peak_hour, is_weekend, safe_div
 from ladle.functions.stats import share_of_total
 
@@ -75,4 +75,4 @@ def location_summary(locations: DataFrame, ratings: DataFrame, local: DataFrame,
 
 def spend_rank(customers: DataFrame) -> DataFrame:
     """Customers with their rank by value, the id breaking ties."""
-    return customers.withColumn("spend_rank", F.row_number().over(Window.orderBy(F.desc("customer_monetary_value"), "customer_id")))
+    return global_rank(customers, F.desc("customer_monetary_value"), F.col("customer_id"), name="spend_rank")

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import first_of, mean_rank_share, quintile, tertile
+from ladle.functions.ranks import first_of, tertile, with_mean_rank_shares, with_ntile
 from ladle.functions.scalar import held_out
 from ladle.functions.stats import share_of_total
 
@@ -23,7 +23,7 @@ OTHER = "Occasional"
 
 def rfm_scores(df: DataFrame, key: str = "customer_id") -> DataFrame:
     """Adds r_score, f_score, m_score from 1 to 5 (5 is best), rfm_code and rfm_score, their sum."""
-    scored = df.withColumns({"r_score": quintile(R, key, descending=True), "f_score": quintile(FREQ, key), "m_score": quintile(M, key)})
+    scored = with_ntile(with_ntile(with_ntile(df, R, key, "r_score", descending=True), FREQ, key, "f_score"), M, key, "m_score")
     return scored.withColumns({"rfm_code": F.concat_ws("", "r_score", "f_score", "m_score"), "rfm_score": F.col("r_score") + F.col("f_score") + F.col("m_score")})
 
 
@@ -77,7 +77,7 @@ def segment(customers: DataFrame, k: int = 6, seed: int = 42, holdout: int = 5,
 def rule_segments(df: DataFrame, new_days: int = 90, new_orders: int = 2, promo_share: float = 0.5) -> DataFrame:
     """Adds tertiles r, f, m (3 is best) and rule_segment by the first rule that fits."""
     # a low recency is good: its tertile counts from the other end
-    shares = df.withColumns({"_r": mean_rank_share(R), "_f": mean_rank_share(FREQ), "_m": mean_rank_share(M)})
+    shares = with_mean_rank_shares(df, {"_r": R, "_f": FREQ, "_m": M})
     scored = shares.withColumns({"r": 4 - tertile(F.col("_r")), "f": tertile(F.col("_f")), "m": tertile(F.col("_m"))}).drop("_r", "_f", "_m")
     rule = (
         F.when((F.col("r") == 3) & (F.col("f") == 3) & (F.col("m") == 3), "High-Value Loyal").when((F.col("signup_days") <= new_days) & (F.col(FREQ) <= new_orders), "New")

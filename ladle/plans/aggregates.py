@@ -258,7 +258,7 @@ TRAILING_MEANS = "SELECT ts::DATE AS day, sum(revenue) AS net_sales, avg(sum(rev
 
 def tertiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = fr.orders(spark, sf).groupBy("customer_id").agg(F.count("*").alias("n"))
-    return rows.withColumn("share", ranks.mean_rank_share("n")).withColumn("tertile", ranks.tertile(F.col("share")))
+    return ranks.with_mean_rank_shares(rows, {"share": "n"}).withColumn("tertile", ranks.tertile(F.col("share")))
 
 
 TERTILES = """WITH s AS (SELECT customer_id, count(*) AS n FROM ords GROUP BY 1), r AS (SELECT *, (rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER () AS share FROM s)
@@ -274,9 +274,6 @@ PRIORITIES = f"""WITH r AS (SELECT location_id, round(waste_cost, 2) AS impact F
 
 
 def global_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    from ladle.sources.tables import checkpoint_dir
-
-    checkpoint_dir(spark)
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return ranks.global_rank(rows, F.col("o_totalprice").desc(), F.col("o_orderkey"))
 

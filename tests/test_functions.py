@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladle.functions import ranks, scalar, stats
@@ -47,6 +48,25 @@ def test_global_rank_equals_window(spark, tmp_path):
     assert ranked.count() == 1000
 
 
+@pytest.mark.parametrize("rows", [0, 3, 5, 998])
+def test_ntile_equals_window(spark, rows):
+    df = spark.range(rows).select("id", F.when(F.col("id") % 11 != 0, (F.col("id") * 7) % 13).alias("v"))
+    for descending, order in ((False, F.col("v").asc_nulls_first()), (True, F.col("v").desc_nulls_first())):
+        both = ranks.with_ntile(df, "v", "id", "found", descending=descending).withColumn("expected", F.ntile(5).over(Window.orderBy(order, "id")))
+        assert both.where("found != expected or found is null").count() == 0
+        assert both.count() == rows
+
+
+@pytest.mark.parametrize("rows", [0, 1, 998])
+def test_mean_ranks_equal_window(spark, rows):
+    df = spark.range(rows).select("id", F.when(F.col("id") % 11 != 0, F.least(F.col("id") % 29, F.lit(9))).alias("v"))
+    ties = Window.partitionBy("v")
+    expected = (F.rank().over(Window.orderBy("v")) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(Window.partitionBy())
+    both = ranks.with_mean_rank_shares(df, {"found": "v", "by_id": "id"}).withColumn("expected", expected)
+    assert both.where("abs(found - expected) > 1e-12 or found is null or abs(by_id * %d - id - 1) > 1e-9" % max(rows, 1)).count() == 0
+    assert both.count() == rows
+
+
 def test_tiers_and_population(spark):
     df = spark.createDataFrame([(float(i), i % 2 == 0) for i in range(10)], "v double, inside boolean")
     rows = df.withColumn("p", ranks.percentile_within("v", F.col("inside"))).withColumn("t", ranks.tier(F.col("p"))).orderBy("v").collect()
