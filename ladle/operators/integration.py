@@ -76,8 +76,8 @@ def price_in_effect(grid: DataFrame, prices: DataFrame) -> DataFrame:
     return grid.join(best, keys, "left")
 
 
-def within_days(events: DataFrame, series: DataFrame, keys: list[str], event_day: str, day: str, before: int, after: int) -> DataFrame:
-    """Events with the rows of a daily series from `before` days before to `after` days after, kept also if there are none.
+def within_days(events: DataFrame, series: DataFrame, keys: list[str], event_day: str, day: str, before: int, after: int, keep_lonely: bool = True) -> DataFrame:
+    """Events with the rows of a daily series from `before` days before to `after` days after; with keep_lonely also those that have none.
 
     A range join by buckets of days: each event looks into the few buckets its window touches, so that a key's whole
     series never meets all of its events. Adds offset, the days from the event."""
@@ -89,6 +89,8 @@ def within_days(events: DataFrame, series: DataFrame, keys: list[str], event_day
     met = looking.join(bucketed, [*keys, "_bucket"]).where(inside).drop("_bucket")
     rest = [c for c in met.columns if c not in events.columns]
     found = met.select(*events.columns, *rest)
+    if not keep_lonely:
+        return found.withColumn("offset", F.datediff("_day", event_day)).withColumnRenamed("_day", day)
     lonely = events.join(found.select(*events.columns).distinct(), events.columns, "left_anti")
     return found.unionByName(lonely, allowMissingColumns=True).withColumn("offset", F.datediff("_day", event_day)).withColumnRenamed("_day", day)
 
