@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ladle.plans import aggregates, analytics, basics, entities, stored
+from ladle.plans import aggregates, analytics, basics, cleaned, entities, stored
 
-QUERIES = {**basics.QUERIES, **aggregates.QUERIES, **entities.QUERIES, **analytics.QUERIES, **stored.QUERIES}
+QUERIES = {**basics.QUERIES, **aggregates.QUERIES, **entities.QUERIES, **analytics.QUERIES, **stored.QUERIES, **cleaned.QUERIES}
