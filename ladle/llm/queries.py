@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.llm import language, licences, minhash, mixing, quality, sstable, suffix, tiling, tokens, warc
+from ladle.llm import alignment, language, licences, lines, minhash, mixing, quality, sstable, suffix, tiling, tokens, warc, whitening
 
 #: Words of a text in DuckDB: runs of characters other than space and 0x09-0x0D.
 _SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -154,8 +154,28 @@ SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(kep
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings: a row per vector that counts and component."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    by_component = found.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"), "explained", "identity_error")
+    return by_component.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.element_at("explained", F.col("place") + 1).alias("explained"), "identity_error")
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document from its lines, learned from the labels that aren't held out: a row per document."""
+    documents = _table(spark, sf_dir, "documents")
+    field = lines.learn(documents, _table(spark, sf_dir, "labels").where(~lines.held_out()))
+    found = lines.judge(documents, field)
+    return found.select("doc_id", lines.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers laid side by side: a row per document."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op3_tiling": op3_tiling, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_divergence": op6_divergence, "op7_licences": op7_licences, "op8_language": op8_language, "op9_warc": op9_warc, "op10_suffix": op10_suffix}
+    return {"op1_minhash": op1_minhash, "op2_sstable": op2_sstable, "op3_tiling": op3_tiling, "op4_mixing": op4_mixing, "op5_token_counts": op5_token_counts, "op6_divergence": op6_divergence, "op7_licences": op7_licences, "op8_language": op8_language, "op9_warc": op9_warc, "op10_suffix": op10_suffix, "op11_whitening": op11_whitening, "op12_lines": op12_lines, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
