@@ -556,7 +556,7 @@ def test_word_ids_are_those_of_whole_texts():
     encoder = tokens.WordEncoder(WORDS)
     normal = encoder.tokenizer.normalizer.normalize_str
     odd_letters = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if unicodedata.category(c)[0] in "LM" and (normal(c) != c or unicodedata.category(c)[0] == "M")]
-    assert len(odd_letters) > 10_000
+    assert len(odd_letters) > 4_000
     texts = [" ".join(f"a{c}{p} {c}{p} W{c}{p}" for c, p in zip(odd_letters[at : at + 40], ".,!?)" * 8)) for at in range(0, len(odd_letters), 40)]
     for t in texts:
         w = encoder.words(t.encode())
