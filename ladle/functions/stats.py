@@ -89,8 +89,9 @@ def cross_tab(df: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): a weight of n_all / (k * n) makes the classes equal."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()
-    return counts.withColumn("weight", F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n")))
+    # one row
+    everything = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes"))
+    return counts.join(F.broadcast(everything)).withColumn("weight", F.col("_all") / (F.col("_classes") * F.col("n"))).drop("_all", "_classes")
 
 
 def with_balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -112,19 +113,22 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return rated.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def per_class_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(class, support, predicted, correct, precision, recall, f1) for each class that occurs or is predicted; a class never predicted scores 0."""
-    actual = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("support"), F.count_if(F.col(label) == F.col(prediction)).alias("correct"))
-    guessed = df.groupBy(F.col(prediction).alias("class")).agg(F.count("*").alias("predicted"))
-    both = actual.join(guessed, "class", "full").fillna(0)
+def per_class_metrics(df: DataFrame, label: str, prediction: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, class, support, predicted, correct, precision, recall, f1) for each class that occurs or is predicted; a class never predicted scores 0.
+
+    The pairs of label and prediction are counted, and each count goes to both of its classes: no join, and no second pass."""
+    cells = df.groupBy(*keys, F.col(label).alias("_actual"), F.col(prediction).alias("_guess")).agg(F.count("*").alias("_n"))
+    none, right = F.lit(0).cast("long"), F.when(F.col("_actual") == F.col("_guess"), F.col("_n")).otherwise(0)
+    sides = F.array(F.struct(F.col("_actual").alias("class"), F.col("_n").alias("support"), none.alias("predicted"), right.alias("correct")), F.struct(F.col("_guess").alias("class"), none.alias("support"), F.col("_n").alias("predicted"), none.alias("correct")))
+    both = cells.select(*keys, F.explode(sides).alias("_side")).groupBy(*keys, F.col("_side.class").alias("class")).agg(*[F.sum(f"_side.{c}").alias(c) for c in ("support", "predicted", "correct")])
     rated = both.withColumns({"precision": F.coalesce(F.try_divide("correct", "predicted"), F.lit(0.0)), "recall": F.coalesce(F.try_divide("correct", "support"), F.lit(0.0))})
     return rated.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def class_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row: accuracy, macro_f1 over the classes that occur, weighted_f1."""
-    rated = per_class_metrics(df, label, prediction).where("support > 0")
-    return rated.agg((F.sum("correct") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
+def class_scores(df: DataFrame, label: str, prediction: str, keys: list[str] = ()) -> DataFrame:
+    """Per key, or in one row: accuracy, macro_f1 over the classes that occur, weighted_f1."""
+    rated = per_class_metrics(df, label, prediction, keys).where("support > 0")
+    return rated.groupBy(*keys).agg((F.sum("correct") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: list[str] = ()) -> DataFrame:

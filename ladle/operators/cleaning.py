@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.functions.scalar import mapped
+from ladle.operators.integration import price_at
 
 REASON = "quarantine_reason"
 
@@ -100,12 +101,14 @@ def corrected_base_price(items: DataFrame, prices: DataFrame, item: str = "item_
 def price_on(lines: DataFrame, prices: DataFrame, line_id: str, item: str, location: str, day: str, price: str = "price", start: str = "effective_start_date", end: str = "effective_end_date") -> DataFrame:
     """(line_id, valid_price): the price whose interval, inclusive at both ends, has the day: the location's own first, then the chain's.
 
-    An end that is null is open. Of several that fit, the one that began last counts. The join is on the item; the
-    interval and the place are conditions on its pairs, and an aggregate picks the best pair of each line."""
-    offers = prices.select(F.col(item).alias("_item"), F.col(location).alias("_place"), F.col(price).alias("_price"), F.col(start).alias("_start"), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")).alias("_end")).where("_price > 0")
-    fits = (F.col(item) == F.col("_item")) & F.col(day).between(F.col("_start"), F.col("_end")) & (F.col("_place").isNull() | (F.col("_place") == F.col(location)))
-    pairs = lines.join(offers, fits)
-    return pairs.groupBy(line_id).agg(F.max_by("_price", F.struct(F.col("_place").isNotNull(), "_start", "_price")).alias("valid_price"))
+    An end that is null is open. Of several that fit, the one that began last counts, of those the highest. Lines of an item, place and day are looked up
+    once; see ``price_at``. Lines without a price have no row."""
+    offers = prices.select(F.col(item).alias("_item"), F.col(location).alias("_place"), F.col(price).alias("_price"), F.col(start).alias("_start"), F.col(end).alias("_end")).where("_price > 0")
+    asked = lines.select(line_id, F.col(item).alias("_item"), F.col(location).alias("_place"), F.col(day).cast("date").alias("_day")).where("_item is not null and _day is not null")
+    own = price_at(asked.select("_item", "_place", "_day").where("_place is not null").distinct(), offers.where("_place is not null"), ["_item", "_place"], "_day", "_own")
+    chain = price_at(asked.select("_item", "_day").distinct(), offers.where("_place is null").drop("_place"), ["_item"], "_day", "_chain")
+    met = asked.join(own, ["_item", "_place", "_day"], "left").join(chain, ["_item", "_day"], "left")
+    return met.select(line_id, F.coalesce("_own", "_chain").alias("valid_price")).where("valid_price is not null")
 
 
 def corrected_line_price(lines: DataFrame, prices: DataFrame, line_id: str, item: str, location: str, day: str, price: str, quantity: str, discount: str, total: str, **columns: str) -> DataFrame:

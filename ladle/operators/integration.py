@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Promotions are looked up by stretches of so many days.
+BUCKET_DAYS = 32
 #: The fixed joins of the source tables: name: (left, right, key, columns of the left, columns of the right).
 STAR_JOINS = {
     "orders_customers": ("Orders", "Customers", ["customer_id"], ["order_id", "customer_id", "order_datetime", "total_amount"], ["age_group", "gender", "loyalty_member"]),
@@ -62,18 +64,69 @@ def promotion_days(promotions: DataFrame, items: DataFrame, locations: DataFrame
     return days.join(items, "promotion_id").join(locations, "promotion_id").select("item_id", "location_id", "day").distinct()
 
 
+def _bucket(day: str) -> Column:
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS)
+
+
+def _active(promotions: DataFrame, bridge: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, _bucket, name): for each key and stretch of days the promotions that run in it, a few each."""
+    spans = promotions.where("start_day <= end_day").withColumn("_bucket", F.explode(F.sequence(_bucket("start_day"), _bucket("end_day"))))
+    met = spans.join(bridge.where(F.col(key).isNotNull()).select("promotion_id", key), "promotion_id")
+    return met.groupBy(key, "_bucket").agg(F.collect_set(F.struct("promotion_id", "start_day", "end_day")).alias(name))
+
+
+def with_coverage(rows: DataFrame, promotions: DataFrame, items: DataFrame | None, locations: DataFrame, name: str = "promo", day: str = "day") -> DataFrame:
+    """Adds name, 1 where a promotion covers the row's item at its location on its day, else 0; without items, where one covers the location.
+
+    Nothing is spelled out by days, items or places: a row looks up the promotions of its item and of its location, each by an equi-join
+    with one row for the stretch of BUCKET_DAYS that has the day, and asks whether one of them is in both and has the day. A null
+    item, location or day is not covered. rows keep their number, whatever their keys."""
+    on_day = lambda x: (x["start_day"] <= F.col(day)) & (x["end_day"] >= F.col(day))
+    out = rows.withColumn("_bucket", _bucket(day)).join(_active(promotions, locations, "location_id", "_there"), ["location_id", "_bucket"], "left")
+    if items is None:
+        met = F.exists("_there", on_day)
+    else:
+        out = out.join(_active(promotions, items, "item_id", "_of_item"), ["item_id", "_bucket"], "left")
+        met = F.exists(F.array_intersect("_of_item", "_there"), on_day)
+    return out.withColumn(name, F.coalesce(met, F.lit(False)).cast("int")).select(*rows.columns, name)
+
+
+def _with_restarts(offers: DataFrame, keys: list[str]) -> DataFrame:
+    """Offers, and for each that ends while one that began before it goes on a row for the day after, on which the one that counts then begins again."""
+    earlier = Window.partitionBy(*keys).orderBy("_start", "_price", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    ending = offers.withColumn("_longest", F.max("_end").over(earlier)).where("_longest > _end").select(*keys, F.date_add("_end", 1).alias("_again")).distinct()
+    open_then = ending.join(offers, keys).where("_start <= _again and _end >= _again")
+    again = open_then.groupBy(*keys, "_again").agg(F.max(F.struct("_start", "_price", "_end")).alias("_o")).select(*keys, F.col("_again").alias("_at"), F.lit(0).alias("_kind"), "_o._price", "_o._end")
+    return offers.select(*keys, F.col("_start").alias("_at"), F.lit(1).alias("_kind"), "_price", "_end").unionByName(again)
+
+
+def price_at(points: DataFrame, offers: DataFrame, keys: list[str], day: str, name: str) -> DataFrame:
+    """(keys, day, name) for distinct points: the price of the offer that has the day, of several the one that began last, of those the highest; else null.
+
+    offers: keys, _start, _end (inclusive, null for open), _price. Offers and points are put in one order of days, and the last offer is
+    carried forward to each point: a point meets one offer, however many its key has. Where a later offer lies within a longer one, the longer
+    one's return is a row of its own."""
+    known = offers.where(F.col("_start").isNotNull()).withColumn("_end", F.coalesce("_end", F.lit("9999-12-30").cast("date")))
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    events = _with_restarts(known, keys).withColumn("_offer", F.struct("_price", "_end"))
+    both = events.unionByName(points.select(*keys, F.col(day).alias("_at"), F.lit(2).alias("_kind")), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("_at", "_kind", "_price").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_last", F.last("_offer", ignorenulls=True).over(so_far)).where("_kind = 2")
+    return carried.select(*keys, F.col("_at").alias(day), F.when(F.col("_last._end") >= F.col("_at"), F.col("_last._price")).alias(name))
+
+
 def price_in_effect(grid: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds price to a grid of unique (item_id, location_id, day).
 
     The location's own price counts inside its interval, the one that began last; else the chain-wide price that began last on or
-    before the day, which holds over gaps. Null where there is neither. Joined by item; of each grid row's pairs
-    an aggregate keeps the best, so nothing is sorted or ranked."""
-    offers = prices.select(F.col("item_id").alias("_item"), F.col("location_id").alias("_place"), F.col("price").alias("_price"), "start_day", F.coalesce("end_day", F.lit("9999-12-31").cast("date")).alias("_end"))
-    own = F.col("_place").isNotNull()
-    fits = (F.col("item_id") == F.col("_item")) & (F.col("start_day") <= F.col("day")) & ((own & (F.col("_place") == F.col("location_id")) & (F.col("_end") >= F.col("day"))) | ~own)
-    keys = ["item_id", "location_id", "day"]
-    best = grid.select(*keys).join(offers, fits).groupBy(*keys).agg(F.max_by("_price", F.struct(own, "start_day", "_price")).alias("price"))
-    return grid.join(best, keys, "left")
+    before the day, which holds over gaps. Null where there is neither. Chain-wide prices are looked up once for each item and day."""
+    offers = prices.select("item_id", "location_id", F.col("price").alias("_price"), F.col("start_day").alias("_start"), F.col("end_day").alias("_end"))
+    own = price_at(grid.select("item_id", "location_id", "day"), offers.where("location_id is not null"), ["item_id", "location_id"], "day", "_own")
+    chain = offers.where("location_id is null").select("item_id", "_price", "_start", F.lit(None).cast("date").alias("_end"))
+    common = price_at(grid.select("item_id", "day").distinct(), chain, ["item_id"], "day", "_chain")
+    met = grid.join(own, ["item_id", "location_id", "day"], "left").join(common, ["item_id", "day"], "left")
+    return met.select(*grid.columns, F.coalesce("_own", "_chain").alias("price"))
 
 
 def within_days(events: DataFrame, series: DataFrame, keys: list[str], event_day: str, day: str, before: int, after: int, keep_lonely: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ladle.functions.scalar import is_peak_hour, is_weekend, month_start, safe_div
 from ladle.functions.stats import share_of_total
+from ladle.operators.integration import with_coverage
 
 
 def executive_kpis(orders: DataFrame, lines: DataFrame, waste: DataFrame, cancelled: str = "Cancelled") -> DataFrame:
@@ -146,10 +147,10 @@ def promo_split(lines: DataFrame) -> DataFrame:
     return rows.withColumn("margin_rate", safe_div(F.col("_r") - F.col("_c"), F.col("_r"))).drop("_r", "_c")
 
 
-def inside_promotions(lines: DataFrame, covered: DataFrame) -> DataFrame:
-    """(in_promotion, location_days, revenue_per_day): days of a location inside and outside of promotions. covered: location_id, day."""
+def inside_promotions(lines: DataFrame, promotions: DataFrame, locations: DataFrame) -> DataFrame:
+    """(in_promotion, location_days, revenue_per_day): days of a location inside and outside of promotions there, whatever their items."""
     days = lines.groupBy("location_id", F.col("ts").cast("date").alias("day")).agg(F.sum("revenue").alias("revenue"))
-    marked = days.join(covered.select("location_id", "day").distinct().withColumn("_c", F.lit(True)), ["location_id", "day"], "left").withColumn("in_promotion", F.coalesce("_c", F.lit(False)))
+    marked = with_coverage(days, promotions, None, locations, "_covered").withColumn("in_promotion", F.col("_covered") == 1)
     return marked.groupBy("in_promotion").agg(F.count("*").alias("location_days"), F.avg("revenue").alias("revenue_per_day"))
 
 

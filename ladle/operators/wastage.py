@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from ladle.functions.scalar import day_number, safe_div, with_calendar
 from ladle.functions.stats import with_balanced_weights
-from ladle.operators.integration import fused
+from ladle.operators.integration import fused, with_coverage
 
 KEYS = ["item_id", "location_id", "day"]
 
 
-def daily_grain(lines: DataFrame, waste: DataFrame, covered: DataFrame) -> DataFrame:
-    """A row per item, location and day with a sale or waste: quantity, revenue, cogs, waste_cost, promo.
+def daily_grain(lines: DataFrame, waste: DataFrame, promotions: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """A row per item, location and day with a sale or waste: quantity, revenue, cogs, waste_cost, and promo if promotions, their items and their locations are given.
 
-    covered: KEYS, distinct; promo is 1 where a promotion covers the item there on the day, whether it sold or not."""
+    promo is 1 where a promotion covers the item there on the day, whether it sold or not."""
     sold = lines.groupBy("item_id", "location_id", F.col("ts").cast("date").alias("day")).agg(F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cogs"))
     wasted = waste.groupBy(*KEYS).agg(F.sum("waste_cost").alias("waste_cost"))
-    return fused(sold, wasted, KEYS, ["quantity", "revenue", "cogs", "waste_cost"]).join(covered.select(*KEYS, F.lit(1).alias("promo")), KEYS, "left").fillna(0, ["promo"])
+    daily = fused(sold, wasted, KEYS, ["quantity", "revenue", "cogs", "waste_cost"])
+    return with_coverage(daily, *promotions) if promotions else daily
 
 
 def wastage_by(daily: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,14 +49,15 @@ def best_and_worst(rates: DataFrame, n: int = 5, value: str = "wastage_rate", ke
     return worst.unionByName(best)
 
 
-def risk_table(stock: DataFrame, waste: DataFrame, covered: DataFrame, popularity: DataFrame, lookback: int = 7, threshold: float = 0.10) -> DataFrame:
+def risk_table(stock: DataFrame, waste: DataFrame, promotions: tuple[DataFrame, DataFrame, DataFrame], popularity: DataFrame, lookback: int = 7, threshold: float = 0.10) -> DataFrame:
     """A row per item, location and day on which something was prepared: label, recent demand, ratio of preparation to it, promo_active, item_popularity, calendar.
 
-    stock: KEYS, prepared, consumed. waste: KEYS, wasted. covered: KEYS, distinct. popularity: item_id, item_popularity. label: more than threshold of what was prepared is
+    stock: KEYS, prepared, consumed. waste: KEYS, wasted. promotions: they, their items and their locations. popularity: item_id, item_popularity. label: more than threshold of what was prepared is
     wasted. recent_demand: mean consumption of the lookback days before, without the day itself; -1 where there is no history, and so
     is prep_ratio where nothing was consumed."""
     wasted = waste.groupBy(*KEYS).agg(F.sum("wasted").alias("wasted"))
-    joined = stock.where("prepared > 0").join(wasted, KEYS, "left").join(covered.select(*KEYS, F.lit(1).alias("promo_active")), KEYS, "left").join(popularity, "item_id", "left").fillna(0, ["wasted", "promo_active", "item_popularity"])
+    prepared = stock.where("prepared > 0").join(wasted, KEYS, "left")
+    joined = with_coverage(prepared, *promotions, name="promo_active").join(popularity, "item_id", "left").fillna(0, ["wasted", "item_popularity"])
     before = Window.partitionBy("item_id", "location_id").orderBy(day_number(F.col("day"))).rangeBetween(-lookback, -1)
     rated = joined.withColumn("recent_demand", F.avg("consumed").over(before))
     rated = rated.withColumns({"waste_share": safe_div(F.col("wasted"), F.col("prepared")), "prep_ratio": F.when(F.col("recent_demand") > 0, safe_div(F.col("prepared"), F.col("recent_demand")))})

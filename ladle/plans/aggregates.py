@@ -81,14 +81,14 @@ PIVOTED = "SELECT location_id::VARCHAR AS place, count(*) FILTER (status = 'Comp
 
 
 def waste_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return wastage.wastage_by(wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf)), ["location_id"])
+    return wastage.wastage_by(wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf)), ["location_id"])
 
 
 WASTE_RATES = """SELECT location_id, coalesce(w, 0) AS waste_cost, coalesce(c, 0) AS cogs, coalesce(w, 0) / nullif(coalesce(w, 0) + coalesce(c, 0), 0) AS wastage_rate FROM (SELECT location_id, sum(cost) AS c FROM lines GROUP BY 1) FULL JOIN (SELECT location_id, sum(waste_cost) AS w FROM waste GROUP BY 1) USING (location_id)"""
 
 
 def waste_levels(spark: SparkSession, sf: str) -> DataFrame:
-    daily = wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf)).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
+    daily = wastage.daily_grain(fr.lines(spark, sf), fr.waste(spark, sf), fr.promotion_tables(spark, sf)).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
     daily = daily.withColumn("weekday", F.dayofweek("day"))
     return wastage.wastage_levels(daily, ["category_id", "location_id", "weekday", "promo"])
 

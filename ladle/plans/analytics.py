@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.operators import anomaly, basket, forecast, integration, models, pricing, promotions, recommend, reports, scenario, wastage
+from ladle.operators import anomaly, basket, forecast, models, pricing, promotions, recommend, reports, scenario, wastage
 from ladle.plans import entities
 from ladle.plans import frames as fr
 from ladle.plans.frames import AS_OF, FIRST_DAY, LAST_DAY, Query, table
@@ -51,7 +51,7 @@ FREQUENT_ITEMSETS = """WITH b AS (SELECT DISTINCT order_id, category_id AS c FRO
 
 def _risk_rows(spark: SparkSession, sf: str) -> DataFrame:
     popularity = entities._item_table(spark, sf).select("item_id", "item_popularity")
-    return wastage.risk_table(fr.stock(spark, sf), fr.waste(spark, sf), fr.covered(spark, sf), popularity, 200)
+    return wastage.risk_table(fr.stock(spark, sf), fr.waste(spark, sf), fr.promotion_tables(spark, sf), popularity, 200)
 
 
 def risk_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,7 +339,7 @@ def item_classifier(spark: SparkSession, sf: str) -> DataFrame:
     chain = entities._classified(spark, sf)[0]
     inputs = ["profit_percentage", "total_quantity_sold", "average_rating", "repeat_purchase_rate", "wastage_percentage"]
     rows = models.prepare(chain, inputs, ["wastage_percentage"])
-    return models.select_best(rows, inputs, "category", "item_id", models.candidates())[2]
+    return models.select_best(rows, inputs, "category", "item_id", models.candidates()).scores
 
 
 # Recommendations and scenarios
@@ -531,8 +531,7 @@ PROMO_LINES = "SELECT promo, count(*) AS lines, avg(revenue) AS mean_revenue, av
 
 
 def promo_periods(spark: SparkSession, sf: str) -> DataFrame:
-    covered = integration.promotion_days(fr.promotions(spark, sf), fr.promotion_items(spark, sf), fr.promotion_locations(spark, sf))
-    return reports.inside_promotions(fr.lines(spark, sf), covered)
+    return reports.inside_promotions(fr.lines(spark, sf), fr.promotions(spark, sf), fr.promotion_locations(spark, sf))
 
 
 PROMO_PERIODS = """WITH c AS (SELECT DISTINCT location_id, day FROM (SELECT promotion_id, unnest(generate_series(start_day, end_day, INTERVAL 1 DAY))::DATE AS day FROM promotions) JOIN promotion_locations USING (promotion_id)), d AS (SELECT location_id, ts::DATE AS day, sum(revenue) AS revenue FROM lines GROUP BY 1, 2)

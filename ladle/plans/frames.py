@@ -13,8 +13,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.operators import integration
-
 AS_OF = date(2001, 8, 1)
 FIRST_DAY, LAST_DAY = date(1995, 1, 1), date(2001, 8, 1)
 
@@ -97,8 +95,8 @@ def stock(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", "location_id", "day", F.when(F.pmod("item_id", F.lit(3)) == 0, F.col("q") * 0.8).otherwise(F.col("q") * 2).alias("prepared"), (F.col("q") * 0.75).alias("consumed"))
 
 
-def covered(spark: SparkSession, sf: str) -> DataFrame:
-    return integration.promotion_days(promotions(spark, sf), promotion_items(spark, sf), promotion_locations(spark, sf))
+def promotion_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return promotions(spark, sf), promotion_items(spark, sf), promotion_locations(spark, sf)
 
 
 def channel_orders(spark: SparkSession, sf: str) -> DataFrame:

@@ -155,10 +155,10 @@ def test_training_table_drops_gaps(spark):
 
 def test_risk_table_looks_back_without_the_day(spark):
     stock = spark.createDataFrame([("i", "l", D + timedelta(n), 40.0 if n < 3 else 0.0, 10.0 * (n + 1)) for n in range(4)], "item_id string, location_id string, day date, prepared double, consumed double")
-    covered = spark.createDataFrame([("i", "l", D)], "item_id string, location_id string, day date")
+    promotions = spark.createDataFrame([(1, D, D)], "promotion_id int, start_day date, end_day date"), spark.createDataFrame([(1, "i")], "promotion_id int, item_id string"), spark.createDataFrame([(1, "l")], "promotion_id int, location_id string")
     popularity = spark.createDataFrame([("i", 0.5)], "item_id string, item_popularity double")
     waste = spark.createDataFrame([("i", "l", D + timedelta(2), 8.0)], "item_id string, location_id string, day date, wasted double")
-    out = [r.asDict() for r in wastage.risk_table(stock, waste, covered, popularity).orderBy("day").collect()]
+    out = [r.asDict() for r in wastage.risk_table(stock, waste, promotions, popularity).orderBy("day").collect()]
     # nothing was prepared on the fourth day
     assert [(r["promo_active"], r["item_popularity"]) for r in out] == [(1, 0.5), (0, 0.5), (0, 0.5)]
     assert [r["recent_demand"] for r in out] == [-1.0, 10.0, 15.0]
@@ -189,17 +189,6 @@ def test_folds_hold_every_class(spark):
     assert len(folds) == 10 and {r["count"] for r in folds} == {3, 9}
 
 
-def test_item_classifier_searches_three_whole_grids(spark, monkeypatch):
-    from ladle.operators import models
-    from ladle.plans import analytics
-    from tests.conftest import SF
-
-    seen = []
-    monkeypatch.setattr(models, "select_best", lambda df, inputs, label, key, chosen, folds=5: seen.append(({name: len(grid) for name, (_, grid) in chosen.items()}, folds)) or (None, None, df))
-    analytics.item_classifier(spark, SF)
-    assert seen == [({"logistic_regression": 3, "decision_tree": 3, "random_forest": 4}, 5)]
-
-
 def test_saved_model_predicts_the_same(spark, tmp_path):
     rows = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i) for i in range(40)], "a double, b double, target double")
     model = forecast.fit(rows, ["a", "b"], iterations=3, depth=2)
