@@ -1,7 +1,7 @@
 """Ranks, percentiles and tiers.
 
-A window over a whole table runs in one task. ``global_rank``, ``with_ntile`` and ``with_mean_rank_shares`` number a large
-table without one; ``percentile_within`` and ``priority`` are for tables of a row per item, place or recommendation.
+A window over a whole table runs in one task. Nothing here does: rows, or counts of their values, are range-partitioned, and running
+totals of the partitions are added to those within.
 """
 
 from __future__ import annotations
@@ -19,10 +19,31 @@ def tier(percentile: Column, low: float = LOW, high: float = HIGH) -> Column:
     return F.when(percentile < low, "Low").when(percentile > high, "High").when(percentile.isNotNull(), "Medium")
 
 
-def percentile_within(value: str, population: Column, partition: list[str] = ()) -> Column:
-    """percent_rank of value among the rows of the population, null outside of it."""
-    window = Window.partitionBy(*partition, population).orderBy(F.col(value).asc_nulls_first())
-    return F.when(population, F.percent_rank().over(window))
+def with_percent_ranks(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str, Column]], partition: list[str] = ()) -> DataFrame:
+    """Adds percent_rank of values among the rows of a population, null outside of it. ranks: name of the new column -> (value, population).
+
+    keys tell rows apart. Rows are ranked within each partition; equal values share their least rank, nulls come first, and one row alone has 0.
+    The values of all ranks are counted and the counts put in one order over range partitions, whose running totals give the ranks: no task sees a
+    whole partition, however large. The rows are written once to the checkpoint folder; only keys and values are shuffled for the ranks."""
+    checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), F.coalesce(population, F.lit(False)).alias("_in"), F.col(value).cast("double").alias("_value")) for name, (value, population) in ranks.items()])
+    parts = [F.col(c).alias(f"_part_of_{k}") for k, c in enumerate(partition)]
+    names = [f"_part_of_{k}" for k in range(len(partition))]
+    long = rows.select(*keys, *[p for p in parts], F.explode(asked).alias("_r")).where("_r._in").select(*keys, *names, "_r._name", "_r._value")
+    groups = ["_name", *names]
+    counts = long.groupBy(*groups, "_value").agg(F.count("*").alias("_n"))
+    placed = global_rank(counts, *[F.col(c).asc_nulls_first() for c in (*groups, "_value")], name="_before", weight="_n")
+    # where a group begins in the order of all, and how many rows it has
+    sizes = placed.groupBy(*[F.col(c).alias(f"_of{c}") for c in groups]).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_rows"))
+
+    def same(columns: list[str], other: str) -> list[Column]:
+        return [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in columns]
+
+    ranked = placed.join(sizes, same(groups, "_of")).select(*[F.col(c).alias(f"_by{c}") for c in (*groups, "_value")], F.try_divide(F.col("_before") - F.col("_first"), F.col("_rows") - 1).alias("_rank"))
+    found = long.join(ranked, same([*groups, "_value"], "_by")).select(*keys, "_name", F.coalesce("_rank", F.lit(0.0)).alias("_rank"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name) for name in ranks])
+    return rows.join(wide, keys, "left")
 
 
 def with_ntile(df: DataFrame, value: str, key: str, name: str, n: int = 5, descending: bool = False) -> DataFrame:
@@ -54,11 +75,17 @@ def tertile(share: Column) -> Column:
     return F.when(share.isNull(), None).when(share <= 1 / 3, 1).when(share <= 2 / 3, 2).otherwise(3)
 
 
-def priority(impact: str, critical: float = 0.10, high: float = 0.20, medium: float = 0.40) -> Column:
-    """Bucket by descending rank over the number of rows; the shares are those of the buckets, in turn."""
-    share = F.rank().over(Window.orderBy(F.col(impact).desc())) / F.count("*").over(Window.partitionBy())
-    slack = 1e-12
-    return F.when(share <= critical + slack, "Critical").when(share <= critical + high + slack, "High").when(share <= critical + high + medium + slack, "Medium").otherwise("Low")
+def with_priority(df: DataFrame, impact: str, name: str = "priority", critical: float = 0.10, high: float = 0.20, medium: float = 0.40) -> DataFrame:
+    """Adds a bucket by descending rank over the number of rows; the shares are those of the buckets, in turn. Equal impacts share their least rank, nulls come last.
+
+    Impacts are counted and the counts put in order, as in ``with_percent_ranks``."""
+    checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    counts = rows.groupBy(F.col(impact).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = global_rank(counts, F.col("_value").desc_nulls_last(), name="_before", total="_total", weight="_n")
+    share, slack = (F.col("_before") + 1) / F.col("_total"), 1e-12
+    bucket = F.when(share <= critical + slack, "Critical").when(share <= critical + high + slack, "High").when(share <= critical + high + medium + slack, "Medium").otherwise("Low")
+    return rows.join(placed.select("_value", bucket.alias(name)), F.col(impact).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

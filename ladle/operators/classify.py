@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import percentile_within, tier
+from ladle.functions.ranks import tier, with_percent_ranks
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def classify(df: DataFrame, limits: Limits = Limits(), partition: list[str] = ()
     new = F.coalesce(F.col("days_since_launch") < limits.new_item_days, F.lit(False))
     sold = F.coalesce(F.col("total_quantity_sold") > 0, F.lit(False))
     df = df.withColumns({"quality_score": quality_score(), "_in": sold & ~new})
-    df = df.withColumns({f"{name}_percentile": percentile_within(column, F.col("_in") & F.col(column).isNotNull(), list(partition)) for name, column in METRICS.items()})
+    df = with_percent_ranks(df, ["item_id", *partition], {f"{name}_percentile": (column, F.col("_in") & F.col(column).isNotNull()) for name, column in METRICS.items()}, list(partition))
     df = df.withColumns({f"{name}_tier": tier(F.col(f"{name}_percentile"), limits.low, limits.high) for name in METRICS})
     excessive = F.coalesce((F.col("wastage_tier") == "High") & (F.col("wastage_percentage") > limits.waste_floor), F.lit(False))
     demand, profit, quality = (F.col(f"{x}_tier") == "High" for x in ("demand", "profit", "quality"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import global_rank, percentile_within
+from ladle.functions.ranks import with_percent_ranks
 from ladle.functions.scalar import is_peak_hour, is_weekend, safe_div
 from ladle.functions.stats import share_of_total
 
@@ -61,7 +61,7 @@ def relative_trend():
 
 def slow_moving(items: DataFrame, demand_below: float = 0.33, repeat_below: float = 0.33, trend_up_to: float = 0.01) -> DataFrame:
     """Items of low demand and low repeat rate without an upward trend. Repeat rates are ranked among items that have one."""
-    ranked = items.withColumn("repeat_percentile", percentile_within("repeat_purchase_rate", F.col("demand_percentile").isNotNull() & F.col("repeat_purchase_rate").isNotNull())).withColumn("relative_trend", relative_trend())
+    ranked = with_percent_ranks(items, ["item_id"], {"repeat_percentile": ("repeat_purchase_rate", F.col("demand_percentile").isNotNull() & F.col("repeat_purchase_rate").isNotNull())}).withColumn("relative_trend", relative_trend())
     return ranked.where((F.col("demand_percentile") < demand_below) & (F.col("repeat_percentile") < repeat_below) & (F.col("relative_trend") <= trend_up_to))
 
 
@@ -71,8 +71,3 @@ def location_summary(locations: DataFrame, ratings: DataFrame, local: DataFrame,
     pivoted = local.groupBy("location_id").pivot("category", categories).count().fillna(0, categories)
     differs = local.select("item_id", "location_id", "category").join(chain.select("item_id", F.col("category").alias("_chain")), "item_id").groupBy("location_id").agg(F.avg((F.col("category") != F.col("_chain")).cast("double")).alias("mismatch_share"))
     return locations.join(rated, "location_id", "left").join(pivoted, "location_id", "left").join(differs, "location_id", "left")
-
-
-def spend_rank(customers: DataFrame) -> DataFrame:
-    """Customers with their rank by value, the id breaking ties."""
-    return global_rank(customers, F.desc("customer_monetary_value"), F.col("customer_id"), name="spend_rank")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import first_of
+from ladle.functions.ranks import first_of, with_percent_ranks
 from ladle.functions.scalar import before_end_of, is_peak_hour, is_weekend, month_start, safe_div, up_to
 from ladle.functions.stats import share_where, slope
 
@@ -94,8 +94,7 @@ def item_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste:
     rated = ratings.where(up_to(F.col("day"), as_of))
     known = _entity_features(launched, ["item_id"], lines, rated, waste.where(up_to(F.col("day"), as_of))).join(rating_trend(rated, ["item_id"]), "item_id", "left")
     priced = known.join(price_change(prices.where(up_to(F.col("start_day"), as_of))), "item_id", "left")
-    # a row per item: one task ranks them
-    return priced.withColumn("item_popularity", F.percent_rank().over(Window.orderBy("total_quantity_sold"))).drop("launch_day")
+    return with_percent_ranks(priced.drop("launch_day"), ["item_id"], {"item_popularity": ("total_quantity_sold", F.lit(True))})
 
 
 def item_location_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste: DataFrame, as_of: date) -> DataFrame:

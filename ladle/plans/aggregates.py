@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladle.functions import ranks, scalar, stats
@@ -233,7 +233,8 @@ BASKET_SIZE = "SELECT coalesce(n, 0) AS basket_size, count(*) AS orders, sum(tot
 def popularity(spark: SparkSession, sf: str) -> DataFrame:
     rows = item_sales(spark, sf).select("item_id", "total_quantity_sold").join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
     inside = F.col("total_quantity_sold") >= 300
-    return rows.withColumns({"overall": F.percent_rank().over(Window.orderBy("total_quantity_sold")), "within": ranks.percentile_within("total_quantity_sold", inside), "in_category": ranks.percentile_within("total_quantity_sold", inside, ["category_id"])})
+    ranked = ranks.with_percent_ranks(rows, ["item_id"], {"overall": ("total_quantity_sold", F.lit(True)), "within": ("total_quantity_sold", inside)})
+    return ranks.with_percent_ranks(ranked, ["item_id"], {"in_category": ("total_quantity_sold", inside)}, ["category_id"])
 
 
 POPULARITY = f"""WITH s AS (SELECT item_id, total_quantity_sold, category_id, total_quantity_sold >= 300 AS i FROM ({ITEM_SALES}) JOIN items USING (item_id)) SELECT item_id, total_quantity_sold, category_id, percent_rank() OVER (ORDER BY total_quantity_sold) AS overall,
@@ -266,7 +267,7 @@ TERTILES = """WITH s AS (SELECT customer_id, count(*) AS n FROM ords GROUP BY 1)
 
 
 def priorities(spark: SparkSession, sf: str) -> DataFrame:
-    return waste_rates(spark, sf).select("location_id", F.round("waste_cost", 2).alias("impact")).withColumn("priority", ranks.priority("impact"))
+    return waste_rates(spark, sf).select("location_id", F.round("waste_cost", 2).alias("impact")).transform(lambda rows: ranks.with_priority(rows, "impact"))
 
 
 PRIORITIES = f"""WITH r AS (SELECT location_id, round(waste_cost, 2) AS impact FROM ({WASTE_RATES})), s AS (SELECT *, rank() OVER (ORDER BY impact DESC) / count(*) OVER () AS s FROM r)

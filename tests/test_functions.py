@@ -36,7 +36,7 @@ def test_hash_split_is_crc32(spark):
 
 
 def test_priority_buckets(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "impact double").withColumn("p", ranks.priority("impact"))
+    df = ranks.with_priority(spark.createDataFrame([(float(i),) for i in range(1, 101)], "impact double"), "impact", "p")
     assert {r["p"]: r["count"] for r in df.groupBy("p").count().collect()} == {"Critical": 10, "High": 20, "Medium": 40, "Low": 30}
 
 
@@ -69,12 +69,32 @@ def test_mean_ranks_equal_window(spark, rows):
 
 def test_tiers_and_population(spark):
     df = spark.createDataFrame([(float(i), i % 2 == 0) for i in range(10)], "v double, inside boolean")
-    rows = df.withColumn("p", ranks.percentile_within("v", F.col("inside"))).withColumn("t", ranks.tier(F.col("p"))).orderBy("v").collect()
+    rows = ranks.with_percent_ranks(df, ["v"], {"p": ("v", F.col("inside"))}).withColumn("t", ranks.tier(F.col("p"))).orderBy("v").collect()
     assert [r["p"] for r in rows if r["inside"]] == [0.0, 0.25, 0.5, 0.75, 1.0]
     assert all(r["t"] is None for r in rows if not r["inside"])
     assert [r["t"] for r in rows if r["inside"]] == ["Low", "Low", "Medium", "High", "High"]
 
 
+@pytest.mark.parametrize("rows", [0, 1, 2, 1500])
+def test_percent_ranks_equal_window(spark, rows):
+    """Ties, nulls, populations that may be null, and a partition with two thirds of the rows, one of them null."""
+    df = spark.range(rows).select("id", F.when(F.col("id") % 11 != 0, (F.col("id") * 7 % 40).cast("double")).alias("v"), F.when(F.col("id") % 13 != 0, F.col("id") % 5 != 0).alias("some"), F.when(F.col("id") % 3 == 0, F.col("id") % 4).when(F.col("id") % 7 != 0, 9).alias("k"))
+    some = F.coalesce(F.col("some"), F.lit(False))
+    expected = df.select("id", F.percent_rank().over(Window.orderBy("v")).alias("e0"), F.when(some, F.percent_rank().over(Window.partitionBy("k", some).orderBy("v"))).alias("e1"), F.when(some, F.percent_rank().over(Window.partitionBy("k", some).orderBy("id"))).alias("e2"))
+    found = ranks.with_percent_ranks(df, ["id"], {"f0": ("v", F.lit(True))})
+    found = ranks.with_percent_ranks(found, ["id"], {"f1": ("v", F.col("some")), "f2": ("id", F.col("some"))}, ["k"])
+    both = found.join(expected, "id")
+    assert both.count() == rows == found.count()
+    assert both.where(" or ".join(f"not (e{i} <=> f{i} or abs(e{i} - f{i}) < 1e-12)" for i in range(3))).count() == 0
+
+
+def test_priorities_equal_window(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") % 17 != 0, F.col("id") % 23).alias("impact"))
+    share = F.rank().over(Window.orderBy(F.col("impact").desc())) / F.lit(200)
+    both = ranks.with_priority(df, "impact").withColumn("e", F.when(share <= 0.1, "Critical").when(share <= 0.3, "High").when(share <= 0.7, "Medium").otherwise("Low"))
+    assert both.count() == 200 and both.where("priority != e").count() == 0
+
+
 def test_macro_f1_counts_occurring_classes_only(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y string, p string")
     row = stats.class_scores(df, "y", "p").first()
