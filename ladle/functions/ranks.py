@@ -99,6 +99,14 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank", staging: str
     With weight, adds the sum of that column over the rows before instead, and its sum over all rows.
     Rows are range-partitioned and sorted; sums of the partitions before, one row each, are added to those
     within. The sorted rows are written to staging (or the checkpoint folder), so that both steps see one partitioning."""
+    if weight:
+        return running_totals(df, *order, totals={name: weight}, alls={total: weight} if total else {}, staging=staging)
+    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), *order, totals={name: "_one"}, alls={total: "_one"} if total else {}, staging=staging)
+    return numbered.withColumn(name, F.col(name) + 1).drop("_one")
+
+
+def running_totals(df: DataFrame, *order: Column, totals: dict[str, str], alls: dict[str, str] = {}, staging: str | None = None) -> DataFrame:  # noqa: B006
+    """Adds sums of columns over the rows before each row in the order of all rows (totals: name of the new column -> column), and over all rows (alls)."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
     if staging:
         sorted_.write.mode("overwrite").parquet(staging)
@@ -107,12 +115,10 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank", staging: str
         checkpoint_dir(df.sparkSession)
         sorted_ = sorted_.checkpoint()
     earlier = (Window.unboundedPreceding, -1)
-    if weight:
-        within = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(*earlier)), F.lit(0))
-    else:
-        # monotonic ids count rows within a partition in their lower 33 bits
-        within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    parts = sorted_.groupBy("_part").agg((F.sum(weight) if weight else F.count("*")).alias("_sum"))
-    before = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(*earlier)), F.lit(0)).alias("_part_start"), F.sum("_sum").over(Window.partitionBy()).alias("_part_all"))
-    placed = sorted_.withColumn("_part_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_part_start") + F.col("_part_within"))
-    return (placed.withColumn(total, F.col("_part_all")) if total else placed).drop("_part", "_id", "_part_within", "_part_start", "_part_all")
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(*earlier)
+    # a row for each partition
+    parts = sorted_.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in enumerate(totals.values())], *[F.sum(c).alias(f"_whole_{k}") for k, c in enumerate(alls.values())])
+    over = Window.orderBy("_part").rowsBetween(*earlier)
+    before = parts.select("_part", *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_start_{k}") for k in range(len(totals))], *[F.sum(f"_whole_{k}").over(Window.partitionBy()).alias(f"_all_{k}") for k in range(len(alls))])
+    placed = sorted_.withColumns({f"_within_{k}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in enumerate(totals.values())}).join(F.broadcast(before), "_part")
+    return placed.select(*df.columns, *[(F.col(f"_start_{k}") + F.col(f"_within_{k}")).alias(name) for k, name in enumerate(totals)], *[F.col(f"_all_{k}").alias(name) for k, name in enumerate(alls)])

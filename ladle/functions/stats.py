@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.functions.ranks import global_rank, with_mean_rank_shares
+from ladle.functions.ranks import global_rank, running_totals, with_mean_rank_shares
 
 
 def share_where(condition: Column) -> Column:
@@ -113,6 +113,21 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return rated.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def curve_areas(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: roc and pr, the areas under the ROC and the precision-recall curve of labels 0 and 1 by a score, exactly; rows without label or score don't count.
+
+    A point for each distinct score, straight lines between them; the precision-recall curve begins at recall 0 with its first point's precision. Rows
+    are counted by score, the counts put in order over range partitions, and the areas are sums of the pieces between
+    neighbouring points: no curve is gathered anywhere. roc is null without both labels, pr without a 1."""
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = rows.groupBy(F.col(score).cast("double").alias("_score")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
+    placed = running_totals(counts, F.col("_score").desc(), totals={"_tp": "_p", "_fp": "_n"}, alls={"_pos": "_p", "_neg": "_n"})
+    p, n, tp, fp = (F.col(c).cast("double") for c in ("_p", "_n", "_tp", "_fp"))
+    after, first = (tp + p) / (tp + p + n + fp), tp + fp == 0
+    before = F.when(first, after).otherwise(F.try_divide(tp, tp + fp))
+    return placed.agg(F.try_divide(F.sum(n * (tp + p / 2)), F.max("_pos") * F.max("_neg").cast("double")).alias("roc"), F.try_divide(F.sum(p * (before + after) / 2), F.max("_pos").cast("double")).alias("pr"))
+
+
 def per_class_metrics(df: DataFrame, label: str, prediction: str, keys: list[str] = ()) -> DataFrame:
     """(keys, class, support, predicted, correct, precision, recall, f1) for each class that occurs or is predicted; a class never predicted scores 0.
 

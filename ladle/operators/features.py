@@ -97,6 +97,16 @@ def item_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste:
     return with_percent_ranks(priced.drop("launch_day"), ["item_id"], {"item_popularity": ("total_quantity_sold", F.lit(True))})
 
 
+def popularity_snapshots(lines: DataFrame, items: DataFrame, days: list[date]) -> DataFrame:
+    """(as_of, item_id, item_popularity) for each day: the percent_rank of what the items launched by then had sold by its end. One pass over the lines."""
+    names = [f"_{day.isoformat()}" for day in days]
+    sold = lines.groupBy("item_id").agg(*[F.sum(F.when(before_end_of(F.col("ts"), day), F.col("quantity"))).alias(name) for name, day in zip(names, days)])
+    known = items.select("item_id", "launch_day").join(sold, "item_id", "left").fillna(0, names)
+    ranked = with_percent_ranks(known, ["item_id"], {f"{name}_rank": (name, up_to(F.col("launch_day"), day)) for name, day in zip(names, days)})
+    each = F.explode(F.array(*[F.struct(F.lit(day).alias("as_of"), F.col(f"{name}_rank").alias("item_popularity")) for name, day in zip(names, days)]))
+    return ranked.select("item_id", each.alias("_s")).select("_s.as_of", "item_id", "_s.item_popularity").where("item_popularity is not null")
+
+
 def item_location_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste: DataFrame, as_of: date) -> DataFrame:
     """A row per item and location with a completed sale."""
     pairs = lines.select("item_id", "location_id").distinct().join(items.where(up_to(F.col("launch_day"), as_of)).select("item_id", "category_id", "base_cost"), "item_id")

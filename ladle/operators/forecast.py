@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -14,7 +16,9 @@ from ladle.operators.integration import lagged
 
 KEYS = ["item_id", "location_id"]
 LAGS, ROLLS = (1, 7, 14), (7, 14)
-INPUTS = [*[f"lag_{n}" for n in LAGS], *[f"mean_{n}" for n in ROLLS], "dow", "month", "is_weekend", "on_promo", "price"]
+INPUTS = [*[f"lag_{n}" for n in LAGS], *[f"mean_{n}" for n in ROLLS], "dow", "month", "is_weekend", "on_promo", "is_seasonal", "price"]
+#: The recent level is the mean of the longest window.
+RECENT = f"mean_{max(ROLLS)}"
 LEVELS = {"item_location": ["item_id", "location_id"], "item": ["item_id"], "category": ["category_id"], "location": ["location_id"], "overall": []}
 
 
@@ -55,12 +59,13 @@ def training_table(daily: DataFrame, horizon: int = 7) -> DataFrame:
     return full.drop(*[f"_m{n}" for n in ROLLS]).dropna(subset=needed)
 
 
-def with_covariates(table: DataFrame, promo_days: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds calendar, promotion and price of the target day. promo_days and prices: item_id, location_id, day, and price."""
+def with_covariates(table: DataFrame, promo_days: DataFrame, prices: DataFrame, items: DataFrame) -> DataFrame:
+    """Adds calendar, promotion and price of the target day, and whether the item is seasonal. promo_days and prices: item_id, location_id, day, and price; items: item_id, is_seasonal."""
     dated = with_calendar(table, "target_day")
     promo = promo_days.select(*KEYS, F.col("day").alias("target_day")).distinct().withColumn("on_promo", F.lit(1))
     priced = prices.select(*KEYS, F.col("day").alias("target_day"), "price")
-    return dated.join(promo, [*KEYS, "target_day"], "left").join(priced, [*KEYS, "target_day"], "left").fillna(0, ["on_promo"])
+    seasonal = items.select("item_id", F.col("is_seasonal").cast("int").alias("is_seasonal"))
+    return dated.join(promo, [*KEYS, "target_day"], "left").join(priced, [*KEYS, "target_day"], "left").join(seasonal, "item_id", "left").fillna(0, ["on_promo", "is_seasonal"])
 
 
 def chronological_split(table: DataFrame, test_days: int = 45) -> DataFrame:
@@ -70,26 +75,39 @@ def chronological_split(table: DataFrame, test_days: int = 45) -> DataFrame:
 
 
 def fit(train: DataFrame, inputs: list[str] = INPUTS, iterations: int = 40, depth: int = 6, step: float = 0.1, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), GBTRegressor(labelCol="target", featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed)]
+    stages = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol="target", featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed)]
     return Pipeline(stages=stages).fit(train)
 
 
+_SUMS = ("forecast", "target", "baseline", "recent_average")
+
+
+def _clipped(predicted: DataFrame) -> DataFrame:
+    """Negative forecasts count as 0."""
+    return predicted.withColumns({"forecast": F.greatest(F.col("prediction"), F.lit(0.0)), "recent_average": F.col(RECENT)})
+
+
 def roll_up(predicted: DataFrame, level: str) -> DataFrame:
-    """Forecast, target and baseline per key of the level and target day; negative forecasts count as 0."""
-    keys = [*LEVELS[level], "target_day"]
-    clipped = predicted.withColumn("forecast", F.greatest(F.col("prediction"), F.lit(0.0)))
-    return clipped.groupBy(*keys).agg(F.sum("forecast").alias("forecast"), F.sum("target").alias("target"), F.sum("baseline").alias("baseline"))
+    """Forecast, target, baseline and recent level per key of the level and target day."""
+    return _clipped(predicted).groupBy(*LEVELS[level], "target_day").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def roll_up_levels(predicted: DataFrame) -> DataFrame:
+    """(level, keys, target_day, forecast, target, baseline, recent_average) at all five levels, from one pass of grouping sets; keys that a level lacks are null."""
+    keys = list(dict.fromkeys(k for level in LEVELS.values() for k in level))
+    columns = [F.col(k) for k in (*keys, "target_day")]
+    sets = [[F.col(k) for k in (*level, "target_day")] for level in LEVELS.values()]
+    sums = _clipped(predicted).groupingSets(sets, *columns).agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.grouping(k).alias(f"_no_{k}") for k in keys])
+    has = {name: [F.col(f"_no_{k}") == (k not in level) * 1 for k in keys] for name, level in LEVELS.items()}
+    level = F.coalesce(*[F.when(reduce(lambda a, b: a & b, own), F.lit(name)) for name, own in has.items()])
+    return sums.select(level.alias("level"), *keys, "target_day", *_SUMS)
 
 
 def level_metrics(predicted: DataFrame) -> DataFrame:
-    """Errors of model and baseline at each level: (level, model, mae, rmse, mape, r2, n, n_zero)."""
-    rows = None
-    for level in LEVELS:
-        rolled = roll_up(predicted, level)
-        for name in ("forecast", "baseline"):
-            part = regression_metrics(rolled, "target", name).select(F.lit(level).alias("level"), F.lit(name).alias("model"), "*")
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """Errors of model and baseline at each level: (level, model, mae, rmse, mape, r2, n, n_zero). One roll-up of all levels, one aggregate of all errors."""
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("said")) for m in ("forecast", "baseline")]))
+    rows = roll_up_levels(predicted).select("level", "target", both.alias("_m")).select("level", "target", "_m.model", "_m.said")
+    return regression_metrics(rows, "target", "said", ["level", "model"])
 
 
 def errors_by_volume(predicted: DataFrame, actual: str = "target", forecast: str = "forecast", baseline: str = "baseline", edges: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
@@ -112,6 +130,11 @@ def high_demand_days(item_days: DataFrame, rise: float = 1.25) -> DataFrame:
     return high.groupBy("target_day").agg(F.count("*").alias("n_items"), F.sum(F.col("forecast") - F.col("recent_average")).alias("extra"))
 
 
+def predict(model: PipelineModel, rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns kept and the prediction, as they are stored for everything that reads forecasts."""
+    return model.transform(rows).select(*kept, "prediction")
+
+
 def importances(model: PipelineModel, inputs: list[str], df: DataFrame) -> DataFrame:
     """(feature, importance) of the last stage, a row per input."""
     found = model.stages[-1].featureImportances.toArray().tolist()

@@ -129,6 +129,18 @@ def price_in_effect(grid: DataFrame, prices: DataFrame) -> DataFrame:
     return met.select(*grid.columns, F.coalesce("_own", "_chain").alias("price"))
 
 
+def features_before(rows: DataFrame, snapshots: DataFrame, keys: list[str], day: str, as_of: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of their key's last snapshot strictly before their day, so that no row sees what came later; null where there is none.
+
+    snapshots have a row for each key and as_of. Distinct keys and days are put in order with the snapshots, which are carried forward (see
+    ``price_at``). Keys and days may repeat or be null."""
+    offers = snapshots.select(*keys, F.date_add(as_of, 1).alias("_start"), F.lit(None).cast("date").alias("_end"), F.struct(*columns).alias("_price"))
+    found = price_at(rows.select(*keys, day).distinct(), offers, keys, day, "_found")
+    same = [rows[c].eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, day)]
+    met = rows.join(found.withColumnsRenamed({c: f"_of_{c}" for c in (*keys, day)}), same, "left")
+    return met.select(*[rows[c] for c in rows.columns], *[F.col(f"_found.{c}").alias(c) for c in columns])
+
+
 def within_days(events: DataFrame, series: DataFrame, keys: list[str], event_day: str, day: str, before: int, after: int, keep_lonely: bool = True) -> DataFrame:
     """Events with the rows of a daily series from `before` days before to `after` days after; with keep_lonely also those that have none.
 

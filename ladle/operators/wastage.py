@@ -6,13 +6,13 @@ from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.functions.scalar import day_number, safe_div, with_calendar
-from ladle.functions.stats import with_balanced_weights
+from ladle.functions.stats import binary_metrics, curve_areas, with_balanced_weights
 from ladle.operators.integration import fused, with_coverage
 
 KEYS = ["item_id", "location_id", "day"]
@@ -65,22 +65,33 @@ def risk_table(stock: DataFrame, waste: DataFrame, promotions: tuple[DataFrame,
     return with_calendar(labelled, "day")
 
 
-def fit_risk(train: DataFrame, numeric: list[str], categories: list[str], trees: int = 50, depth: int = 8, seed: int = 42) -> PipelineModel:
-    """A weighted random forest for the label."""
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in categories]
-    assembler = VectorAssembler(inputCols=[*numeric, *[f"{c}_index" for c in categories]], outputCol="features")
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, maxBins=1024)
-    return Pipeline(stages=[*indexers, assembler, forest]).fit(with_balanced_weights(train, "label"))
+def fit_risk(train: DataFrame, numeric: list[str], categories: list[str], ordered: list[str] = (), trees: int = 50, depth: int = 8, seed: int = 42) -> PipelineModel:
+    """A weighted random forest for the label.
 
+    categories have a few values each and are split by any subset of them; ordered ones (locations) may have any number, and are numbered
+    by how often they occur and split by that number, so that the forest's histograms don't grow with them."""
+    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in (*categories, *ordered)]
+    # a plain number, where the index would be taken for a category of so many values
+    plain = SQLTransformer(statement=f"SELECT *{''.join(f', {c}_index + 0.0 AS {c}_number' for c in ordered)} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[*numeric, *[f"{c}_index" for c in categories], *[f"{c}_number" for c in ordered]], outputCol="features")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64)
+    return Pipeline(stages=[*indexers, plain, assembler, forest]).fit(with_balanced_weights(train, "label"))
+
+
+def risk_scored(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """Test rows with prediction and risk, the chance of waste."""
+    return model.transform(test).withColumn("risk", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "features")
 
-def split_by_day(df: DataFrame, test_from: date) -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col("day") < F.lit(test_from)), df.where(F.col("day") >= F.lit(test_from))
 
+def risk_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", risk: str = "risk") -> DataFrame:
+    """One row: n, positive_rate, tp, fp, fn, tn, accuracy, precision, recall, f1, roc, pr."""
+    counts = binary_metrics(scored, label, prediction)
+    n = sum((F.col(c) for c in ("tp", "fp", "fn", "tn")), F.lit(0))
+    return counts.select(n.alias("n"), F.try_divide(F.col("tp") + F.col("fn"), n).alias("positive_rate"), "*").join(F.broadcast(curve_areas(scored, label, risk)))
 
-def areas(scored: DataFrame) -> dict[str, float]:
-    """Areas under the ROC and the precision-recall curve."""
-    evaluator = BinaryClassificationEvaluator(labelCol="label")
-    return {m: evaluator.evaluate(scored, {evaluator.metricName: m}) for m in ("areaUnderROC", "areaUnderPR")}
+
+def split_by_day(df: DataFrame, test_from: date) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("day") < F.lit(test_from)), df.where(F.col("day") >= F.lit(test_from))
 
 
 def watch_list(scored: DataFrame, least_share: float = 0.5) -> DataFrame:

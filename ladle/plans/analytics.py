@@ -7,10 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.operators import anomaly, basket, forecast, models, pricing, promotions, recommend, reports, scenario, wastage
+from ladle.operators import anomaly, basket, features, forecast, integration, models, pricing, promotions, recommend, reports, scenario, wastage
 from ladle.plans import entities
 from ladle.plans import frames as fr
 from ladle.plans.frames import AS_OF, FIRST_DAY, LAST_DAY, Query, table
+from ladle.sources import tables
 
 # Baskets
 
@@ -49,8 +50,37 @@ FREQUENT_ITEMSETS = """WITH b AS (SELECT DISTINCT order_id, category_id AS c FRO
 # Wastage
 
 
+#: The risk model is tested on the days from the first one on; snapshots of item features are of the others.
+TEST_FROM, SNAPSHOT_DAYS = date(2000, 1, 1), [date(1998, 7, 1), date(1999, 10, 1), date(2000, 7, 1), AS_OF]
+
+
+def _popularity(spark: SparkSession, sf: str) -> DataFrame:
+    return features.popularity_snapshots(fr.lines(spark, sf), fr.items(spark, sf), SNAPSHOT_DAYS)
+
+
+_POPULARITY = " UNION ALL ".join(
+    f"SELECT DATE '{d}' AS as_of, item_id, percent_rank() OVER (ORDER BY coalesce(q, 0)) AS item_popularity FROM items LEFT JOIN (SELECT item_id, sum(quantity) AS q FROM lines WHERE ts < DATE '{d}' + 1 GROUP BY 1) USING (item_id) WHERE launch_day <= DATE '{d}'" for d in SNAPSHOT_DAYS
+)
+
+
+def popularity_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return _popularity(spark, sf)
+
+
+def popularity_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Waste, each row with its item's popularity in the last snapshot strictly before its day."""
+    rows = integration.features_before(fr.waste(spark, sf), _popularity(spark, sf), ["item_id"], "day", "as_of", ["item_popularity"])
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.count("item_popularity").alias("known"), F.sum("item_popularity").alias("popularity"))
+
+
+POPULARITY_BEFORE = f"""WITH s AS ({_POPULARITY}), w AS (SELECT day, (SELECT max(as_of) FROM s WHERE s.as_of < waste.day AND s.item_id = waste.item_id) AS as_of, item_id FROM waste)
+  SELECT day, count(*) AS n, count(item_popularity) AS known, sum(item_popularity) AS popularity FROM w LEFT JOIN s USING (item_id, as_of) GROUP BY 1"""
+
+
 def _risk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    popularity = entities._item_table(spark, sf).select("item_id", "item_popularity")
+    """Popularity is that of the last snapshot before the test days, so that nothing of them is known."""
+    last = max(d for d in SNAPSHOT_DAYS if d < TEST_FROM)
+    popularity = features.popularity_snapshots(fr.lines(spark, sf), fr.items(spark, sf), [last]).drop("as_of")
     return wastage.risk_table(fr.stock(spark, sf), fr.waste(spark, sf), fr.promotion_tables(spark, sf), popularity, 200)
 
 
@@ -58,19 +88,58 @@ def risk_table(spark: SparkSession, sf: str) -> DataFrame:
     return _risk_rows(spark, sf).select("item_id", "location_id", "day", "label", "recent_demand", "prep_ratio", "promo_active", "item_popularity", "dow", "month", "is_weekend")
 
 
-RISK_TABLE = f"""WITH w AS (SELECT item_id, location_id, day, sum(wasted) AS wasted FROM waste GROUP BY 1, 2, 3), i AS (SELECT item_id, item_popularity FROM ({entities._ITEMS_SQL})),
+RISK_TABLE = f"""WITH w AS (SELECT item_id, location_id, day, sum(wasted) AS wasted FROM waste GROUP BY 1, 2, 3), i AS (SELECT item_id, item_popularity FROM ({_POPULARITY}) WHERE as_of = DATE '1999-10-01'),
   j AS (SELECT item_id, location_id, day, prepared, consumed, coalesce(wasted, 0) AS wasted, (on_day IS NOT NULL)::INT AS promo_active, coalesce(item_popularity, 0) AS item_popularity FROM stock LEFT JOIN w USING (item_id, location_id, day) LEFT JOIN (SELECT item_id, location_id, day AS day, day AS on_day FROM covered) c USING (item_id, location_id, day) LEFT JOIN i USING (item_id) WHERE prepared > 0),
   r AS (SELECT *, avg(consumed) OVER (PARTITION BY item_id, location_id ORDER BY datediff('day', DATE '2000-01-01', day) RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS demand FROM j)
   SELECT item_id, location_id, day, coalesce(wasted / nullif(prepared, 0) > 0.1, false)::INT AS label, coalesce(demand, -1) AS recent_demand, coalesce(CASE WHEN demand > 0 THEN prepared / demand END, -1) AS prep_ratio, promo_active, item_popularity, (dayofweek(day) + 1)::INT AS dow, month(day)::INT AS month, (dayofweek(day) + 1 IN (6, 7, 1))::INT AS is_weekend FROM r"""
 
 
+def _risk_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(scored test days, importances) of a forest trained on the days before them; the scores are stored once for each session and folder."""
+    if (spark.sparkContext.applicationId, sf) not in _STORED_RISK:
+        rows = _risk_rows(spark, sf).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
+        path = tables.new_folder(spark, "risk")
+        rows.write.parquet(f"{path}/rows")
+        train, test = wastage.split_by_day(spark.read.parquet(f"{path}/rows"), TEST_FROM)
+        numeric = ["recent_demand", "prep_ratio", "prepared", "promo_active", "item_popularity", "dow", "month", "is_weekend"]
+        model = wastage.fit_risk(train, numeric, ["category_id"], ["location_id"])
+        wastage.risk_scored(model, test).write.parquet(f"{path}/scored")
+        forecast.importances(model, [*numeric, "category_id", "location_id"], rows).write.parquet(f"{path}/importances")
+        _STORED_RISK[spark.sparkContext.applicationId, sf] = path
+    path = _STORED_RISK[spark.sparkContext.applicationId, sf]
+    return spark.read.parquet(f"{path}/scored"), spark.read.parquet(f"{path}/importances")
+
+
+_STORED_RISK: dict[tuple[str, str], str] = {}
+_STORED_FORECASTS: dict[tuple[str, str], str] = {}
+
+
 def risk_watch_list(spark: SparkSession, sf: str) -> DataFrame:
     """A forest trained on the days before 2000, and the pairs it expects to waste from then on."""
-    rows = _risk_rows(spark, sf).join(fr.items(spark, sf).select("item_id", "category_id"), "item_id")
-    train, test = wastage.split_by_day(rows, date(2000, 1, 1))
-    numeric = ["recent_demand", "prep_ratio", "prepared", "promo_active", "item_popularity", "dow", "month", "is_weekend"]
-    model = wastage.fit_risk(train, numeric, ["category_id"])
-    return wastage.watch_list(model.transform(test))
+    return wastage.watch_list(_risk_model(spark, sf)[0])
+
+
+def risk_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, precision, recall and areas of the forest on the test days, and the importances of its inputs."""
+    scored, importances = _risk_model(spark, sf)
+    return wastage.risk_metrics(scored).join(importances.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.round("importance", 6))))).alias("importances")))
+
+
+#: A rule in the model's place, which SQL can give as well: what is prepared for each unit of recent demand, in tenths.
+_RULE_SCORE, _RULE = "floor(10 * prep_ratio) / 10", "prep_ratio > 1.2"
+
+
+def risk_rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    rows = risk_table(spark, sf).withColumns({"risk": F.expr(_RULE_SCORE), "prediction": F.expr(_RULE).cast("int")})
+    return wastage.risk_metrics(rows)
+
+
+RISK_RULE_METRICS = f"""WITH r AS (SELECT label, {_RULE_SCORE} AS s, ({_RULE})::INT AS p FROM ({RISK_TABLE})), c AS (SELECT s, sum(label) AS p, sum(1 - label) AS n FROM r GROUP BY 1),
+  k AS (SELECT *, coalesce(sum(p) OVER w, 0) AS tp, coalesce(sum(n) OVER w, 0) AS fp FROM c WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  a AS (SELECT sum(n * (tp + p / 2)) / (sum(p) * sum(n)) AS roc, sum(p * (CASE WHEN tp + fp = 0 THEN (tp + p) / (tp + p + fp + n) ELSE tp / (tp + fp) END + (tp + p) / (tp + p + fp + n)) / 2) / sum(p) AS pr FROM k),
+  t AS (SELECT count(*) FILTER (label = 1 AND p = 1) AS tp, count(*) FILTER (label = 0 AND p = 1) AS fp, count(*) FILTER (label = 1 AND p = 0) AS fn, count(*) FILTER (label = 0 AND p = 0) AS tn FROM r),
+  m AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM t)
+  SELECT tp + fp + fn + tn AS n, (tp + fn) / (tp + fp + fn + tn) AS positive_rate, tp, fp, fn, tn, (tp + tn) / (tp + fp + fn + tn) AS accuracy, precision, recall, 2 * precision * recall / nullif(precision + recall, 0) AS f1, roc, pr FROM m, a"""
 
 
 # Prices
@@ -264,15 +333,15 @@ TRAINING_TABLE = f"""WITH d AS ({_DAILY}), m AS ({_MEANS}) SELECT d.item_id, d.l
 
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
-    """A plain prediction in the model's place, which SQL can give as well: 0.93 of the mean of two weeks."""
-    return _table(spark, sf).withColumns({"prediction": F.col("mean_14") * 0.93, "category_id": F.col("item_id") % 4})
+    """A plain prediction in the model's place, which SQL can give as well: 0.93 of the mean of a week."""
+    return _table(spark, sf).withColumns({"prediction": F.col("mean_7") * 0.93, "category_id": F.col("item_id") % 4})
 
 
 def forecast_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.level_metrics(_predicted(spark, sf))
 
 
-_LEVEL = "SELECT {1} sum(greatest(mean_14 * 0.93, 0)) AS forecast, sum(target) AS target, sum(baseline) AS baseline FROM p GROUP BY {1} target_day"
+_LEVEL = "SELECT {1} sum(greatest(mean_7 * 0.93, 0)) AS forecast, sum(target) AS target, sum(baseline) AS baseline FROM p GROUP BY {1} target_day"
 _ERRORS = "SELECT '{0}' AS level, '{2}' AS model, avg(abs({2} - target)) AS mae, sqrt(avg(({2} - target) ** 2)) AS rmse, avg(abs(({2} - target) / target)) FILTER (target <> 0) AS mape, 1 - sum(({2} - target) ** 2) / (var_pop(target) * count(*)) AS r2, count(*) AS n, count(*) FILTER (target = 0) AS n_zero FROM ({1})"
 FORECAST_METRICS = f"WITH p AS (SELECT *, item_id % 4 AS category_id FROM ({TRAINING_TABLE})) " + " UNION ALL ".join(
     _ERRORS.format(level, _LEVEL.format(level, keys), model) for level, keys in (("item_location", "item_id, location_id,"), ("item", "item_id,"), ("category", "category_id,"), ("location", "location_id,"), ("overall", "")) for model in ("forecast", "baseline")
@@ -283,7 +352,7 @@ def forecast_by_volume(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.errors_by_volume(forecast.roll_up(_predicted(spark, sf), "item"))
 
 
-FORECAST_BY_VOLUME = f"""WITH r AS (SELECT item_id, target_day, sum(greatest(mean_14 * 0.93, 0)) AS forecast, sum(baseline) AS baseline, sum(target) AS target FROM ({TRAINING_TABLE}) GROUP BY 1, 2),
+FORECAST_BY_VOLUME = f"""WITH r AS (SELECT item_id, target_day, sum(greatest(mean_7 * 0.93, 0)) AS forecast, sum(baseline) AS baseline, sum(target) AS target FROM ({TRAINING_TABLE}) GROUP BY 1, 2),
   e AS (SELECT *, CASE WHEN target <= 5 THEN '1-5' WHEN target <= 20 THEN '6-20' WHEN target <= 50 THEN '21-50' ELSE '51+' END AS bucket, abs(forecast - target) / target AS m, abs(baseline - target) / target AS b, (forecast > target)::INT AS o FROM r WHERE target > 0)
   SELECT bucket, count(*) AS n, avg(m) AS model_ape, avg(b) AS baseline_ape, avg(o) AS over_share FROM e GROUP BY 1 UNION ALL SELECT 'all', count(*), quantile_cont(m, 0.5), quantile_cont(b, 0.5), avg(o) FROM e HAVING count(*) > 0"""
 
@@ -295,36 +364,65 @@ def forecast_split(spark: SparkSession, sf: str) -> DataFrame:
 FORECAST_SPLIT = f"SELECT target_day > (SELECT max(target_day) FROM ({TRAINING_TABLE})) - 5 AS is_test, count(*) AS n, min(target_day) AS first_day FROM ({TRAINING_TABLE}) GROUP BY 1"
 
 
-def forecast_covariates(spark: SparkSession, sf: str) -> DataFrame:
+def _with_covariates(spark: SparkSession, sf: str) -> DataFrame:
     rows = _table(spark, sf)
     promo = rows.select("item_id", "location_id", F.col("target_day").alias("day")).where("item_id % 3 = 0")
     price = rows.select("item_id", "location_id", F.col("target_day").alias("day"), (F.col("item_id") * 1.5).alias("price")).distinct()
-    return forecast.with_covariates(rows, promo, price).select("item_id", "location_id", "target_day", "dow", "month", "is_weekend", "on_promo", "price")
+    return forecast.with_covariates(rows, promo, price, fr.items(spark, sf))
+
+
+def forecast_covariates(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_covariates(spark, sf).select("item_id", "location_id", "target_day", "dow", "month", "is_weekend", "on_promo", "is_seasonal", "price")
 
 
-FORECAST_COVARIATES = f"SELECT item_id, location_id, target_day, (dayofweek(target_day) + 1)::INT AS dow, month(target_day)::INT AS month, (dayofweek(target_day) + 1 IN (6, 7, 1))::INT AS is_weekend, (item_id % 3 = 0)::INT AS on_promo, item_id * 1.5 AS price FROM ({TRAINING_TABLE})"
+FORECAST_COVARIATES = f"SELECT t.item_id, location_id, target_day, (dayofweek(target_day) + 1)::INT AS dow, month(target_day)::INT AS month, (dayofweek(target_day) + 1 IN (6, 7, 1))::INT AS is_weekend, (t.item_id % 3 = 0)::INT AS on_promo, coalesce(is_seasonal, false)::INT AS is_seasonal, t.item_id * 1.5 AS price FROM ({TRAINING_TABLE}) t LEFT JOIN items ON items.item_id = t.item_id"
 
 
 def _item_days(spark: SparkSession, sf: str) -> DataFrame:
-    rows = forecast.roll_up(_predicted(spark, sf), "item")
-    recent = _table(spark, sf).groupBy("item_id", "target_day").agg(F.sum("mean_7").alias("recent_average"))
-    return rows.join(recent, ["item_id", "target_day"]).withColumn("actual", F.col("target"))
+    return forecast.roll_up(_predicted(spark, sf), "item").withColumn("actual", F.col("target"))
 
 
 def high_demand(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.high_demand_days(_item_days(spark, sf), 0.95)
+    return forecast.high_demand_days(_item_days(spark, sf), 1.2)
+
+
+_ITEM_DAYS = f"SELECT item_id, target_day, sum(greatest(mean_7 * 0.93, 0)) AS forecast, sum(mean_14) AS recent_average, sum(target) AS actual FROM ({TRAINING_TABLE}) GROUP BY 1, 2"
+HIGH_DEMAND = f"SELECT target_day, count(*) AS n_items, sum(forecast - recent_average) AS extra FROM ({_ITEM_DAYS}) WHERE forecast >= 1.2 * recent_average GROUP BY 1"
 
 
-_ITEM_DAYS = f"SELECT item_id, target_day, sum(greatest(mean_14 * 0.93, 0)) AS forecast, sum(mean_7) AS recent_average, sum(target) AS actual FROM ({TRAINING_TABLE}) GROUP BY 1, 2"
-HIGH_DEMAND = f"SELECT target_day, count(*) AS n_items, sum(forecast - recent_average) AS extra FROM ({_ITEM_DAYS}) WHERE round(forecast, 9) >= round(0.95 * recent_average, 9) GROUP BY 1"
+def _forecasts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions for the test days, importances) of a boosted model trained on the days before them. They are a snapshot, written once for each session and folder, which all that follows reads."""
+    if (spark.sparkContext.applicationId, sf) not in _STORED_FORECASTS:
+        path = tables.new_folder(spark, "forecasts")
+        _with_covariates(spark, sf).write.parquet(f"{path}/rows")
+        split = forecast.chronological_split(spark.read.parquet(f"{path}/rows"), 5)
+        model = forecast.fit(split.where("not is_test"), forecast.INPUTS)
+        kept = [*forecast.KEYS, "day", "target_day", "target", "baseline", forecast.RECENT]
+        tables.write_snapshot(forecast.predict(model, split.where("is_test"), kept), f"{path}/predicted", AS_OF)
+        forecast.importances(model, forecast.INPUTS, split).write.parquet(f"{path}/importances")
+        _STORED_FORECASTS[spark.sparkContext.applicationId, sf] = path
+    path = _STORED_FORECASTS[spark.sparkContext.applicationId, sf]
+    return tables.read_snapshot(spark, f"{path}/predicted").drop("as_of_date").withColumn("category_id", F.col("item_id") % 4), spark.read.parquet(f"{path}/importances")
 
 
 def forecast_model(spark: SparkSession, sf: str) -> DataFrame:
     """Importances of a boosted model's inputs."""
-    rows = forecast.with_calendar(_table(spark, sf), "target_day")
-    inputs = ["lag_1", "lag_7", "lag_14", "mean_7", "mean_14", "dow", "is_weekend"]
-    model = forecast.fit(forecast.chronological_split(rows, 5).where("not is_test"), inputs)
-    return forecast.importances(model, inputs, rows)
+    return _forecasts(spark, sf)[1]
+
+
+def forecast_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of the boosted model and of the baseline on the test days, at five levels."""
+    return forecast.level_metrics(_forecasts(spark, sf)[0])
+
+
+def forecast_model_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Days on which the boosted model expects items at 1.25 of their recent level or more."""
+    return forecast.high_demand_days(forecast.roll_up(_forecasts(spark, sf)[0], "item"))
+
+
+def forecast_model_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the boosted model expects of each category on the test days, its recent level, and what came."""
+    return reports.forecast_totals(forecast.roll_up(_forecasts(spark, sf)[0], "category").withColumn("actual", F.col("target")), ["category_id"])
 
 
 def forecast_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,10 +447,10 @@ def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
     chain = entities._classified(spark, sf)[0]
     rules = pair_rules(spark, sf).withColumns({"antecedent": F.array("antecedent"), "consequent": F.array("consequent"), "lift": F.round("lift", 6), "confidence": F.round("confidence", 6)})
     revenue = chain.groupBy(F.col("category_id").alias("item_id")).agg(F.sum("total_revenue").alias("total_revenue"))
-    risk = _risk_rows(spark, sf).select("item_id", F.col("label").alias("prediction"))
+    risk = _risk_rows(spark, sf).select("item_id", F.expr(_RULE).cast("int").alias("prediction"))
     segments = entities._rounded_customers(spark, sf).join(entities.rule_segments(spark, sf).select("customer_id", F.col("rule_segment").alias("segment")), "customer_id")
     parts = [
-        recommend.hidden_opportunities(chain), recommend.high_wastage(chain, risk), recommend.price_sensitive(_sensitivity(spark, sf), chain), recommend.bundles(rules, revenue, 1.05), recommend.low_performers(chain), recommend.stock_before_peak(_item_days(spark, sf), chain, -0.05, -1000),
+        recommend.hidden_opportunities(chain), recommend.high_wastage(chain, risk), recommend.price_sensitive(_sensitivity(spark, sf), chain), recommend.bundles(rules, revenue, 1.05), recommend.low_performers(chain), recommend.stock_before_peak(_item_days(spark, sf), chain, 0.2, 0),
         recommend.segment_campaigns(segments, entities.churn(spark, sf)), recommend.ineffective_promotions(_compared(spark, sf)), recommend.anomalous_locations(sales_anomalies(spark, sf), 3, 2),
     ]
     return recommend.ranked(*[p.withColumn("impact", F.round("impact", 2)) for p in parts])
@@ -368,11 +466,11 @@ def recommendation_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 _CHAIN = entities._CHAIN_SQL
 RECOMMENDATION_COUNTS = f"""SELECT 'Promote hidden opportunity' AS type, count(*) AS n FROM ({_CHAIN}) WHERE category = 'Hidden Opportunity' AND profit_tier = 'High'
-  UNION ALL SELECT 'Reduce preparation', count(*) FROM ({_CHAIN}) LEFT JOIN (SELECT item_id, avg(label) AS s FROM ({RISK_TABLE}) GROUP BY 1) USING (item_id) WHERE excessive_wastage OR s >= 0.5
+  UNION ALL SELECT 'Reduce preparation', count(*) FROM ({_CHAIN}) LEFT JOIN (SELECT item_id, avg(({_RULE})::INT) AS s FROM ({RISK_TABLE}) GROUP BY 1) USING (item_id) WHERE excessive_wastage OR s >= 0.5
   UNION ALL SELECT 'Review price', count(*) FROM ({PRICE_SENSITIVITY}) JOIN ({_CHAIN}) USING (item_id) WHERE sensitivity = 'High'
   UNION ALL SELECT 'Bundle items', count(DISTINCT [least(antecedent, consequent), greatest(antecedent, consequent)]) FROM ({PAIR_RULES}) WHERE round(lift, 6) >= 1.05 HAVING count(*) > 0
   UNION ALL SELECT 'Remove or redesign', count(*) FROM ({_CHAIN}) JOIN (SELECT item_id, avg((category = 'Low Performer')::INT) AS low FROM ({entities._LOCAL_CLASSES}) GROUP BY 1 HAVING count(*) >= 3) USING (item_id) WHERE category = 'Low Performer' AND low >= 0.75
-  UNION ALL SELECT 'Stock before peak', count(DISTINCT item_id) FROM ({_ITEM_DAYS}) JOIN ({_CHAIN}) USING (item_id) WHERE forecast >= recent_average * 0.95 AND total_quantity_sold > 0 HAVING count(*) > 0
+  UNION ALL SELECT 'Stock before peak', count(DISTINCT item_id) FROM ({_ITEM_DAYS}) JOIN ({_CHAIN}) USING (item_id) WHERE forecast >= recent_average * 1.2 AND total_quantity_sold > 0 HAVING count(*) > 0
   UNION ALL SELECT 'Target segment', count(DISTINCT rule_segment) FROM ({entities.RULE_SEGMENTS})
   UNION ALL SELECT 'Review promotion', count(*) FROM ({PROMOTION_TRAPS}) WHERE trap_flags > 0
   UNION ALL SELECT 'Investigate location', count(*) FROM (SELECT location_id FROM ({SALES_ANOMALIES}) JOIN (SELECT period_start, count(DISTINCT location_id) AS k FROM ({SALES_ANOMALIES}) WHERE anomaly_type = 'location_sales' GROUP BY 1) USING (period_start) WHERE anomaly_type = 'location_sales' AND k < 3 GROUP BY 1 HAVING count(*) >= 2)"""
@@ -558,6 +656,10 @@ QUERIES = {
     "frequent_itemsets": Query(frequent_itemsets, FREQUENT_ITEMSETS),
     "risk_table": Query(risk_table, RISK_TABLE, ("recent_demand", "prep_ratio")),
     "risk_watch_list": Query(risk_watch_list),
+    "risk_model_metrics": Query(risk_model_metrics),
+    "risk_rule_metrics": Query(risk_rule_metrics, RISK_RULE_METRICS, ("positive_rate", "accuracy", "precision", "recall", "f1", "roc", "pr"), 6),
+    "popularity_snapshots": Query(popularity_snapshots, _POPULARITY, ("item_popularity",), 6),
+    "popularity_before": Query(popularity_before, POPULARITY_BEFORE, ("popularity",)),
     "price_changes": Query(price_changes, PRICE_CHANGES),
     "price_impact": Query(price_impact, PRICE_IMPACT, ("before", "after", "price_change_pct", "demand_change_pct", "control_change_pct", "adjusted_change_pct", "elasticity")),
     "price_sensitivity": Query(price_sensitivity, PRICE_SENSITIVITY),
@@ -577,6 +679,9 @@ QUERIES = {
     "forecast_covariates": Query(forecast_covariates, FORECAST_COVARIATES, ("price",)),
     "high_demand": Query(high_demand, HIGH_DEMAND, ("extra",)),
     "forecast_model": Query(forecast_model),
+    "forecast_model_metrics": Query(forecast_model_metrics),
+    "forecast_model_peaks": Query(forecast_model_peaks),
+    "forecast_model_totals": Query(forecast_model_totals),
     "forecast_totals": Query(forecast_totals, f"SELECT item_id, sum(forecast) AS forecast, sum(recent_average) AS recent, sum(actual) AS actual FROM ({_ITEM_DAYS}) GROUP BY 1", ("forecast", "recent", "actual")),
     "item_classifier": Query(item_classifier),
     "recommendations": Query(recommendations),
