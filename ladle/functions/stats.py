@@ -33,19 +33,68 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], points: tuple[float, ...], keys: list[str] = ()) -> DataFrame:
+    """(keys, feature, point, value): quantiles of each column per key, interpolated between neighbouring ranks, exactly; nulls don't count.
+
+    Values are counted, all columns' counts are put in one order over range partitions, and their running totals say which values hold the ranks
+    wanted: two passes over counts, and no task has all values of a column or key. A column without values has no row."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    long = df.select(*keys, each.alias("_x")).select(*keys, "_x.feature", "_x._value").where("_value is not null")
+    groups = [*keys, "feature"]
+    counts = long.groupBy(*groups, "_value").agg(F.count("*").alias("_n"))
+    placed = running_totals(counts, *[F.col(c).asc_nulls_first() for c in (*groups, "_value")], totals={"_before": "_n"})
+    sizes = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in groups]).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_rows"))
+    met = placed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in groups]).withColumn("_before", F.col("_before") - F.col("_first"))
+    asked = met.select(*groups, "_value", "_before", "_n", "_rows", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point")).withColumn("_at", (F.col("_rows") - 1) * F.col("point"))
+    has = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    kept = asked.where(has(low) | has(high)).groupBy(*groups, "point").agg(F.max(F.when(has(low), F.col("_value"))).alias("_low"), F.max(F.when(has(high), F.col("_value"))).alias("_high"), F.first("_at").alias("_at"))
+    value = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * (F.ceil("_at") - F.col("_at")) + F.col("_high") * (F.col("_at") - F.floor("_at")))
+    return kept.select(*groups, "point", value.alias("value"))
+
+
+def _at_point(point: float) -> Column:
+    return F.max(F.when(F.col("point") == point, F.col("value")))
+
+
 def upper_fence(df: DataFrame, value: str, k: float = 3.0, exact: bool = True) -> DataFrame:
-    """One row with q1, q3 and fence = q3 + k * (q3 - q1). Exact by default; the approximate form keeps sketches only."""
-    q = F.percentile if exact else F.percentile_approx
-    row = df.agg(q(value, F.lit(0.25)).alias("q1"), q(value, F.lit(0.75)).alias("q3"))
+    """One row with q1, q3 and fence = q3 + k * (q3 - q1). Exact by default; the approximate form keeps sketches only, whose ranks are off by 1 / 10,000 of the rows at most."""
+    if exact:
+        row = exact_quantiles(df, [value], (0.25, 0.75)).agg(_at_point(0.25).alias("q1"), _at_point(0.75).alias("q3"))
+    else:
+        row = df.agg(F.percentile_approx(value, F.lit(0.25)).alias("q1"), F.percentile_approx(value, F.lit(0.75)).alias("q3"))
     return row.withColumn("fence", F.col("q3") + k * (F.col("q3") - F.col("q1")))
 
 
+def medians(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
+    """(keys, columns): the median of each column, per key or in one row."""
+    return exact_quantiles(df, columns, (0.5,), keys).groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns])
+
+
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, mean, p25, p50, p75, p90, p99), a row per column, from one pass."""
+    """(feature, mean, p25, p50, p75, p90, p99), a row per column."""
     points = (0.25, 0.5, 0.75, 0.9, 0.99)
-    wide = df.agg(*[F.struct(F.avg(c).alias("mean"), F.percentile(c, F.array(*[F.lit(p) for p in points])).alias("q")).alias(c) for c in columns])
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])).alias("x"))
-    return long.select("x.feature", F.col("x.s.mean").alias("mean"), *[F.get("x.s.q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    wide = df.agg(*[F.avg(c).alias(c) for c in columns])
+    means = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("mean")) for c in columns])).alias("x")).select("x.*")
+    at = exact_quantiles(df, columns, points).groupBy("feature").agg(*[_at_point(p).alias(f"p{round(100 * p)}") for p in points])
+    return means.join(at, "feature", "left")
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], values: dict[str, str], bits: int = 14) -> DataFrame:
+    """(keys, a sketch for each name -> column of values): HyperLogLog sketches of distinct values, of 2 ** bits registers at most.
+
+    They are stored like any column and united to coarser keys without the rows; the relative standard error is about 1.04 / sqrt(2 ** bits), 0.8 % by default."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(F.col(c), bits).alias(name) for name, c in values.items()])
+
+
+def united_sketches(sketches: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Sketches per coarser key, or in one row without keys."""
+    return sketches.groupBy(*keys).agg(*[F.hll_union_agg(name).alias(name) for name in names])
+
+
+def distinct_estimates(sketches: DataFrame, names: list[str]) -> DataFrame:
+    """The sketches' estimates in their place."""
+    return sketches.withColumns({name: F.hll_sketch_estimate(name) for name in names})
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.functions.scalar import day_number, with_calendar
-from ladle.functions.stats import regression_metrics
+from ladle.functions.stats import medians, regression_metrics
 from ladle.operators.integration import lagged
 
 KEYS = ["item_id", "location_id"]
@@ -120,8 +120,8 @@ def errors_by_volume(predicted: DataFrame, actual: str = "target", forecast: str
         bucket = F.when(a <= high, f"{low + 1}-{high}").otherwise(bucket)
     rows = predicted.where(a > 0).withColumns({"bucket": bucket, "_model": F.abs(F.col(forecast) - a) / a, "_baseline": F.abs(F.col(baseline) - a) / a, "_over": (F.col(forecast) > a).cast("double")})
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("_model").alias("model_ape"), F.avg("_baseline").alias("baseline_ape"), F.avg("_over").alias("over_share"))
-    medians = rows.agg(F.lit("all").alias("bucket"), F.count("*").alias("n"), F.percentile("_model", F.lit(0.5)).alias("model_ape"), F.percentile("_baseline", F.lit(0.5)).alias("baseline_ape"), F.avg("_over").alias("over_share"))
-    return buckets.union(medians.where("n > 0"))
+    whole = rows.agg(F.lit("all").alias("bucket"), F.count("*").alias("n"), F.avg("_over").alias("over_share")).join(medians(rows, ["_model", "_baseline"]))
+    return buckets.union(whole.where("n > 0").select("bucket", "n", F.col("_model").alias("model_ape"), F.col("_baseline").alias("baseline_ape"), "over_share"))
 
 
 def high_demand_days(item_days: DataFrame, rise: float = 1.25) -> DataFrame:

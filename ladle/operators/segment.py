@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ladle.functions.ranks import first_of, tertile, with_mean_rank_shares, with_ntile
 from ladle.functions.scalar import held_out
-from ladle.functions.stats import share_of_total
+from ladle.functions.stats import medians, share_of_total
 
 R, FREQ, M = "customer_recency", "customer_frequency", "customer_monetary_value"
 INPUTS = [R, "log_frequency", "log_monetary", "promo_order_share", "tenure_days"]
@@ -153,4 +153,6 @@ def landing(df: DataFrame, actual: str, value: str, predicted: str) -> DataFrame
 
 
 def margins_by_agreement(df: DataFrame, match: str = "match", margin: str = "margin") -> DataFrame:
-    return df.groupBy(match).agg(F.count("*").alias("n"), F.percentile(margin, F.lit(0.5)).alias("median_margin"))
+    """(match, n, median_margin)."""
+    middle = medians(df, [margin], [match]).select(F.col(match).alias("_match"), F.col(margin).alias("median_margin"))
+    return df.groupBy(match).agg(F.count("*").alias("n")).join(middle, F.col(match).eqNullSafe(F.col("_match")), "left").drop("_match")

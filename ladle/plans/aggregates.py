@@ -11,6 +11,7 @@ from ladle.functions import ranks, scalar, stats
 from ladle.operators import basket, features, reports, wastage
 from ladle.plans import frames as fr
 from ladle.plans.frames import AS_OF, Query, table
+from ladle.sources import tables
 
 
 def item_sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +59,31 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 DISTINCT_COUNTS = "SELECT location_id, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers, avg(promo::INT) AS promo_share, avg((dayofweek(ts) + 1 IN (6, 7, 1))::INT) AS weekend_share FROM lines GROUP BY 1"
 
 
+_LEVELS = {"month": ["month"], "location": ["location_id"], "chain": []}
+
+
+def distinct_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct customers and orders by month, by location and of the chain, from sketches per day and location that are stored once and united; beside the exact numbers.
+
+    error_ok: both estimates are within 4 % (five standard errors) of the exact number."""
+    lines = fr.lines(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    path = tables.new_folder(spark, "sketches")
+    stats.distinct_sketches(lines, ["day", "location_id"], {"customers": "customer_id", "orders": "order_id"}).write.parquet(path)
+    stored = spark.read.parquet(path).withColumn("month", F.trunc("day", "month"))
+    out = None
+    for level, keys in _LEVELS.items():
+        guess = stats.distinct_estimates(stats.united_sketches(stored, keys, ["customers", "orders"]), ["customers", "orders"])
+        exact = lines.withColumn("month", F.trunc("day", "month")).groupBy(*keys).agg(F.countDistinct("customer_id").alias("n_customers"), F.countDistinct("order_id").alias("n_orders"))
+        both = guess.join(exact, keys) if keys else guess.join(exact)
+        near = [F.abs(F.col(c) - F.col(f"n_{c}")) <= F.greatest(F.lit(1.0), 0.04 * F.col(f"n_{c}")) for c in ("customers", "orders")]
+        rows = both.select(F.lit(level).alias("level"), (F.col(keys[0]).cast("string") if keys else F.lit("all")).alias("key"), "n_customers", "n_orders", (near[0] & near[1]).alias("error_ok"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+DISTINCT_ROLLUPS = " UNION ALL ".join(f"SELECT '{level}' AS level, {key} AS key, count(DISTINCT customer_id) AS n_customers, count(DISTINCT order_id) AS n_orders, true AS error_ok FROM lines GROUP BY {by}" for level, key, by in (("month", "date_trunc('month', ts)::DATE::VARCHAR", "date_trunc('month', ts)"), ("location", "location_id::VARCHAR", "location_id"), ("chain", "'all'", "ALL")))
+
+
 def modes(spark: SparkSession, sf: str) -> DataFrame:
     rows = fr.orders(spark, sf)
     return stats.most_frequent(rows, ["customer_id"], "channel").join(features.preferred_channel(rows), "customer_id")
@@ -310,6 +336,7 @@ QUERIES = {
     "rating_means": Query(rating_means, RATING_MEANS, ("average_rating", "waste_cost")),
     "price_ends": Query(price_ends, PRICE_ENDS, ("price_change_pct",)),
     "distinct_counts": Query(distinct_counts, DISTINCT_COUNTS, ("promo_share", "weekend_share")),
+    "distinct_rollups": Query(distinct_rollups, DISTINCT_ROLLUPS),
     "modes": Query(modes, MODES),
     "basket_sets": Query(basket_sets, BASKET_SETS),
     "pivoted": Query(pivoted, PIVOTED),

@@ -47,6 +47,32 @@ FREQUENT_ITEMSETS = """WITH b AS (SELECT DISTINCT order_id, category_id AS c FRO
   three AS (SELECT x.c || '+' || y.c || '+' || z.c AS items, 3 AS size, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.c < y.c JOIN b z ON z.order_id = y.order_id AND y.c < z.c GROUP BY 1)
   SELECT items, size::BIGINT AS size, n FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three), t WHERE n >= least"""
 
+
+
+def _rules(of: DataFrame, support: float, confidence: float) -> DataFrame:
+    found = basket.rules_of(basket.mine(of, support, confidence).freqItemsets, of.agg(F.count("*").cast("double").alias("total")), confidence)
+    return found.select(F.array_join(F.col("antecedent").cast("array<string>"), "+").alias("antecedent"), F.size("antecedent").alias("size"), F.col("consequent").cast("string").alias("consequent"), "n", "support", "confidence", "lift")
+
+
+def association_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules between categories, with antecedents of any size."""
+    return _rules(_baskets(spark, sf), 0.01, 0.1)
+
+
+def item_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules between single items; an order has seven lines at most."""
+    return _rules(basket.baskets(fr.lines(spark, sf)), 0.0002, 0.05)
+
+
+def _rules_sql(item: str, support: float, confidence: float) -> str:
+    return f"""WITH b AS (SELECT DISTINCT order_id, {item} AS c FROM lines), t AS (SELECT count(DISTINCT order_id)::DOUBLE AS total, ceil({support} * count(DISTINCT order_id)) AS least FROM b),
+  s1 AS (SELECT [c] AS s, count(*) AS n FROM b GROUP BY c), s2 AS (SELECT [x.c, y.c] AS s, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.c < y.c GROUP BY x.c, y.c),
+  s3 AS (SELECT [x.c, y.c, z.c] AS s, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.c < y.c JOIN b z ON z.order_id = y.order_id AND y.c < z.c GROUP BY x.c, y.c, z.c),
+  s AS (SELECT s, n FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), t WHERE n >= least), r AS (SELECT s, n, unnest(s) AS consequent FROM s WHERE len(s) > 1),
+  a AS (SELECT *, list_filter(s, lambda x: x <> consequent) AS antecedent FROM r)
+  SELECT array_to_string(antecedent, '+') AS antecedent, len(antecedent)::INT AS size, consequent::VARCHAR AS consequent, a.n, a.n / total AS support, a.n / l.n AS confidence, a.n * total / (l.n * o.n) AS lift FROM a JOIN s l ON l.s = antecedent JOIN s o ON o.s = [consequent], t WHERE a.n / l.n >= {confidence}"""
+
+
 # Wastage
 
 
@@ -479,13 +505,13 @@ _GRID: list[tuple[str, float | None]] = [("price_change", 0.1), ("price_change",
 
 
 def scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    compared = _compared(spark, sf).select("promotion_id", (F.col("pre_margin") / F.nullif(F.col("pre_revenue"), F.lit(0.0))).alias("pre_margin_pct"), (F.col("during_margin") / F.nullif(F.col("during_revenue"), F.lit(0.0))).alias("during_margin_pct"))
+    compared = _compared(spark, sf).where("volume_up_margin_down is not null").select("promotion_id", (F.col("pre_margin") / F.nullif(F.col("pre_revenue"), F.lit(0.0))).alias("pre_margin_pct"), (F.col("during_margin") / F.nullif(F.col("during_revenue"), F.lit(0.0))).alias("during_margin_pct"))
     base = scenario.baseline_rows(entities._item_table(spark, sf), _sensitivity(spark, sf), compared, _item_days(spark, sf), AS_OF)
     return scenario.simulate(base, _GRID).select("item_id", "scenario", "value", "revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage", F.size("flags").cast("bigint").alias("n_flags"))
 
 
 _WASTE = "quantity * wastage_pct / (1 - wastage_pct)"
-SCENARIOS = f"""WITH e AS (SELECT coalesce(quantile_cont(d - p, 0.5), 0) AS effect FROM (SELECT max(margin / nullif(revenue, 0)) FILTER (period = 'pre') AS p, max(margin / nullif(revenue, 0)) FILTER (period = 'during') AS d FROM ({PROMOTION_METRICS}) GROUP BY promotion_id) WHERE p IS NOT NULL AND d IS NOT NULL),
+SCENARIOS = f"""WITH e AS (SELECT coalesce(quantile_cont(d - p, 0.5), 0) AS effect FROM (SELECT max(margin / nullif(revenue, 0)) FILTER (period = 'pre') AS p, max(margin / nullif(revenue, 0)) FILTER (period = 'during') AS d FROM ({PROMOTION_METRICS}) JOIN promotions USING (promotion_id) WHERE start_day - (datediff('day', start_day, end_day) + 1)::INT >= DATE '1995-01-01' GROUP BY promotion_id) WHERE p IS NOT NULL AND d IS NOT NULL),
   f AS (SELECT item_id, avg(forecast) AS daily FROM ({_ITEM_DAYS}) GROUP BY 1), q AS (SELECT * FROM ({PRICE_SENSITIVITY})),
   b AS (SELECT i.item_id, coalesce(total_revenue / nullif(total_quantity_sold, 0), 0) AS price, coalesce(total_cost / nullif(total_quantity_sold, 0), 0) AS unit_cost, total_quantity_sold AS quantity, coalesce(wastage_percentage, 0) AS wastage_pct, coalesce(discount_rate, 0) AS disc, coalesce(promotion_dependency, 0) AS dep,
     CASE WHEN sensitivity IN ('High', 'Moderate', 'Low') AND elasticity < 0 THEN greatest(-3.0, elasticity) ELSE -0.7 END AS el, effect, least(days_since_launch, 212) + 1 AS days, daily FROM ({entities._ITEMS_SQL}) i LEFT JOIN q USING (item_id) LEFT JOIN f USING (item_id), e),
@@ -653,6 +679,8 @@ def _scores(found: DataFrame) -> DataFrame:
 QUERIES = {
     "pair_rules": Query(pair_rules, PAIR_RULES, ("support", "confidence", "lift"), 6),
     "top_rules": Query(top_rules, TOP_RULES),
+    "association_rules": Query(association_rules, _rules_sql("category_id", 0.01, 0.1), ("support", "confidence", "lift"), 6),
+    "item_rules": Query(item_rules, _rules_sql("item_id", 0.0002, 0.05), ("support", "confidence", "lift"), 6),
     "frequent_itemsets": Query(frequent_itemsets, FREQUENT_ITEMSETS),
     "risk_table": Query(risk_table, RISK_TABLE, ("recent_demand", "prep_ratio")),
     "risk_watch_list": Query(risk_watch_list),
