@@ -621,17 +621,19 @@ VARIANTS = [
     ("cc-by", "The text is under a Creative Commons Attribution 4.0 International License."), ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0."), ("proprietary", "Copyright 2019 Foo Inc. All rights reserved."), ("bsd", "We released this under the BSD License in May."),
     ("mpl", "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/."), ("lgpl", "Distributed under LGPL-2.1-or-later."), ("agpl", "The program is licensed under the AGPL 3.0."),
     ("unlicense", "Released under The Unlicense."), ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License."), ("cc-by-nc", "Bilder: CC BY-NC-SA 4.0"),
+    ("gpl", "Licensed under GPLv3."), ("cc0", "Released under CC0."), ("lgpl", "Licensed under the LGPL."), ("mpl", "Distributed under the MPL."), ("agpl", "This code is AGPL."), ("gpl", "License: GPLv3"), ("gpl", "GNU GPLv3"), ("mit", "MIT licensed."), ("bsd", "BSD-licensed code."),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivatives 4.0 International License"), ("cc-by-nd", "The photos are CC BY-ND 4.0."), ("cc-by-nc-nd", "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivs License."), ("cc-by", "All texts are CC BY 3.0."), ("cc-by-sa", "Text: CC BY-SA"), ("cc-by-nc", "Creative Commons Attribution Non-Commercial 4.0 International License"),
 ]
 NOT_FAMILIES = ["Licensed under the Boost Software License.", "Released under the terms of the EUPL 1.2 licence.", "This file is distributed under the zlib License.", "SPDX-License-Identifier: ECL-2.0", "Licensed under the Wibble Public License 4."]
 
 
 def test_licence_notices_as_people_write_them(spark, licence_model):
     cases = [(f, "Some prose stands here.\n" + wrapped(t)) for f, ts in licences.TEMPLATES.items() for t in ts if len(t.split()) > 8] + VARIANTS
-    cases += [(f, c.format(t)) for f, ts in licences.TEMPLATES.items() for t in ts if 1 < len(t.split()) <= 8 and "SPDX" not in t for c in ("It comes under the {}, as it is.", "Terms: {}")]
+    cases += [(f, c.format(t)) for f, ts in licences.TEMPLATES.items() for t in ts if len(t.split()) <= 8 and "SPDX" not in t for c in ("It comes under the {}, as it is.", "Terms: {}")]
     df = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(cases)], "doc_id long, text string")
     found = [r["licence"] for r in licences.scan(df, licence_model).orderBy("doc_id").collect()]
     assert sum(f == g for (f, _), g in zip(cases, found)) >= 0.97 * len(cases)
-    assert found[len(cases) - 2 * sum(1 for ts in licences.TEMPLATES.values() for t in ts if 1 < len(t.split()) <= 8 and "SPDX" not in t) - len(VARIANTS) :][: len(VARIANTS)] == [f for f, _ in VARIANTS]
+    assert found[len(cases) - 2 * sum(1 for ts in licences.TEMPLATES.values() for t in ts if len(t.split()) <= 8 and "SPDX" not in t) - len(VARIANTS) :][: len(VARIANTS)] == [f for f, _ in VARIANTS]
     others = licences.scan(spark.createDataFrame(list(enumerate(NOT_FAMILIES)), "doc_id long, text string"), licence_model).collect()
     assert all(r["licence"] is None for r in others) and sum(r["n_unknown"] for r in others) >= 4
     plain = [*licences.DECOYS_HELD, "The river runs to the sea and the town lies at its mouth."]
@@ -646,11 +648,29 @@ def brute_licences(model, text_):
     column = {w: k for k, w in enumerate(model.vectorizer.vocabulary)}
 
     def term_list(t):
-        return [x for x in (y.strip(".") for y in re.split(r"[^\w.]+|_", t.lower())) if x]
+        out, narrow = [], ("nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike")
+        t = re.sub(r"\b(non|no|share)-(commercial|derivatives|derivs|alike)\b", r"\1\2", t.lower())
+        at = 0
+        for word in re.finditer(r"(?:[^\W_]|\.)+", t):
+            x = word.group().strip(".")
+            joins = t[at : word.start()] in ("-", " ") and x in narrow and re.search(r"(?:^|[^\w.])(?:by|attribution)(?:nc|nd|sa|noncommercial|noderivatives|noderivs|sharealike)*$", " " + (out or [""])[-1])
+            if x and joins:
+                out[-1] += x
+            elif x:
+                out.append(x)
+            at = word.end()
+        return out
 
     def pair_list(w):
         return w if len(w) == 1 else [f"{a} {b}" for a, b in zip(w, w[1:])]
 
+    def confirms(template, w):
+        """Four fifths of the template's neighbouring words stand beside each other in the sentence; a template of one word stands in it."""
+        if len(template) == 1:
+            return template[0] in w
+        beside = {(template[k], template[k + 1]) for k in range(len(template) - 1)}
+        return sum(any(w[k : k + 2] == [a, b] for k in range(len(w))) for a, b in beside) >= 0.8 * len(beside)
+
     found, unknown = [], 0
     for block in re.split(r"\r?\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n", text_):
         for sentence in re.split(r"(?<=[.!?;])\s(?=[A-ZÀ-Þ\"(])", re.sub(r"\s+[*#/]*\s*", " ", block)) if re.search(licences.CUE, block) else []:
@@ -661,7 +681,7 @@ def brute_licences(model, text_):
             shares = np.exp((raw - raw.max()) / model.temperature)
             shares /= shares.sum()
             families = dict(zip(model.labels, shares[: len(licences.TEMPLATES)]))
-            confirmed = {f for f, ts in licences.TEMPLATES.items() for t in ts if len({*pair_list(term_list(t))} & {*pair_list(w)}) >= licences.CONFIRM * len({*pair_list(term_list(t))})}
+            confirmed = {f for f, ts in licences.TEMPLATES.items() for t in ts if confirms(term_list(t), w)}
             named = [(-p, f) for f, p in families.items() if f in confirmed and p >= licences.FURTHER * max(families.values())] if max(families.values()) >= model.threshold else []
             found += named
             unknown += not named and shares[model.labels.index("none")] < 0.5
