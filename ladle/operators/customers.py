@@ -34,13 +34,13 @@ def channel_stats(orders: DataFrame, lines: DataFrame, cancelled: str = "Cancell
 
 
 def churn_risk(orders: DataFrame, customers: DataFrame, as_of: date, k: float = 2.0) -> DataFrame:
-    """customers with orders_last (days 0-90), orders_previous (days 91-181), mean_gap and at_risk.
+    """Orders up to as_of only: customers with orders_last (days 0-90), orders_previous (days 91-181), mean_gap and at_risk.
 
     mean_gap is the mean over customers with two orders or more of the days between their orders. At risk: recency exceeds k
     mean gaps, and there were fewer orders in the last quarter than in the one before."""
     ago = F.datediff(F.lit(as_of), F.col("ts").cast("date"))
-    own = orders.where("customer_id is not null").groupBy("customer_id").agg(
-        F.count_if((ago >= 0) & (ago < 91)).alias("orders_last"), F.count_if(ago.between(91, 181)).alias("orders_previous"), safe_div((F.max(ago) - F.min(ago)).cast("double"), (F.count("*") - 1).cast("double")).alias("_gap")
+    own = orders.where(F.col("customer_id").isNotNull() & (ago >= 0)).groupBy("customer_id").agg(
+        F.count_if(ago < 91).alias("orders_last"), F.count_if(ago.between(91, 181)).alias("orders_previous"), safe_div((F.max(ago) - F.min(ago)).cast("double"), (F.count("*") - 1).cast("double")).alias("_gap")
     )
     mean = own.agg(F.avg("_gap").alias("mean_gap"))
     rows = customers.join(own.drop("_gap"), "customer_id", "left").fillna(0, ["orders_last", "orders_previous"]).join(F.broadcast(mean))

@@ -228,7 +228,7 @@ _PERIOD = "CASE WHEN day < start_day THEN 'pre' WHEN day < start_day + len THEN
 PROMOTION_METRICS = f"""WITH s AS ({_SCOPE}), l AS (SELECT promotion_id, {_PERIOD} AS period, lines.*, revenue - cost AS m FROM (SELECT *, ts::DATE AS day FROM lines) lines JOIN s USING (item_id, location_id) WHERE day >= start_day - len AND day < start_day + 2 * len),
   w AS (SELECT promotion_id, {_PERIOD} AS period, sum(waste_cost) AS wastage_cost FROM waste JOIN s USING (item_id, location_id) WHERE day >= start_day - len AND day < start_day + 2 * len GROUP BY 1, 2),
   t AS (SELECT promotion_id, period, count(DISTINCT order_id) AS orders, sum(quantity) AS quantity, sum(revenue) AS revenue, sum(m) AS margin, count(DISTINCT customer_id) AS customers FROM l GROUP BY 1, 2),
-  j AS (SELECT promotion_id, period, coalesce(orders, 0) AS orders, coalesce(quantity, 0) AS quantity, coalesce(revenue, 0) AS revenue, coalesce(margin, 0) AS margin, coalesce(customers, 0) AS customers, coalesce(wastage_cost, 0) AS wastage_cost FROM t FULL JOIN w USING (promotion_id, period))
+  j AS (SELECT t.*, coalesce(wastage_cost, 0) AS wastage_cost FROM t LEFT JOIN w USING (promotion_id, period))
   SELECT *, revenue / nullif(orders, 0) AS revenue_per_order, margin / nullif(orders, 0) AS margin_per_order, margin / nullif(revenue, 0) AS margin_pct FROM j"""
 
 
@@ -252,7 +252,7 @@ PROMOTION_TRAPS = f"""WITH x AS (SELECT promotion_id, {_AT} FROM ({PROMOTION_MET
 
 
 def sales_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.sales_anomalies(fr.lines(spark, sf), 365, 14, 3.0)
+    return anomaly.sales_anomalies(fr.orders(spark, sf).where("status != 'Cancelled'"), fr.lines(spark, sf), 365, 14, 3.0)
 
 
 def _rolling(kind: str, keys: str, daily: str, metric: str, location: str) -> str:
@@ -261,9 +261,9 @@ def _rolling(kind: str, keys: str, daily: str, metric: str, location: str) -> st
     SELECT *, avg(v) {over} AS m, stddev(v) {over} AS s, count(v) {over} AS n FROM ({daily})) WHERE n >= 14 AND s > 0 AND abs((v - m) / s) > 3"""
 
 
-_PLACE = "SELECT location_id, ts::DATE AS day, {0} AS v FROM lines GROUP BY 1, 2"
+_PLACE = "SELECT location_id, ts::DATE AS day, {0} AS v FROM ords WHERE status <> 'Cancelled' GROUP BY 1, 2"
 SALES_ANOMALIES = " UNION ALL ".join([
-    _rolling("location_sales", "location_id", _PLACE.format("count(DISTINCT order_id)::DOUBLE"), "daily_orders", "location_id::VARCHAR"), _rolling("location_sales", "location_id", _PLACE.format("sum(revenue)"), "daily_revenue", "location_id::VARCHAR"),
+    _rolling("location_sales", "location_id", _PLACE.format("count(*)::DOUBLE"), "daily_orders", "location_id::VARCHAR"), _rolling("location_sales", "location_id", _PLACE.format("sum(total)"), "daily_revenue", "location_id::VARCHAR"),
     _rolling("item_sales", "item_id", "SELECT item_id, ts::DATE AS day, sum(quantity) AS v FROM lines GROUP BY 1, 2", "daily_quantity", "NULL"),
     _rolling("item_sales", "item_id", "SELECT item_id, ts::DATE AS day, sum(revenue) AS v FROM lines GROUP BY 1, 2", "daily_revenue", "NULL"),
 ])
@@ -275,11 +275,11 @@ def rating_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 
 _OVER = "OVER (PARTITION BY item_id ORDER BY w RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)"
 RATING_ANOMALIES = f"""WITH c AS (SELECT item_id, date_trunc('week', day)::DATE AS period_start, floor(datediff('day', DATE '2000-01-03', date_trunc('week', day)::DATE) / 7) AS w, rating, count(*) AS n FROM ratings GROUP BY ALL),
-  k AS (SELECT item_id, period_start, w, sum(n)::DOUBLE AS rating_count, sum(n * rating) / sum(n) AS avg_rating, max(n) / sum(n) AS same FROM c GROUP BY 1, 2, 3),
+  k AS (SELECT item_id, period_start, w, sum(n)::DOUBLE AS rating_count, sum(n * rating) / sum(n) AS avg_rating, max(n) / sum(n) AS same, arg_max(rating, n * 10 - rating) AS top FROM c GROUP BY 1, 2, 3),
   z AS (SELECT item_id, period_start, w, 'avg_rating' AS metric, avg_rating AS v FROM k UNION ALL SELECT item_id, period_start, w, 'rating_count', rating_count FROM k),
   s AS (SELECT *, avg(v) OVER q AS m, stddev(v) OVER q AS d, count(v) OVER q AS n FROM z WINDOW q AS (PARTITION BY item_id, metric ORDER BY w RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING))
   SELECT 'rating_zscore' AS anomaly_type, item_id::VARCHAR AS entity_id, NULL AS location_id, period_start, metric, v AS value, m AS baseline_mean, d AS baseline_std, (v - m) / d AS score FROM s WHERE n >= 2 AND d > 0 AND abs((v - m) / d) > 2
-  UNION ALL SELECT 'identical_ratings', item_id::VARCHAR, NULL, period_start, 'identical_share', same, NULL, NULL, same FROM k WHERE same >= 0.4 AND rating_count >= 10"""
+  UNION ALL SELECT 'identical_ratings', item_id::VARCHAR, NULL, period_start, 'share_of_rating_' || top::VARCHAR, same, NULL, NULL, rating_count FROM k WHERE same >= 0.4 AND rating_count >= 10"""
 
 
 def high_value_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,7 +479,8 @@ def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
         recommend.hidden_opportunities(chain), recommend.high_wastage(chain, risk), recommend.price_sensitive(_sensitivity(spark, sf), chain), recommend.bundles(rules, revenue, 1.05), recommend.low_performers(chain), recommend.stock_before_peak(_item_days(spark, sf), chain, 0.2, 0),
         recommend.segment_campaigns(segments, entities.churn(spark, sf)), recommend.ineffective_promotions(_compared(spark, sf)), recommend.anomalous_locations(sales_anomalies(spark, sf), 3, 2),
     ]
-    return recommend.ranked(*[p.withColumn("impact", F.round("impact", 2)) for p in parts])
+    # a little is added, as amounts of few decimals may lie half way between two cents
+    return recommend.ranked(*[p.withColumn("impact", F.round(F.col("impact") + 3.14159e-5, 2)) for p in parts])
 
 
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
@@ -501,6 +502,34 @@ RECOMMENDATION_COUNTS = f"""SELECT 'Promote hidden opportunity' AS type, count(*
   UNION ALL SELECT 'Review promotion', count(*) FROM ({PROMOTION_TRAPS}) WHERE trap_flags > 0
   UNION ALL SELECT 'Investigate location', count(*) FROM (SELECT location_id FROM ({SALES_ANOMALIES}) JOIN (SELECT period_start, count(DISTINCT location_id) AS k FROM ({SALES_ANOMALIES}) WHERE anomaly_type = 'location_sales' GROUP BY 1) USING (period_start) WHERE anomaly_type = 'location_sales' AND k < 3 GROUP BY 1 HAVING count(*) >= 2)"""
 
+
+
+def recommendation_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every recommendation with its number, target, priority and impact."""
+    return _recommendations(spark, sf).select("recommendation_id", "type", "target_type", "target_id", "priority", "impact")
+
+
+def recommendation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.recommendation_counts(_recommendations(spark, sf))
+
+
+_ALL_RECOMMENDATIONS = f"""WITH chain AS (SELECT * FROM ({_CHAIN})), rules AS (SELECT least(antecedent, consequent) || '+' || greatest(antecedent, consequent) AS id, antecedent, consequent, round(lift, 6) AS lift, round(confidence, 6) AS confidence FROM ({PAIR_RULES}) WHERE round(lift, 6) >= 1.05),
+  worth AS (SELECT category_id, sum(total_revenue) AS revenue FROM chain GROUP BY 1), odd AS (SELECT * FROM ({SALES_ANOMALIES}) WHERE anomaly_type = 'location_sales'), alone AS (SELECT period_start FROM odd GROUP BY 1 HAVING count(DISTINCT location_id) < 3),
+  peaks AS (SELECT item_id, max(forecast - recent_average) AS extra FROM ({_ITEM_DAYS}) WHERE forecast >= recent_average * 1.2 AND forecast - recent_average >= 0 GROUP BY 1),
+  wide AS (SELECT promotion_id, {_AT} FROM ({PROMOTION_METRICS}) GROUP BY 1),
+  r AS (SELECT 'Promote hidden opportunity' AS type, 'item' AS target_type, item_id::VARCHAR AS target_id, contribution_margin AS impact FROM chain WHERE category = 'Hidden Opportunity' AND profit_tier = 'High'
+  UNION ALL SELECT 'Reduce preparation', 'item', item_id::VARCHAR, wastage_cost FROM chain LEFT JOIN (SELECT item_id, avg(({_RULE})::INT) AS s FROM ({RISK_TABLE}) GROUP BY 1) USING (item_id) WHERE excessive_wastage OR s >= 0.5
+  UNION ALL SELECT 'Review price', 'item', item_id::VARCHAR, total_revenue FROM ({PRICE_SENSITIVITY}) JOIN chain USING (item_id) WHERE sensitivity = 'High'
+  UNION ALL SELECT 'Bundle items', 'item_set', id, (lift - 1) * (coalesce(a.revenue, 0) + coalesce(c.revenue, 0)) FROM (SELECT * FROM rules QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, lift DESC, antecedent) = 1) LEFT JOIN worth a ON a.category_id = antecedent LEFT JOIN worth c ON c.category_id = consequent
+  UNION ALL SELECT 'Remove or redesign', 'item', item_id::VARCHAR, wastage_cost + greatest(-contribution_margin, 0) FROM chain JOIN (SELECT item_id, avg((category = 'Low Performer')::INT) AS low FROM ({entities._LOCAL_CLASSES}) GROUP BY 1 HAVING count(*) >= 3) USING (item_id) WHERE category = 'Low Performer' AND low >= 0.75
+  UNION ALL SELECT 'Stock before peak', 'item', item_id::VARCHAR, extra * contribution_margin / total_quantity_sold FROM peaks JOIN chain USING (item_id) WHERE total_quantity_sold > 0
+  UNION ALL SELECT 'Target segment', 'segment', rule_segment, sum(round(customer_monetary_value, 2)) FROM ({entities.CUSTOMER_FEATURES}) JOIN ({entities.RULE_SEGMENTS}) USING (customer_id) GROUP BY rule_segment
+  UNION ALL SELECT 'Review promotion', 'promotion', promotion_id::VARCHAR, greatest(pre_margin - during_margin, (pre_margin_per_order - during_margin_per_order) * during_orders, 0) + greatest(during_wastage_cost - pre_wastage_cost, 0) FROM ({PROMOTION_TRAPS}) JOIN wide USING (promotion_id) WHERE trap_flags > 0
+  UNION ALL SELECT 'Investigate location', 'location', location_id, coalesce(sum(abs(value - baseline_mean)) FILTER (metric = 'daily_revenue'), 0) FROM odd WHERE period_start IN (SELECT period_start FROM alone) GROUP BY location_id HAVING count(*) >= 2),
+  m AS (SELECT type, target_type, target_id, round(impact + 3.14159e-5::DOUBLE, 2) AS impact FROM r), n AS (SELECT *, row_number() OVER (ORDER BY impact DESC, type, target_id) AS k, rank() OVER (ORDER BY impact DESC) / count(*) OVER () AS s FROM m)
+  SELECT 'REC-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS recommendation_id, type, target_type, target_id, CASE WHEN s <= 0.1 + 1e-12 THEN 'Critical' WHEN s <= 0.1 + 0.2 + 1e-12 THEN 'High' WHEN s <= 0.1 + 0.2 + 0.4 + 1e-12 THEN 'Medium' ELSE 'Low' END AS priority, impact FROM n"""
+RECOMMENDATION_SUMMARY = f"SELECT priority, type, count(*) AS n, max(impact) AS highest_impact FROM ({_ALL_RECOMMENDATIONS}) GROUP BY 1, 2"
+
 _GRID: list[tuple[str, float | None]] = [("price_change", 0.1), ("price_change", -0.05), ("discount_change", 0.2), ("promotion_frequency", 1.5), ("remove_item", None), ("reduce_prep", 0.3), ("demand_change", -0.2), ("wastage_assumption", 0.1)]
 
 
@@ -714,6 +743,8 @@ QUERIES = {
     "item_classifier": Query(item_classifier),
     "recommendations": Query(recommendations),
     "recommendation_counts": Query(recommendation_counts, RECOMMENDATION_COUNTS),
+    "recommendation_rows": Query(recommendation_rows, _ALL_RECOMMENDATIONS),
+    "recommendation_summary": Query(recommendation_summary, RECOMMENDATION_SUMMARY),
     "scenarios": Query(scenarios, SCENARIOS, ("revenue", "contribution_margin", "demand", "wastage_units", "net_margin_after_wastage"), 2, 3.14159e-5),
     "kpis": Query(kpis, KPIS, ("cancel_rate", "net_sales", "profit", "waste_cost", "average_order_value")),
     "monthly": Query(monthly, MONTHLY, ("net_sales", "promo_share", "change")),

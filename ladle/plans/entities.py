@@ -259,7 +259,7 @@ def churn(spark: SparkSession, sf: str) -> DataFrame:
     return _risk(spark, sf).select("customer_id", "orders_last", "orders_previous", "mean_gap", "at_risk")
 
 
-CHURN = f"""WITH o AS (SELECT customer_id, datediff('day', ts::DATE, {_DAY}) AS ago FROM ords WHERE status <> 'Cancelled'), c AS (SELECT customer_id, count(*) FILTER (ago >= 0 AND ago < 91) AS orders_last, count(*) FILTER (ago BETWEEN 91 AND 181) AS orders_previous, (max(ago) - min(ago)) / nullif(count(*) - 1, 0) AS gap, min(ago) AS recency FROM o GROUP BY 1)
+CHURN = f"""WITH o AS (SELECT customer_id, datediff('day', ts::DATE, {_DAY}) AS ago FROM ords WHERE status <> 'Cancelled' AND ts < TIMESTAMP '2001-08-02'), c AS (SELECT customer_id, count(*) FILTER (ago >= 0 AND ago < 91) AS orders_last, count(*) FILTER (ago BETWEEN 91 AND 181) AS orders_previous, (max(ago) - min(ago)) / nullif(count(*) - 1, 0) AS gap, min(ago) AS recency FROM o GROUP BY 1)
   SELECT customer_id, orders_last, orders_previous, (SELECT avg(gap) FROM c) AS mean_gap, recency > 2 * (SELECT avg(gap) FROM c) AND orders_last < orders_previous AS at_risk FROM c"""
 
 

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Model fits take long; one of each kind is tried elsewhere.
 #: On the smallest tables no series is long enough to train on.
 LARGER = {"forecast_model": "/root/testdata/sf0.01"}
-SLOW = {"item_classifier", "recommendations", "recommendation_counts", "scenarios"}
+SLOW = {"item_classifier", "recommendations", "recommendation_counts", "recommendation_summary", "scenarios"}
 
 
 def norm(v):
