@@ -37,6 +37,20 @@ def repeat_rate(lines: DataFrame, keys: list[str], name: str = "repeat_purchase_
     return per_customer.groupBy(*keys).agg(share_where(F.col("_n") > 1).alias(name))
 
 
+def sales_and_customers(lines: DataFrame, keys: list[str], rate: str = "repeat_purchase_rate") -> DataFrame:
+    """What ``sales`` and ``repeat_rate`` give, and unique_customers, from one pass: lines are summed by order, orders by customer, customers by key.
+
+    An order has one customer, or none: then it counts among the orders and not for the rate. Each step shuffles what the one before has summed, and a key with many lines is spread over its orders."""
+    measures = {
+        "total_revenue": F.col("revenue"), "total_cost": F.col("cost"), "total_quantity_sold": F.col("quantity"), "weekend_quantity": F.when(is_weekend(F.col("ts")), F.col("quantity")).otherwise(0.0),
+        "promo_revenue": F.when(F.col("promo"), F.col("revenue")).otherwise(0.0), "total_discount": F.col("discount"),
+    }
+    sums = [F.sum(c).alias(c) for c in measures]
+    by_order = lines.groupBy(*keys, "customer_id", "order_id").agg(*[F.sum(c).alias(name) for name, c in measures.items()])
+    by_customer = by_order.groupBy(*keys, "customer_id").agg(*sums, F.count("order_id").alias("_n"))
+    return by_customer.groupBy(*keys).agg(*sums, F.sum("_n").alias("order_frequency"), F.count("customer_id").alias("unique_customers"), share_where(F.when(F.col("customer_id").isNotNull(), F.col("_n") > 1)).alias(rate))
+
+
 def monthly_trend(lines: DataFrame, keys: list[str], value: str = "quantity", name: str = "sales_trend") -> DataFrame:
     """Slope of a monthly total over the months in which there is one; null under three."""
     monthly = lines.groupBy(*keys, month_start(F.col("ts")).alias("_month")).agg(F.sum(value).alias("_v"))
@@ -74,7 +88,7 @@ def _entity_features(base: DataFrame, keys: list[str], lines: DataFrame, ratings
     rated = ratings.groupBy(*keys).agg(F.avg("rating").alias("average_rating"))
     wasted = waste.groupBy(*keys).agg(F.sum("waste_cost").alias("wastage_cost"))
     joined = base
-    for part in (sales(lines, keys), repeat_rate(lines, keys), monthly_trend(lines, keys), rated, wasted):
+    for part in (sales_and_customers(lines, keys).drop("unique_customers"), monthly_trend(lines, keys), rated, wasted):
         joined = joined.join(part, keys, "left")
     joined = joined.fillna(0, ["total_revenue", "total_cost", "total_quantity_sold", "weekend_quantity", "order_frequency", "promo_revenue", "total_discount", "wastage_cost"])
     sold = F.col("total_quantity_sold")
@@ -139,9 +153,10 @@ def customer_features(orders: DataFrame, as_of: date) -> DataFrame:
 
 def location_features(locations: DataFrame, orders: DataFrame, lines: DataFrame, waste: DataFrame, as_of: date) -> DataFrame:
     """A row per location, also without sales: revenue, profit, order value, customers, repeat and waste rates."""
-    sold = lines.groupBy("location_id").agg(F.sum("revenue").alias("total_revenue"), F.sum("cost").alias("total_cost"), F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"))
+    totals = sales_and_customers(lines, ["location_id"], "repeat_customer_rate")
+    sold = totals.select("location_id", "total_revenue", "total_cost", F.col("order_frequency").alias("total_orders"), "unique_customers", "repeat_customer_rate")
     wasted = waste.where(up_to(F.col("day"), as_of)).groupBy("location_id").agg(F.sum("waste_cost").alias("wastage_cost"))
-    joined = locations.join(sold, "location_id", "left").join(repeat_rate(lines, ["location_id"], "repeat_customer_rate"), "location_id", "left").join(wasted, "location_id", "left")
+    joined = locations.join(sold, "location_id", "left").join(wasted, "location_id", "left")
     joined = joined.fillna(0, ["total_revenue", "total_cost", "total_orders", "unique_customers", "wastage_cost"])
     profit = F.col("total_revenue") - F.col("total_cost")
     return joined.withColumns({"gross_profit": profit, "profit_margin": safe_div(profit, F.col("total_revenue")), "average_order_value": safe_div(F.col("total_revenue"), F.col("total_orders")), "wastage_rate": safe_div(F.col("wastage_cost"), F.col("total_revenue"))})

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ladle.operators import anomaly, basket, classify, cleaning, customers, forecast, integration, models, pricing, promotions, quality, recommend, scenario, segment, wastage
+from ladle.operators import anomaly, basket, classify, cleaning, customers, features, forecast, integration, models, pricing, promotions, quality, recommend, scenario, segment, wastage
 from ladle.sources import schemas, tables
 
 D = date(2025, 1, 1)
@@ -203,3 +203,17 @@ def test_times_without_zone_read_back_from_csv(spark, tmp_path):
     typed = StructType().add("id", "integer").add("ts", "timestamp")
     assert str(tables.read_csv(spark, str(tmp_path / "t"), typed).first()["ts"]) == "2025-01-02 03:04:05"
     assert tables.read_raw_csv(spark, str(tmp_path / "t"), typed).first()["ts"] == "2025-01-02 03:04:05"
+
+
+def test_sales_and_customers_equal_their_parts(spark):
+    lines = spark.range(600).select((F.col("id") % 7).alias("item_id"), F.when(F.col("id") % 11 != 0, F.floor(F.col("id") / 3) % 40).alias("customer_id"), F.floor(F.col("id") / 3).alias("order_id"), F.expr("timestamp '2024-03-01 08:00:00' + make_dt_interval(cast(id % 9 as int))").alias("ts"),
+        (F.col("id") % 5).cast("double").alias("quantity"), (F.col("id") % 13).cast("double").alias("revenue"), F.lit(1.5).alias("cost"), F.lit(0.5).alias("discount"), (F.col("id") % 4 == 0).alias("promo"))
+    # an order has one customer
+    lines = lines.withColumn("customer_id", F.when(F.col("order_id") % 11 != 0, F.col("order_id") % 40))
+    for keys in (["item_id"], []):
+        found = features.sales_and_customers(lines, keys)
+        parts = features.sales(lines, keys)
+        rate = features.repeat_rate(lines, keys)
+        n = lines.groupBy(*keys).agg(F.countDistinct("customer_id").alias("unique_customers"))
+        expected = parts.join(rate, keys).join(n, keys) if keys else parts.crossJoin(rate).crossJoin(n)
+        assert sorted(map(tuple, found.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
