@@ -38,6 +38,8 @@ HEADER = struct.Struct("<8sHH")
 INDEX = struct.Struct("<QIIQ")
 FOOTER = struct.Struct("<QQQQQI8s")
 BLOCK_BYTES = 1 << 16
+#: The ranges of so many shards may be given to every task of a lookup.
+BROADCAST_SHARDS = 1_000_000
 #: Bits of the Bloom filter per key, and its hashes: one absent key in a hundred gets through.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
@@ -265,9 +267,32 @@ def _find(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([id_] * len(values), pa.int64()), pa.array(values, pa.binary())], ["id", "ids"])
 
 
+def _ranged(firsts: np.ndarray, lasts: np.ndarray, numbers: np.ndarray):
+    """Gives each id the shards whose range has it. Ranges follow each other, but neighbours may share an id."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            to, at = np.searchsorted(firsts, ids, side="right"), np.searchsorted(lasts, ids, side="left")
+            n = np.maximum(to - at, 0)
+            which = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(numbers[which])], ["id", "shard"])
+
+    return run
+
+
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ids) of the wanted documents that the shards hold. Each id is looked up in the shards whose
-    range has it: the filter first, then a binary search of the index and one block."""
+    range has it: the filter first, then a binary search of the index and one block.
+
+    Ranges follow each other, as ``write_shards`` makes them. Up to BROADCAST_SHARDS of them (24 bytes each) are searched by every task; with more,
+    every id is compared with every range. An empty manifest has nothing."""
     ids = wanted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    asked = ids.join(manifest.select("path", "first_id", "last_id"), (F.col("id") <= F.col("last_id")) & (F.coalesce("first_id", F.col("id")) <= F.col("id")))
+    shards = manifest.where("last_id is not null").select("shard", "path", F.coalesce("first_id", F.lit(-(1 << 63))).alias("first_id"), "last_id")
+    if manifest.count() <= BROADCAST_SHARDS:
+        bounds = shards.select("first_id", "last_id", "shard").orderBy("first_id", "last_id").toArrow()
+        firsts, lasts, numbers = (bounds.column(k).to_numpy() for k in range(3))
+        asked = ids.mapInArrow(_ranged(firsts, lasts, numbers), "id long, shard long").join(shards.select("shard", "path").hint("merge"), "shard")
+    else:
+        asked = ids.join(shards, (F.col("id") <= F.col("last_id")) & (F.col("first_id") <= F.col("id")))
     return asked.select("path", "id").repartition("path").sortWithinPartitions("path", "id").mapInArrow(_find, "id long, ids binary")

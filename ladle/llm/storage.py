@@ -77,3 +77,16 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, tot
     rest = met.where("is_hot is null").select(*rows.columns).join(keyed.where(~hot).drop(count).hint("merge"), keys)
     out = first.select(*rows.columns, *names).union(rest.select(*rows.columns, *names))
     return out if where is None else out.where(where)
+
+
+def left_join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of rows with keyed, a written table with a row per key and in ``count`` its number of rows, of ``total`` in all; its other columns are added.
+
+    Rows of a key with over 1 / HOT_SHARE of all rows, and rows without a key, stay where they are; the others' are shuffled."""
+    names = [c for c in keyed.columns if c not in (key, count)]
+    hot = F.col(count) > max(1, total // HOT_SHARE)
+    few = F.broadcast(keyed.where(hot).select(key, *names, F.lit(True).alias("is_hot")))
+    met = rows.join(few, key, "left")
+    here = F.coalesce(F.col("is_hot"), F.col(key).isNull())
+    there = met.where(~here).select(*rows.columns).join(keyed.where(~hot).select(key, *names).hint("merge"), key, "left")
+    return met.where(here).select(*rows.columns, *names).union(there.select(*rows.columns, *names))

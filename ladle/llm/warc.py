@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import bound_batches, materialize, new_path
+from ladle.llm.storage import bound_batches, left_join_hot, materialize, new_path
 
 #: Record ids are name-based UUIDs below this one.
 NAMESPACE = uuid.UUID("6f1d7c1e-6a3e-5b0f-9f3c-2a4d0c8f7b11")
@@ -97,7 +97,8 @@ def write_warc(pages: DataFrame, directory: str | None = None, id_col: str = "pa
     The payload is the html in UTF-8, empty for a null. Of rows with equal payloads of at least
     min_payload_bytes, those with the smallest id are responses and the others revisits of it; smaller payloads are
     all responses. Rows without an id are responses where no row with an id has their payload. A line break in
-    a url is percent-encoded. Rows are written where they are read: only digests are shuffled. A task writes under a name
+    a url is percent-encoded. Up to BROADCAST_DIGESTS repeated digests, rows are written where they are read and only digests are shuffled;
+    beyond it rows are dealt out by digest, but for those of a digest with a large share of all rows. A task writes under a name
     of its own, and only the names in the manifest count. Other columns are not looked at.
     """
     bound_batches(pages.sparkSession)
@@ -105,9 +106,10 @@ def write_warc(pages: DataFrame, directory: str | None = None, id_col: str = "pa
     given = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     long_enough = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= min_payload_bytes
-    repeated = materialize(given.where(long_enough).select("id", sha.alias("sha")).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "digests")
-    few = repeated.count() <= BROADCAST_DIGESTS
-    planned = given.withColumn("own", F.when(long_enough, sha)).join(F.broadcast(repeated) if few else repeated, F.col("own") == F.col("sha"), "left")
+    repeated = materialize(given.where(long_enough).select("id", sha.alias("sha")).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", "n"), "digests")
+    named = given.withColumn("sha", F.when(long_enough, sha))
+    n, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    planned = named.join(F.broadcast(repeated.drop("n")), "sha", "left") if n <= BROADCAST_DIGESTS else left_join_hot(named, repeated, "sha", "n", total)
     return materialize(planned.select("id", "url", "html", "first").mapInArrow(_write(directory, date), "path string, n_records long"), "manifest")
 
 
@@ -212,9 +214,14 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def with_referred(captures: DataFrame, field: str = "page-id") -> DataFrame:
-    """Adds page_id, from the metadata field, and refers_to_page: the page_id of the response that a revisit refers to."""
+    """Adds page_id, from the metadata field, and refers_to_page: the page_id of the response that a revisit refers to, null where that isn't there.
+
+    The captures are written out without payloads first. The revisits of a response that many refer to stay where they are."""
     paged = captures.withColumn("page_id", F.col("metadata.fields")[field].cast("long"))
-    responses = paged.where("record_type = 'response'")
-    pages = responses.groupBy("record_id").agg(F.min("page_id").alias("refers_to_page")).withColumnRenamed("record_id", "response_id")
-    revisits = paged.where("record_type = 'revisit'").join(pages.hint("merge"), F.col("refers_to") == F.col("response_id"), "left").drop("response_id")
-    return responses.withColumn("refers_to_page", F.lit(None).cast("long")).unionByName(revisits)
+    links = materialize(paged.select("record_type", "record_id", "refers_to", "page_id"), "links")
+    asked = links.where("record_type = 'revisit' and refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("n"))
+    pages = links.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("refers_to_page"))
+    referred = materialize(asked.join(pages.hint("merge"), "refers_to"), "referred")
+    total = referred.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    revisits = left_join_hot(paged.where("record_type = 'revisit'"), referred, "refers_to", "n", total)
+    return paged.where("record_type = 'response'").withColumn("refers_to_page", F.lit(None).cast("long")).unionByName(revisits)

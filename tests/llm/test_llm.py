@@ -152,11 +152,27 @@ def test_shard_lookup_and_damage(tmp_path):
         list(sstable.ShardReader(open(path, "rb")))
 
 
+@pytest.mark.parametrize("limit", [sstable.BROADCAST_SHARDS, 0])
+def test_lookup_searches_ranges(spark, monkeypatch, limit):
+    monkeypatch.setattr(sstable, "BROADCAST_SHARDS", limit)
+    docs = [(i, f"text {i}") for i in range(-50, 200, 2)] + [(100, "again"), (None, "no id")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sstable.write_shards(spark.createDataFrame(docs, "doc_id long, text string"), WORDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    found = sstable.lookup(manifest, spark.createDataFrame([(i,) for i in (*range(-60, 230), None, 100)], "doc_id long"))
+    assert sorted(r["id"] for r in found.collect()) == sorted([*range(-50, 200, 2), 100])
+    assert ("NestedLoop" in found._jdf.queryExecution().toString()) == (limit == 0)
+
+
 def test_shards_of_odd_rows(odd, empty):
     manifest = sstable.write_shards(odd, WORDS)
     rows = sstable.read_shards(manifest).orderBy("start").collect()
     assert [r["id"] for r in rows] == [None, 1, 2, 3, 4, 5, 6, 6, 7] and [r["n_tokens"] for r in rows[1:4]] == [1, 1, 1]
     assert sstable.read_shards(sstable.write_shards(empty, WORDS)).count() == 0
+    assert sstable.lookup(sstable.write_shards(empty, WORDS), odd).count() == 0 and sstable.lookup(manifest, empty).count() == 0
 
 
 def test_word_memory_is_renewed(monkeypatch):
@@ -360,6 +376,29 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) <= 0.03 * len(rows)
 
 
+def test_languages_equal_a_plain_loop(spark):
+    import zstandard
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    dictionaries = language.learn(df.where(language.fold() != 1))
+    found = {r["doc_id"]: r for r in language.identify(df, dictionaries).collect()}
+    for i, t in documents(spark):
+        low = re.sub("[^a-z\u0080-\U0010ffff]+", " ", t.lower()).strip(" ").encode()
+        sizes = {}
+        for lang, content in dictionaries.items():
+            sizes[lang] = 0
+            for at in range(0, len(low), 1024):
+                # another compressor for every block: nothing is carried over
+                made = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+                sizes[lang] += len(made.compress(low[at : at + 1024]))
+        best, second = sorted(sizes.values())[:2]
+        r = found[i]
+        if not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+        else:
+            assert r["lang_pred"] == min(k for k, v in sizes.items() if v == best) and r["score"] == pytest.approx(1 - best / second) and r["rejected"] == (second / best - 1 < 0.005)
+
+
 def test_language_odd_rows(spark, odd, empty):
     dictionaries = language.learn(odd)
     out = [(r["lang_pred"], r["rejected"]) for r in language.identify(odd, dictionaries).collect()]
@@ -386,6 +425,20 @@ def test_warc_round_trip(spark):
     assert warc.assemble(warc.read_warc(warc.write_warc(pages.where("false")))).count() == 0
 
 
+def test_warc_with_digests_that_are_not_broadcast(spark, monkeypatch):
+    """Two thirds of the pages are one template; it stays where it is, other repeats are dealt out."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(storage, "HOT_SHARE", 10)
+    rows = [(i, f"http://a/{i}", "<p>same</p>" if i % 3 else f"<p>{i // 12}</p>" if i % 2 else None) for i in range(60)] + [(None, "http://x", "alone"), (7, "http://y", "<p>same</p>")]
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    out = warc.with_referred(warc.assemble(warc.read_warc(warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)), with_payload=False))).collect()
+    expected = [(i, "response" if i is None or first[h or ""] == i else "revisit", None if i is None or first[h or ""] == i else first[h or ""]) for i, _, h in rows]
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to_page"]) for r in out), key=repr) == sorted(expected, key=repr)
+
+
 def test_assembly_of_links_in_either_direction(spark):
     head = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
     rec = lambda i, kind, to=None: (i, kind, to, None, "u", None, None, 0, None, None)
