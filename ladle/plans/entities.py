@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.operators import classify, customers, features, segment
+from ladle.operators import classify, customers, features, models, segment
 from ladle.plans import frames as fr
 from ladle.plans.aggregates import ITEM_SALES
 from ladle.plans.frames import AS_OF, Query, table
@@ -175,6 +176,39 @@ def kmeans_segments(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("customer_id", "cluster", "segment", "held_out", "distance", "margin")
 
 
+#: Centres that SQL knows as well: recency, log frequency, log spend.
+_CENTERS = [[100.0, 2.0, 12.0], [400.0, 2.5, 13.0], [1500.0, 0.5, 10.0]]
+
+
+def center_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances to the nearest of given centres, and the second nearest's margin."""
+    marked = segment.with_cluster_inputs(_rounded_customers(spark, sf))
+    vector = F.array(F.col("customer_recency").cast("double"), F.col("log_frequency"), F.col("log_monetary"))
+    return segment.with_distances(marked.withColumn("scaled", array_to_vector(vector)), _CENTERS).select("customer_id", "distance", "margin")
+
+
+_DISTANCES = ", ".join(f"sqrt((customer_recency - {a}) ** 2 + (ln(1 + customer_frequency) - {b}) ** 2 + (ln(1 + greatest(round(customer_monetary_value, 2), 0)) - {c}) ** 2)" for a, b, c in _CENTERS)
+CENTER_DISTANCES = f"SELECT customer_id, d[1] AS distance, d[2] - d[1] AS margin FROM (SELECT customer_id, list_sort([{_DISTANCES}]) AS d FROM ({CUSTOMER_FEATURES}))"
+
+
+def cluster_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of clusters that follow from the key."""
+    return segment.cluster_profiles(_rounded_customers(spark, sf).withColumn("cluster", (F.col("customer_id") % 6).cast("int")))
+
+
+CLUSTER_PROFILES = f"""SELECT (customer_id % 6)::INT AS cluster, count(*) AS n_customers, avg(customer_recency) AS customer_recency, avg(customer_frequency) AS customer_frequency, avg(round(customer_monetary_value, 2)) AS customer_monetary_value, avg(promo_order_share) AS promo_order_share,
+  avg(tenure_days) AS tenure_days FROM ({CUSTOMER_FEATURES}) GROUP BY 1"""
+
+
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """How many items of each category come to the test rows and to each of five folds."""
+    rows = models.with_folds(models.stratified_split(fr.items(spark, sf), "category_id", "item_id"), "category_id", "item_id")
+    return rows.groupBy("category_id").agg(F.count_if("is_test").alias("n_test"), *[F.count_if(F.col("fold") == k).alias(f"fold_{k}") for k in range(5)])
+
+
+STRATIFIED_FOLDS = "SELECT category_id, round(n * 0.2)::BIGINT AS n_test, " + ", ".join(f"(n + {4 - k}) // 5 AS fold_{k}" for k in range(5)) + " FROM (SELECT category_id, count(*) AS n FROM items GROUP BY 1)"
+
+
 def _three(spark: SparkSession, sf: str) -> DataFrame:
     """Three labellings of the customers, from their keys."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
@@ -302,6 +336,9 @@ QUERIES = {
     "rfm": Query(rfm, RFM),
     "rule_segments": Query(rule_segments, RULE_SEGMENTS),
     "kmeans_segments": Query(kmeans_segments),
+    "center_distances": Query(center_distances, CENTER_DISTANCES, ("distance", "margin")),
+    "cluster_profiles": Query(cluster_profiles, CLUSTER_PROFILES, ("customer_recency", "customer_frequency", "customer_monetary_value", "promo_order_share", "tenure_days")),
+    "stratified_folds": Query(stratified_folds, STRATIFIED_FOLDS),
     "agreement": Query(agreement, AGREEMENT, ("agreement", "first_accuracy", "second_accuracy")),
     "statuses": Query(statuses, f"SELECT status, count(*) AS n FROM ({_THREE}) GROUP BY 1"),
     "majority": Query(majority, MAJORITY),

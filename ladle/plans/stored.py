@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ladle.operators import cleaning
+from ladle.operators import cleaning, forecast
 from ladle.plans.frames import Query, table
 from ladle.sources import tables
 
@@ -133,7 +133,42 @@ def rewritten_table(spark: SparkSession, sf: str) -> DataFrame:
 
 REWRITTEN_TABLE = "SELECT year(o_orderdate)::INT AS year, count(*) AS n, max(o_orderkey) AS last_key FROM orders GROUP BY 1"
 
+
+
+def cleaned_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts and their brands as the source tables Menu_Items and Menu_Categories, written and read under their names, typed and as strings."""
+    path, part = tables.new_folder(spark, "cleaned"), table(spark, sf, "part")
+    tables.write_csv(part.select(F.col("p_brand").alias("category_id"), F.concat(F.lit("Brand "), F.substring("p_brand", 7, 2)).alias("category_name"), F.lit(None).cast("string").alias("description")).distinct(), f"{path}/Menu_Categories.csv")
+    none = F.lit(None).cast("string")
+    items = part.select(
+        F.col("p_partkey").cast("string").alias("item_id"), F.concat(F.lit("Part "), F.col("p_partkey")).alias("item_name"), F.col("p_brand").alias("category_id"), F.col("p_retailprice").cast("decimal(12,2)").alias("base_price"), F.lit(1).cast("decimal(12,2)").alias("base_cost"), none.alias("description"),
+        (F.col("p_size") % 10 != 0).alias("is_active"), F.date_add(F.lit(date(1994, 6, 1)), (F.col("p_partkey") % 2600).cast("int")).alias("launch_date"), F.lit(False).alias("is_seasonal"), none.alias("season"),
+    )
+    tables.write_csv(items, f"{path}/Menu_Items.csv")
+    typed, raw = tables.read_table(spark, "Menu_Items", path), tables.read_table(spark, "Menu_Items", path, raw=True)
+    both = typed.join(tables.read_table(spark, "Menu_Categories", path), "category_id").join(raw.select("item_id", F.col("launch_date").alias("_day")), "item_id")
+    return both.groupBy("category_id", "category_name").agg(F.count("*").alias("n"), F.sum(F.col("base_price").cast("double")).alias("price"), F.count_if("is_active").alias("n_active"), F.min("launch_date").alias("first"), F.max("_day").alias("last"))
+
+
+CLEANED_TABLE = """SELECT p_brand AS category_id, 'Brand ' || substr(p_brand, 7, 2) AS category_name, count(*) AS n, sum(round(p_retailprice, 2)) AS price, count(*) FILTER (p_size % 10 <> 0) AS n_active, min(DATE '1994-06-01' + (p_partkey % 2600)::INT) AS first,
+  strftime(max(DATE '1994-06-01' + (p_partkey % 2600)::INT), '%Y-%m-%d') AS last FROM part GROUP BY 1, 2"""
+
+
+def stored_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted on order totals, saved, loaded, and held against itself: rows and those that both predict alike."""
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("target"))
+    model = forecast.fit(rows, ["n"], iterations=2, depth=2)
+    path = tables.new_folder(spark, "model")
+    tables.save_model(model, path)
+    said = tables.load_model(path).transform(model.transform(rows).withColumnRenamed("prediction", "first").drop("features"))
+    return said.agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("prediction")).alias("n_alike"))
+
+
+STORED_MODEL = "SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS n_alike FROM orders"
+
 QUERIES = {
+    "cleaned_table": Query(cleaned_table, CLEANED_TABLE, ("price",), 2),
+    "stored_model": Query(stored_model, STORED_MODEL),
     "csv_typed": Query(csv_typed, CSV_TYPED, ("total",), 2),
     "csv_raw": Query(csv_raw, CSV_RAW),
     "csv_partitioned": Query(csv_partitioned, CSV_PARTITIONED),

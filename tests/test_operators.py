@@ -217,3 +217,26 @@ def test_sales_and_customers_equal_their_parts(spark):
         n = lines.groupBy(*keys).agg(F.countDistinct("customer_id").alias("unique_customers"))
         expected = parts.join(rate, keys).join(n, keys) if keys else parts.crossJoin(rate).crossJoin(n)
         assert sorted(map(tuple, found.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_clusters_are_the_nearest_centers(spark):
+    """Assignment, distance, margin and profiles of a fitted model, recomputed from its centers."""
+    import numpy as np
+
+    rows = spark.range(300).select(F.col("id").alias("customer_id"), (F.col("id") * 37 % 400).cast("int").alias("customer_recency"), (1 + F.col("id") % 9).alias("customer_frequency"), (F.col("id") * 13 % 900).cast("double").alias("customer_monetary_value"),
+        (F.col("id") % 4 / 4).alias("promo_order_share"), (F.col("id") * 7 % 1000).cast("int").alias("tenure_days"), F.lit(100.0).alias("average_order_value"), F.lit(0.5).alias("weekend_ratio"), F.lit(0.5).alias("peak_hour_ratio"), F.lit(2.0).alias("average_basket_size"))
+    found = segment.segment(rows, k=4)
+    marked = segment.with_cluster_inputs(rows).fillna(0, segment.INPUTS).join(found.select("customer_id", "held_out"), "customer_id")
+    model = segment.fit_clusters(marked.where("not held_out"), 4)
+    centers = np.array([c for c in model.stages[-1].clusterCenters()])
+    scaled = {r["customer_id"]: np.array(r["scaled"].toArray()) for r in model.transform(marked).collect()}
+    got = {r["customer_id"]: r for r in found.collect()}
+    for i, x in scaled.items():
+        d = np.sqrt(((centers - x) ** 2).sum(axis=1))
+        first, second = np.sort(d)[:2]
+        assert got[i]["cluster"] == int(d.argmin()) and got[i]["distance"] == pytest.approx(first) and got[i]["margin"] == pytest.approx(second - first, abs=1e-9)
+    labels = {(r["cluster"], r["segment"]) for r in got.values()}
+    assert len(labels) == len({c for c, _ in labels}) == 4
+    loyal = next(c for c, name in labels if name == "High-Value Loyal")
+    spend = {c: np.mean([r["customer_monetary_value"] for r in got.values() if r["cluster"] == c and not r["held_out"]]) for c in range(4)}
+    assert loyal == max(spend, key=spend.get)
