@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladle.llm import language, minhash, mixing, sstable, tiling
-from ladle.llm.storage import materialize
+from ladle.llm.storage import discard, materialize
 
 #: Near copies share 80 % of their shingles of five words; in 54 bands of 7 a pair at 80 % is missed with a chance of 3e-6.
 NEAR = {"per_cent": 80, "shingle": 5, "bands": 54, "rows": 7}
@@ -30,23 +30,32 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language compression can't tell."""
+    """Drops documents without a letter (null and empty texts too), and those whose language compression can't tell.
+
+    Rows without an id stay whatever their text. Where nothing is learned, as from an empty table or one without languages, every document with an id goes."""
     dictionaries = language.learn(docs.where(language.fold() != 1))
     return _without(docs, language.identify(docs, dictionaries).where("rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
+    """Keeps the document with the smallest id of each near-duplicate class.
+
+    Null, empty and blank texts are like nothing and stay, as rows without an id do. Rows that share an id share their class. An empty table stays empty."""
     return _without(docs, minhash.near_duplicates(docs, **NEAR).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
+    """Drops documents that leak a benchmark item.
+
+    Null and empty texts leak nothing, and null and empty items are leaked by nothing. Rows without an id stay. Without documents or items nothing goes."""
     return _without(docs, tiling.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    """Each document as often as the mix of sources takes it: not at all, once or twice.
+
+    A null source is a source, the last in order; texts without words have size 0. Of rows that share an id each comes as often as the one of them that the mix takes most often. Ties in
+    rank go by hash and id, so that reruns agree. An empty table stays empty."""
     taken = mixing.mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     # what the mix says stands in structs and at the end, whatever the columns of docs are called
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
@@ -55,7 +64,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token ids to shards and reads them back: (doc_id, start, n_tokens, ids_crc32) of each row."""
+    """Writes token ids to shards and reads them back: (doc_id, start, n_tokens, ids_crc32) of each row, in the order of ids, null first.
+
+    A null or empty text has the end id alone; rows that share an id have a row each, in the order of their texts. An empty table gives none."""
     manifest = sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return sstable.read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -67,8 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's documents are deleted when those of the next one are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
