@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ladle.operators import classify, customers, features, models, segment
 from ladle.plans import frames as fr
-from ladle.plans.aggregates import ITEM_SALES
 from ladle.plans.frames import AS_OF, Query, table
 
 _DAY = "DATE '2001-08-01'"

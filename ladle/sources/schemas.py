@@ -21,7 +21,7 @@ TABLES = {
     "Inventory": f"inventory_id string, item_id string, location_id string, date date, opening_stock {QUANTITY}, received_stock {QUANTITY}, prepared_quantity {QUANTITY}, consumed_stock {QUANTITY}, closing_stock {QUANTITY}, unit string",
     "Wastage": f"wastage_id string, item_id string, location_id string, date date, quantity_wasted {QUANTITY}, unit string, cost_of_waste {MONEY}, reason string",
 }
-#: (child table, its column, parent table, its column)
+#: (child table, its column, parent table, its column). As the source files refer to each other.
 REFERENCES = (
     ("Orders", "customer_id", "Customers", "customer_id"),
     ("Orders", "location_id", "Restaurants", "location_id"),
