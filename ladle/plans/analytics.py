@@ -60,12 +60,14 @@ def association_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules between single items; an order has seven lines at most."""
-    return _rules(basket.baskets(fr.lines(spark, sf)), 0.0002, 0.05)
+    """Rules between single items that are bought together three times or more; an order has seven lines at most."""
+    of = basket.baskets(fr.lines(spark, sf))
+    # two and a half, as the least number of baskets is rounded up
+    return _rules(of, 2.5 / max(1, of.count()), 0.05)
 
 
-def _rules_sql(item: str, support: float, confidence: float) -> str:
-    return f"""WITH b AS (SELECT DISTINCT order_id, {item} AS c FROM lines), t AS (SELECT count(DISTINCT order_id)::DOUBLE AS total, ceil({support} * count(DISTINCT order_id)) AS least FROM b),
+def _rules_sql(item: str, least: str, confidence: float) -> str:
+    return f"""WITH b AS (SELECT DISTINCT order_id, {item} AS c FROM lines), t AS (SELECT count(DISTINCT order_id)::DOUBLE AS total, {least} AS least FROM b),
   s1 AS (SELECT [c] AS s, count(*) AS n FROM b GROUP BY c), s2 AS (SELECT [x.c, y.c] AS s, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.c < y.c GROUP BY x.c, y.c),
   s3 AS (SELECT [x.c, y.c, z.c] AS s, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.c < y.c JOIN b z ON z.order_id = y.order_id AND y.c < z.c GROUP BY x.c, y.c, z.c),
   s AS (SELECT s, n FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), t WHERE n >= least), r AS (SELECT s, n, unnest(s) AS consequent FROM s WHERE len(s) > 1),
@@ -708,8 +710,8 @@ def _scores(found: DataFrame) -> DataFrame:
 QUERIES = {
     "pair_rules": Query(pair_rules, PAIR_RULES, ("support", "confidence", "lift"), 6),
     "top_rules": Query(top_rules, TOP_RULES),
-    "association_rules": Query(association_rules, _rules_sql("category_id", 0.01, 0.1), ("support", "confidence", "lift"), 6),
-    "item_rules": Query(item_rules, _rules_sql("item_id", 0.0002, 0.05), ("support", "confidence", "lift"), 6),
+    "association_rules": Query(association_rules, _rules_sql("category_id", "ceil(0.01 * count(DISTINCT order_id))", 0.1), ("support", "confidence", "lift"), 6),
+    "item_rules": Query(item_rules, _rules_sql("item_id", "3", 0.05), ("support", "confidence", "lift"), 6),
     "frequent_itemsets": Query(frequent_itemsets, FREQUENT_ITEMSETS),
     "risk_table": Query(risk_table, RISK_TABLE, ("recent_demand", "prep_ratio")),
     "risk_watch_list": Query(risk_watch_list),
