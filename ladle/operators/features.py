@@ -100,15 +100,16 @@ def _entity_features(base: DataFrame, keys: list[str], lines: DataFrame, ratings
     }).drop("weekend_quantity", "promo_revenue")
 
 
-def item_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste: DataFrame, prices: DataFrame, as_of: date) -> DataFrame:
+def item_features(lines: DataFrame, items: DataFrame, ratings: DataFrame, waste: DataFrame, prices: DataFrame, as_of: date, popularity: bool = True) -> DataFrame:
     """A row per item launched by the day; items without sales have zeros.
 
-    items: item_id, category_id, launch_day, base_cost, is_seasonal. item_popularity is the percent_rank of quantity."""
+    items: item_id, category_id, launch_day, base_cost, is_seasonal. item_popularity is the percent_rank of quantity; it takes a pass of its own over the table, which who doesn't read it may leave out."""
     launched = items.where(up_to(F.col("launch_day"), as_of)).withColumn("days_since_launch", F.datediff(F.lit(as_of), "launch_day"))
     rated = ratings.where(up_to(F.col("day"), as_of))
     known = _entity_features(launched, ["item_id"], lines, rated, waste.where(up_to(F.col("day"), as_of))).join(rating_trend(rated, ["item_id"]), "item_id", "left")
     priced = known.join(price_change(prices.where(up_to(F.col("start_day"), as_of))), "item_id", "left")
-    return with_percent_ranks(priced.drop("launch_day"), ["item_id"], {"item_popularity": ("total_quantity_sold", F.lit(True))})
+    rows = priced.drop("launch_day")
+    return with_percent_ranks(rows, ["item_id"], {"item_popularity": ("total_quantity_sold", F.lit(True))}) if popularity else rows
 
 
 def popularity_snapshots(lines: DataFrame, items: DataFrame, days: list[date]) -> DataFrame:

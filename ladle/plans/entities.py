@@ -17,8 +17,8 @@ def _done(spark: SparkSession, sf: str) -> DataFrame:
     return features.completed(fr.all_lines(spark, sf), AS_OF)
 
 
-def _item_table(spark: SparkSession, sf: str) -> DataFrame:
-    return features.item_features(_done(spark, sf), fr.items(spark, sf), fr.ratings(spark, sf).withColumn("day", F.add_months("day", -360)), fr.waste(spark, sf), fr.prices(spark, sf), AS_OF)
+def _item_table(spark: SparkSession, sf: str, popularity: bool = False) -> DataFrame:
+    return features.item_features(_done(spark, sf), fr.items(spark, sf), fr.ratings(spark, sf).withColumn("day", F.add_months("day", -360)), fr.waste(spark, sf), fr.prices(spark, sf), AS_OF, popularity)
 
 
 def _entity_sql(keys: str, base: str) -> str:
@@ -45,7 +45,7 @@ _FEATURE_DOUBLES = (
 
 
 def item_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _item_table(spark, sf).drop("is_active")
+    return _item_table(spark, sf, popularity=True).drop("is_active")
 
 
 def item_location_features(spark: SparkSession, sf: str) -> DataFrame:
