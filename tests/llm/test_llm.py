@@ -467,7 +467,7 @@ def brute_removal(docs, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("leaves", [suffix.GROUP_LEAVES, 3])
+@pytest.mark.parametrize("leaves", [suffix.GROUP_LEAVES, 25, 3, 0])
 def test_repeats_equal_brute_force(spark, leaves):
     passage = " ".join(f"p{i}" for i in range(40))
     docs = documents(spark) + [(5000 + k, f"{'y' * k} {passage} z{k}") for k in range(6)] + [(6000, passage), (6000, passage + " tail"), (None, passage)]
@@ -482,6 +482,52 @@ def test_repeats_odd_rows(odd, empty):
     assert suffix.without_repeats(empty).count() == 0
 
 
+def test_prefixes_are_lengthened_until_groups_fit(spark, tmp_path):
+    """300 documents share the six words around an anchor; longer prefixes part them, and pairs of them share a window."""
+    six = "alpha beta gamma delta epsilon zeta"
+    docs = [(i, " ".join([*(f"l{i // 2}_{j}" for j in range(9)), six, *(f"r{i // 3}_{j}" for j in range(9))])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute_removal(docs)
+    assert sum(r[2] > 0 for r in want) > 150
+    for leaves in (100, 7):
+        out = suffix.without_repeats(df, group_leaves=leaves)
+        assert sorted(map(tuple, out.collect()), key=repr) == want
+
+
+def test_hot_prefixes_are_dealt_to_several_tasks(spark):
+    """Leaves of a hot anchor don't meet by the anchor, and keep their windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"a{i} b{i} c{i} alpha beta gamma delta epsilon zeta eta theta iota kappa d{i} e{i} f{i}" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array(range(400))], ["id", "text", "hash"])
+    none, every = np.zeros(suffix.BUCKETS, dtype=bool), np.ones(suffix.BUCKETS, dtype=bool)
+    together = pa.Table.from_batches(list(suffix._leaves(13, none)([batch])))
+    apart = pa.Table.from_batches(list(suffix._leaves(13, every)([batch])))
+    assert together.num_rows == apart.num_rows and len(set(apart["anchor"].to_pylist())) > len(set(together["anchor"].to_pylist()))
+    counted = pa.Table.from_batches(list(suffix._counts(13)([batch])))
+    assert sum(counted["n"].to_pylist()) >= together.num_rows
+    longer = pa.Table.from_batches(list(suffix._lengthened(13)(apart.select(["around", "id", "place", "mask"]).filter(pa.compute.less_equal(apart["mask"], 0)).combine_chunks().to_batches())))
+    spans = {m for m, c in zip(longer["mask"].to_pylist(), longer["check"].to_pylist()) if m <= 0}
+    assert spans == {suffix._span(0, 4), suffix._span(5, 8)}
+
+
+def test_passages_are_the_words_that_go(spark, odd, empty):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = documents(spark) + [(5000 + k, f"{'y' * k} {passage} z{k} {passage}") for k in range(6)] + [(6000, passage), (6001, " ".join(passage.split()[:12])), (None, passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    told = {}
+    for r in suffix.repeated_passages(df, group_leaves=50).collect():
+        assert r["n_words"] >= 13 and r["passage"].split() == word_list(dict(docs)[r["doc_id"]])[r["start"] : r["start"] + r["n_words"]]
+        told.setdefault(r["doc_id"], []).append((r["start"], r["n_words"]))
+    for i, _, n, _ in brute_removal(docs):
+        runs = sorted(told.get(i, []))
+        assert sum(k for _, k in runs) == n and all(a + k < b for (a, k), (b, _) in zip(runs, runs[1:]))
+    assert told[5003] == [(1, 40), (42, 40)] and told[6000] == [(0, 40)] and 6001 not in told
+    assert suffix.repeated_passages(odd).columns == ["doc_id", "start", "n_words", "passage"] and suffix.repeated_passages(odd).count() > 0
+    assert suffix.repeated_passages(empty).count() == 0
+
+
 # The pipeline
 
 
