@@ -1,5 +1,7 @@
 """The search over algorithms and grids, fitted to the end, and its scores against SQL."""
 
+import threading
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,14 @@ def test_the_query_takes_all_three_grids(spark, monkeypatch):
     monkeypatch.setattr(models, "select_best", lambda df, inputs, label, key, chosen, folds=5: seen.append((sorted(chosen), folds)) or models.Search("", {}, df, df, df))
     analytics.item_classifier(spark, "/root/testdata/sf0.001")
     assert seen == [(["decision_tree", "logistic_regression", "random_forest"], 5)]
+
+
+def test_jobs_side_by_side_keep_local_properties_apart(spark):
+    barrier = threading.Barrier(4)
+
+    def work(job):
+        spark.sparkContext.setLocalProperty("ladle.job", str(job))
+        barrier.wait(30)
+        return spark.sparkContext.getLocalProperty("ladle.job")
+
+    assert models._each(spark, work, [0, 1, 2, 3]) == ["0", "1", "2", "3"]
