@@ -57,3 +57,12 @@ def test_rules_of_larger_sets_equal_counting(spark):
                         expected.add((tuple(rest), c, count(s), round(count(s) / count(rest), 9), round(count(s) * len(baskets) / count(rest) / count([c]), 9)))
     assert {(tuple(r["antecedent"]), r["consequent"], r["n"], round(r["confidence"], 9), round(r["lift"], 9)) for r in found.collect()} == expected
     assert max(len(e[0]) for e in expected) == 3
+
+
+def test_frequent_sets_equal_counting(spark):
+    baskets = [["a", "b", "c", "d"]] * 3 + [["a", "b", "c"]] * 2 + [["a", "c", "e"]] * 2 + [["a", "d", "e"]] + [["f"]] * 2 + [[]]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)], "order_id int, items array<string>")
+    for least in (1, 3, 6, 99):
+        found = {tuple(r["items"]): r["freq"] for r in basket.frequent_sets(df, least).collect()}
+        counted = {s: sum(set(s) <= set(b) for b in baskets) for size in range(1, 6) for s in combinations("abcdef", size)}
+        assert found == {s: n for s, n in counted.items() if n >= least}
