@@ -5,6 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ladle.functions import ranks, scalar, stats
+from ladle.plans import entities
+from tests.conftest import SF
 
 
 def one(df):
@@ -113,3 +115,16 @@ def test_regression_metrics_skip_zero(spark):
 def test_mode_breaks_ties_by_name(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c"), (2, "a")], "k int, v string")
     assert sorted(map(tuple, stats.most_frequent(df, ["k"], "v").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_ranks_within_partitions_equal_ranks_by_counts(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 != 0, (F.col("id") * 37 % 23).cast("double")).alias("v"), (F.col("id") % 3 > 0).alias("some"))
+    asked = {"a": ("v", F.lit(True)), "b": ("v", F.col("some") & F.col("v").isNotNull())}
+    within = ranks.with_percent_ranks_within(df, ["k"], asked)
+    assert within.columns == [*df.columns, "a", "b"]
+    assert sorted(map(tuple, within.collect()), key=repr) == sorted(map(tuple, ranks.with_percent_ranks(df, ["id"], asked, ["k"]).collect()), key=repr)
+
+
+def test_chain_queries_leave_locations_alone(spark, monkeypatch):
+    monkeypatch.setattr(entities, "item_location_features", lambda *_: pytest.fail("locations were asked for"))
+    assert entities.category_counts(spark, SF).count() > 0
