@@ -150,11 +150,16 @@ def with_balanced_weights(df: DataFrame, label: str, name: str = "weight") -> Da
     return df.join(F.broadcast(p)).withColumn(name, weight).drop("_p")
 
 
-def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row: tp, fp, fn, tn, accuracy, precision, recall, f1."""
+def _n_where(condition: Column, weight: str | None) -> Column:
+    """How many rows a condition holds for; with weight, rows stand for so many each."""
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long")) if weight else F.count_if(condition)
+
+
+def binary_metrics(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """One row: tp, fp, fn, tn, accuracy, precision, recall, f1. weight: a column that says how many rows a row stands for."""
 
     def n(actual: int, predicted: int) -> Column:
-        return F.count_if((F.col(label) == actual) & (F.col(prediction) == predicted))
+        return _n_where((F.col(label) == actual) & (F.col(prediction) == predicted), weight)
 
     counts = df.agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
@@ -162,14 +167,14 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return rated.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def curve_areas(df: DataFrame, label: str, score: str) -> DataFrame:
+def curve_areas(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row: roc and pr, the areas under the ROC and the precision-recall curve of labels 0 and 1 by a score, exactly; rows without label or score don't count.
 
     A point for each distinct score, straight lines between them; the precision-recall curve begins at recall 0 with its first point's precision. Rows
     are counted by score, the counts put in order over range partitions, and the areas are sums of the pieces between
     neighbouring points: no curve is gathered anywhere. roc is null without both labels, pr without a 1."""
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    counts = rows.groupBy(F.col(score).cast("double").alias("_score")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
+    counts = rows.groupBy(F.col(score).cast("double").alias("_score")).agg(_n_where(F.col(label) == 1, weight).alias("_p"), _n_where(F.col(label) != 1, weight).alias("_n"))
     placed = running_totals(counts, F.col("_score").desc(), totals={"_tp": "_p", "_fp": "_n"}, alls={"_pos": "_p", "_neg": "_n"})
     p, n, tp, fp = (F.col(c).cast("double") for c in ("_p", "_n", "_tp", "_fp"))
     after, first = (tp + p) / (tp + p + n + fp), tp + fp == 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ladle.functions.scalar import day_number, safe_div, with_calendar
 from ladle.functions.stats import binary_metrics, curve_areas, with_balanced_weights
 from ladle.operators.integration import fused, with_coverage
+from ladle.sources.tables import checkpoint_dir
 
 KEYS = ["item_id", "location_id", "day"]
 
@@ -84,10 +85,14 @@ def risk_scored(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 
 def risk_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", risk: str = "risk") -> DataFrame:
-    """One row: n, positive_rate, tp, fp, fn, tn, accuracy, precision, recall, f1, roc, pr."""
-    counts = binary_metrics(scored, label, prediction)
+    """One row: n, positive_rate, tp, fp, fn, tn, accuracy, precision, recall, f1, roc, pr.
+
+    Rows are counted by label, prediction and risk, and the counts written once: whatever scored is made from is not made for each measure."""
+    checkpoint_dir(scored.sparkSession)
+    cells = scored.groupBy(label, prediction, F.col(risk).cast("double").alias(risk)).agg(F.count("*").alias("_rows")).checkpoint()
+    counts = binary_metrics(cells, label, prediction, "_rows")
     n = sum((F.col(c) for c in ("tp", "fp", "fn", "tn")), F.lit(0))
-    return counts.select(n.alias("n"), F.try_divide(F.col("tp") + F.col("fn"), n).alias("positive_rate"), "*").join(F.broadcast(curve_areas(scored, label, risk)))
+    return counts.select(n.alias("n"), F.try_divide(F.col("tp") + F.col("fn"), n).alias("positive_rate"), "*").join(F.broadcast(curve_areas(cells, label, risk, "_rows")))
 
 
 def split_by_day(df: DataFrame, test_from: date) -> tuple[DataFrame, DataFrame]:

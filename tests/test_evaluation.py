@@ -86,3 +86,20 @@ def test_popularity_as_of_each_day(spark):
     lines = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-02 23:00:00', 5.0), (2, TIMESTAMP '2024-01-12 00:00:00', 9.0), (3, TIMESTAMP '2024-01-18 00:00:00', 7.0) AS t(item_id, ts, quantity)")
     found = {(r["as_of"], r["item_id"]): r["item_popularity"] for r in features.popularity_snapshots(lines, items, [D + timedelta(1), D + timedelta(20)]).collect()}
     assert found == {(D + timedelta(1), 1): 1.0, (D + timedelta(1), 2): 0.0, (D + timedelta(20), 1): 0.0, (D + timedelta(20), 3): 0.5, (D + timedelta(20), 2): 1.0}
+
+
+def test_scored_rows_are_made_once_for_all_risk_measures(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(k % 2, k % 3 % 2, k % 7 / 7) for k in range(100)], "label int, prediction int, risk double")
+    found = wastage.risk_metrics(rows.mapInArrow(tell, rows.schema)).first()
+    assert made.value == 100 and found["n"] == 100
+    plain = stats.curve_areas(rows, "label", "risk").first()
+    assert (found["roc"], found["pr"]) == (plain["roc"], plain["pr"])
+    empty = wastage.risk_metrics(rows.where("label > 5")).first()
+    assert (empty["n"], empty["tp"], empty["roc"]) == (0, 0, None)
