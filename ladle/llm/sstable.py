@@ -38,6 +38,8 @@ HEADER = struct.Struct("<8sHH")
 INDEX = struct.Struct("<QIIQ")
 FOOTER = struct.Struct("<QQQQQI8s")
 BLOCK_BYTES = 1 << 16
+#: Bytes of text whose distinct words are looked up together, so that a frequent word is looked up once for all of them.
+LOOKUP_BYTES = 1 << 21
 #: The ranges of so many shards may be given to every task of a lookup.
 BROADCAST_SHARDS = 1_000_000
 #: Bits of the Bloom filter per key, and its hashes: one absent key in a hundred gets through.
@@ -192,7 +194,7 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
             row = 0
             while row < len(ids):
                 # some texts at a time: their words share a look into the cache
-                to = max(row + 1, int(np.searchsorted(at, at[row] + words.CHUNK_BYTES, side="right")) - 1)
+                to = max(row + 1, int(np.searchsorted(at, at[row] + LOOKUP_BYTES, side="right")) - 1)
                 texts = [encoder.words(data[at[i] : at[i + 1]].tobytes()) for i in range(row, to)]
                 known = encoder.ids(texts)
                 for id_, t in zip(ids[row:to], texts):

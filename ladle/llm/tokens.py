@@ -24,7 +24,7 @@ CACHE_WORDS = 300_000
 #: Punctuation that may close a word; an apostrophe may belong to it.
 _CLOSING = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
 #: New words that are encoded in one call.
-WORDS_PER_CALL = 2_000
+WORDS_PER_CALL = 300
 
 #: Who gets a token that covers characters of several parts.
 RULES = ("first", "last", "largest")
