@@ -18,6 +18,8 @@ from ladle.llm.storage import discard, materialize
 NEAR = {"per_cent": 80, "shingle": 5, "bands": 54, "rows": 7}
 #: Decisions on so many documents may be broadcast (16 bytes each); more of them are joined by shuffles.
 BROADCAST_DECISIONS = 1_000_000
+#: Words whose ids a worker remembers while it writes tokens, twice that at most; it forgets them after each task, as the workers serve all stages.
+CACHE_WORDS = 80_000
 
 
 def _small(decisions: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Writes token ids to shards and reads them back: (doc_id, start, n_tokens, ids_crc32) of each row, in the order of ids, null first.
 
     A null or empty text has the end id alone; rows that share an id have a row each, in the order of their texts. An empty table gives none."""
-    manifest = sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    manifest = sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, cache_words=CACHE_WORDS, keep=False)
     return sstable.read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.llm import text as words
-from ladle.llm.storage import bound_batches, materialize, new_path
+from ladle.llm.storage import bound_batches, give_back, materialize, new_path
 from ladle.llm.tokens import vocabulary_size, word_encoder
 
 MAGIC = b"LADLESST"
@@ -180,11 +180,13 @@ def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
+def _write(directory: str, tokenizer_path: str, width: int, end_id: int, cache_words: int | None, keep: bool):
     def run(batches):
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        encoder, end = word_encoder(tokenizer_path, width), int(end_id).to_bytes(width, "little")
+        if not keep:
+            give_back()  # of other stages
+        encoder, end = word_encoder(tokenizer_path, width, cache_words), int(end_id).to_bytes(width, "little")
         uri = f"{directory}/shard-{shard:06d}-{attempt}.sst"
         writer = out = None
         first = last = None
@@ -206,6 +208,13 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
                     writer.add(key_of(id_), b"".join(map(known.__getitem__, t)) + end)
                     last = id_
                 row = to
+            if not keep:
+                texts = known = at = data = None
+                give_back()
+        if not keep:
+            encoder = None
+            word_encoder.cache_clear()
+            give_back()
         if writer is not None:
             n, total = writer.close()
             out.close()
@@ -214,14 +223,15 @@ def _write(directory: str, tokenizer_path: str, width: int, end_id: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, directory: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_words: int | None = None, keep: bool = True) -> DataFrame:
     """Encodes whole texts and writes them to shards, in ascending order of id over all shards.
 
     Returns the manifest, one row per shard: (shard, path, first_id, last_id, n_docs, n_ids, start), start
     being the number of ids in the shards before. Each document ends with end_id. directory: a new folder
     in the shared one by default. A null text has end_id only; a null id comes first; rows that share an id
     follow each other by text. An empty table has no shards. A task writes under a name of its own, and only the names
-    in the manifest count, so that a repeated task does no harm. Other columns are not looked at.
+    in the manifest count, so that a repeated task does no harm. Other columns are not looked at. cache_words: see ``WordEncoder``. keep: workers keep the encoder and its
+    words from task to task, which saves time and takes memory of whatever runs on them next.
     """
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -229,7 +239,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, directory: str | None = N
     width = 2 if max(vocabulary_size(tokenizer_path), end_id + 1) <= 1 << 16 else 4
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = given.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    written = materialize(ordered.mapInArrow(_write(directory, tokenizer_path, width, end_id), "shard long, path string, first_id long, last_id long, n_docs long, n_ids long"), "manifest")
+    written = materialize(ordered.mapInArrow(_write(directory, tokenizer_path, width, end_id, cache_words, keep), "shard long, path string, first_id long, last_id long, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

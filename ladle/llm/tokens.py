@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.storage import bound_batches
+from ladle.llm.storage import bound_batches, give_back
 
 #: Words whose ids a worker remembers: as many that it met of late, and as many from before.
 CACHE_WORDS = 300_000
@@ -31,16 +31,18 @@ RULES = ("first", "last", "largest")
 
 
 class WordEncoder:
-    """Ids of words, as little-endian integers of width bytes, from a cache of words met before.
+    """Ids of words, as little-endian integers of width bytes, from a cache of words met before: cache_words (CACHE_WORDS if None) or more that it met of late, and as many from before.
 
     The tokenizer must drop white space, as word_bpe_49k does: its pieces lie within words, so that
     encoding the words gives what encoding the text gives."""
 
-    def __init__(self, tokenizer_path: str, width: int = 2):
+    def __init__(self, tokenizer_path: str, width: int = 2, cache_words: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        give_back()  # what parsing the file took
+        self.cache_words = cache_words
         self.width, self.kind = width, f"<u{width}"
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items()}
@@ -62,7 +64,7 @@ class WordEncoder:
 
     def ids(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """A dict that has the ids of all words of these texts, and of others."""
-        if len(self.recent) > CACHE_WORDS:
+        if len(self.recent) > (self.cache_words or CACHE_WORDS):
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
         missing = []
@@ -105,9 +107,9 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(tokenizer_path: str, width: int = 2) -> WordEncoder:
+def word_encoder(tokenizer_path: str, width: int = 2, cache_words: int | None = None) -> WordEncoder:
     """The encoder of a worker process, which keeps it from task to task."""
-    return WordEncoder(tokenizer_path, width)
+    return WordEncoder(tokenizer_path, width, cache_words)
 
 
 def vocabulary_size(tokenizer_path: str) -> int:

@@ -185,6 +185,33 @@ def test_word_memory_is_renewed(monkeypatch):
             assert np.frombuffer(b"".join(known[x] for x in w), "<u2").tolist() == encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids
 
 
+def test_workers_forget_the_encoder_if_told(spark, tmp_path):
+    """The pipeline's workers serve all its stages, so that words kept of one would take memory of the next."""
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens.word_encoder.cache_info().currsize] * batch.num_rows, pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(64)], "doc_id long, text string")
+    own = [sstable.read_shards(sstable.write_shards(docs, WORDS, **how)).orderBy("id").collect() for how in ({}, {"cache_words": 3, "keep": False})]
+    assert own[0] == own[1]
+    fresh = tokens.WordEncoder(WORDS, cache_words=3)
+    for t in (b"a b c d", b"e f g h", b"i j"):
+        fresh.ids([fresh.words(t)])
+    assert set(fresh.recent) == {b"i", b"j"} and len(fresh.older) == 4
+    written = sstable._write(f"file://{tmp_path}/shards", WORDS, 2, 2, None, False)
+
+    def write_and_look(batches):
+        list(written(batches))
+        import pyarrow as pa
+
+        yield from kept([pa.RecordBatch.from_arrays([pa.array([0])], ["x"])])
+
+    assert [r["n"] for r in docs.repartition(2).mapInArrow(write_and_look, "n long").collect()] == [0, 0]
+
+
 # 3
 
 
