@@ -55,6 +55,17 @@ def test_restaurant_tables_are_cleaned_in_order(spark):
     assert out["Orders"].log.where("action = 'removed'").count() == 1
 
 
+def test_each_restaurant_table_is_judged_once(spark):
+    from ladle.plans import cleaned
+    from tests.conftest import SF
+
+    out = cleaning.clean_restaurant_tables(cleaned._raw(spark, SF), cleaned.DAYS, schemas.UNITS)
+    for c in out.values():
+        for df in (c.clean, c.quarantined):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Window" not in plan
+
+
 def test_csv_round_trip_and_snapshots(spark, tmp_path):
     typed = schemas.schema("Promotions")
     (tmp_path / "p.csv").write_text("promotion_id,promotion_name,promotion_type,discount_value,start_date,end_date,min_order_value\nP1,a,b,1.50,2025-01-02,2025-13-07,\n")
