@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -825,3 +826,19 @@ def test_licences_equal_brute_force(spark, licence_model):
     # sentences without a cue name nothing
     every = {r["doc_id"]: r["families"] for r in licences.scan(df, licence_model, cue="").collect()}
     assert every == {i: r["families"] for i, r in out.items()}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for k in range(blocks.size()) if (b := blocks.apply(k).name()).startswith("shuffle_")}
+
+    before = shuffled()
+    table = storage.materialize(spark.range(1000).select("id", F.xxhash64("id").alias("h")).repartition("h").sortWithinPartitions("h"), "sorted")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(storage.CLEANUP) == "false"
+    assert table.count() == 1000
+    storage.discard(table)
