@@ -828,6 +828,24 @@ def test_licences_equal_brute_force(spark, licence_model):
     assert every == {i: r["families"] for i, r in out.items()}
 
 
+def test_licences_in_sentences_without_a_cue(spark, licence_model):
+    """Most of a template's words name it, cue or not; a sentence that confirms a template always has a stem or an anchor."""
+    long = next(t for t in licences.TEMPLATES["mit"] if t.startswith("Permission"))
+    text_ = re.sub(r"(?i)permission|sublicense", "consent", long.replace("without limitation the rights", "without limitation, the rights"))
+    assert not re.search(licences.CUE, text_)
+    rows = spark.createDataFrame([(1, text_), (2, "The river runs to the sea.")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licences.scan(rows, licence_model).collect()}
+    assert (out[1]["families"], out[1]["n_cues"], out[1]["n_unknown"], out[2]["families"]) == (["mit"], 0, 0, [])
+    pairs = licences._template_pairs(spark)
+    asked = re.compile(licences.anchored(licences.anchors(pairs)))
+    assert all(re.search(licences.CUE, f"some{stem}s") for stem in licences.CUE_STEMS)
+    for template in [t for ts in pairs.values() for t in ts]:
+        kept = [p for p in template if not any(stem in p for stem in licences.CUE_STEMS)]
+        need = math.ceil(licences.CONFIRM * len(template))
+        # the pairs without an anchor are too few
+        assert sum(not asked.search(p) for p in kept) < need
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     def shuffled():
         blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
