@@ -5,6 +5,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ladle.operators import forecast, recommend
+from ladle.plans import analytics
+from tests.conftest import SF
 
 
 def _lines(spark, rows):
@@ -41,3 +43,12 @@ def test_peaks_read_the_forecast_once(spark):
     (row,) = found.collect()
     assert row["impact"] == 100.0 and row["evidence"][1] == "3 of 3 days are peaks" and row["action"].endswith("2020-01-02")
     assert found._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 2
+
+
+def test_recommendations_are_made_part_by_part(spark, monkeypatch):
+    """Each part is written before the next one is made, so that no plan has the broadcasts of them all."""
+    stored = []
+    monkeypatch.setattr(analytics.tables, "written", lambda df, name: stored.append(df) or df)
+    monkeypatch.setattr(analytics.recommend, "ranked", lambda *parts: parts)
+    parts = analytics._recommendations(spark, SF)
+    assert len(parts) == 9 and all(any(p is s for s in stored) for p in parts)
