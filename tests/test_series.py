@@ -1,6 +1,7 @@
 """Daily series that are made in as many partitions as their days need."""
 
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -52,3 +53,18 @@ def test_recommendations_are_made_part_by_part(spark, monkeypatch):
     monkeypatch.setattr(analytics.recommend, "ranked", lambda *parts: parts)
     parts = analytics._recommendations(spark, SF)
     assert len(parts) == 9 and all(any(p is s for s in stored) for p in parts)
+
+
+def test_what_a_written_table_was_made_of_leaves_the_disk(spark):
+    """Shuffle files go when the write ends, and the lines that were numbered when they are judged."""
+
+    def shuffled():
+        return {p for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    out = analytics.tables.written(spark.range(1000).repartition(5).groupBy("id").count(), "shuffled")
+    assert not shuffled() - before and out.count() == 1000
+    path = Path(out.written_to.removeprefix("file://"))
+    assert path.exists()
+    analytics.tables.discard(out)
+    assert not path.exists()
